@@ -1,0 +1,113 @@
+"""Demonstration data and its simpler rules.
+
+The generator takes the keys to generate for, so it is as large as the table behind it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ebbtide.functions.columns import clamp
+from ebbtide.functions.draws import beta_2_3, exponential, normal, poisson, uniform
+
+# Inputs of the demonstration classifier.
+DEMO_FEATURES = [
+    "age", "days_since_registration", "engagement_score", "sessions_count",
+    "avg_session_duration", "quiz_attempts", "quiz_completions", "content_views",
+    "days_since_last_login",
+]
+
+
+def churn_probability() -> Column:
+    login, engagement = F.col("days_since_last_login"), F.col("engagement_score")
+    points = (
+        F.lit(1)
+        + F.when(login > 14, 4).when(login > 7, 2).otherwise(0)
+        + F.when(engagement < 30, 3).when(engagement < 50, 1).otherwise(0)
+        + F.when(F.col("sessions_count") < 3, 2).otherwise(0)
+    )
+    return points / 10.0
+
+
+def demo_users(keys: DataFrame, seed: int = 42) -> DataFrame:
+    """Synthetic users for a frame with a ``user_key`` column."""
+    key = [F.col("user_key")]
+
+    def u(salt: str, part: int = 0) -> Column:
+        return uniform(key, f"demo:{salt}:{seed}", part)
+
+    c = F.col
+    users = keys.select("user_key").withColumns({
+        "user_id": F.concat(F.lit("user_"), F.when(
+            c("user_key") < 10_000, F.lpad(c("user_key").cast("string"), 4, "0")
+        ).otherwise(c("user_key").cast("string"))),
+        "age": (13 + F.floor(u("who", 0) * 52)).cast("int"),
+        "days_since_registration": (1 + F.floor(u("who", 1) * 364)).cast("int"),
+        "days_since_last_login": F.floor(exponential(u("who", 2), 5.0)).cast("int"),
+        "engagement_score": clamp(50 + 20 * normal(key, f"demo:engagement:{seed}"), low=0, high=100),
+    })
+    users = users.withColumn("sessions_count", poisson(u("counts", 0), c("engagement_score") / 10))
+    users = users.withColumns({
+        "avg_session_duration": clamp(
+            c("engagement_score") * 2 + 30 * normal(key, f"demo:engagement:{seed}", 2), low=0
+        ),
+        "quiz_attempts": poisson(u("counts", 1), c("sessions_count") * 0.3),
+        "content_views": poisson(u("counts", 2), c("sessions_count") * 1.5),
+    })
+    return users.withColumns({
+        "quiz_completions": F.floor(c("quiz_attempts") * beta_2_3(key, f"demo:beta:{seed}")).cast("int"),
+        "churned": (u("who", 3) < churn_probability()).cast("int"),
+    }).select("user_key", "user_id", *DEMO_FEATURES, "churned")
+
+
+def heuristic_risk(users: DataFrame) -> DataFrame:
+    """Risk score of users away for more than seven days; it is not capped."""
+    away = users.where(F.col("days_since_last_login") > 7)
+    return away.withColumn(
+        "risk_score",
+        0.3 + F.col("days_since_last_login") / 30.0 * 0.4 + (100 - F.col("engagement_score")) / 100.0 * 0.3,
+    )
+
+
+def sample_users(users: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
+    """A random sample of at most ``n`` users."""
+    return users.orderBy(uniform([F.col("user_key")], f"sample:{seed}"), "user_key").limit(n)
+
+
+def demo_projection(users: DataFrame, days: int = 15, seed: int = 42) -> DataFrame:
+    """Risk and engagement of each user over the coming days."""
+    key = [F.col("user_key"), F.col("day")]
+    base = (
+        F.when(F.col("churned") == 1, 1.0).otherwise(0.1)
+        + F.when(F.col("days_since_last_login") > 7, 0.3).otherwise(0.0)
+        + F.when(F.col("engagement_score") < 40, 0.2).otherwise(0.0)
+        + F.when(F.col("sessions_count") < 5, 0.1).otherwise(0.0)
+    )
+    salt = f"projection:{seed}"
+    risk = F.col("predicted_churn_risk")
+    drift = F.when(risk > 0.5, -0.5).otherwise(0.2) * F.col("day")
+    return (
+        users.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
+        .withColumn("predicted_churn_risk", clamp(base + 0.05 * normal(key, salt), low=0, high=1))
+        .withColumn("predicted_engagement_score", clamp(
+            F.col("engagement_score") + drift + 2 * normal(key, salt, 2), low=0
+        ))
+        .select(
+            "user_key", "user_id", "day", "predicted_churn_risk", "predicted_engagement_score",
+            F.col("churned").alias("current_churned_status"),
+        )
+    )
+
+
+def demo_risk(projection: DataFrame) -> DataFrame:
+    """One row per projected user; a day above 0.6 is a high-risk day here."""
+    risk, score, on = F.col("predicted_churn_risk"), F.col("predicted_engagement_score"), F.col("day")
+    return projection.groupBy("user_key", "user_id").agg(
+        F.min_by("current_churned_status", on).alias("current_churned_status"),
+        F.avg(risk).alias("avg_churn_risk"),
+        F.max(risk).alias("max_churn_risk"),
+        F.avg(score).alias("avg_engagement"),
+        F.count_if(risk > 0.6).alias("days_high_risk"),
+        (F.max_by(score, on) - F.min_by(score, on)).alias("engagement_trend"),
+    )

@@ -1,0 +1 @@
+"""Left empty on purpose: nothing in scope reads or keeps a stream (see README)."""
