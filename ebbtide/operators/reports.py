@@ -60,13 +60,13 @@ def detailed_report(forecast: DataFrame, recommended: DataFrame, as_of: date, n:
     )
     bands = risk_bands(recommended).agg(F.collect_list(F.struct("band", "users", "percentage")))
     status = status_counts(recommended).agg(
-        F.collect_list(F.struct(F.col("current_churned_status").alias("status"), F.col("users")))
+        F.array_sort(F.collect_list(F.struct(F.col("current_churned_status").alias("status"), F.col("users"))))
     )
     totals = forecast_totals(forecast)
     one_row = totals.select(
         users.scalar().alias("intervention_recommendations"),
         F.struct(
-            F.array_sort(status.scalar()).alias("users_by_status"),
+            status.scalar().alias("users_by_status"),
             F.col("users_analyzed").alias("total_users"),
             bands.scalar().alias("risk_distribution"),
         ).alias("risk_summary"),
