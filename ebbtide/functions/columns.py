@@ -38,11 +38,6 @@ def clamp(value: Column, low: float | None = None, high: float | None = None) ->
     return value
 
 
-def non_negative(value: Column) -> Column:
-    """Floor at zero; NaN becomes zero too (``greatest`` alone would keep the NaN)."""
-    return F.greatest(F.lit(0.0), F.nanvl(value.cast("double"), F.lit(0.0)))
-
-
 def share(part: Column, whole: Column) -> Column:
     """Percentage, 0 when the whole is empty."""
     return F.coalesce(100.0 * part / F.nullif(whole, F.lit(0)), F.lit(0.0))

@@ -23,91 +23,100 @@ from ebbtide.functions.draws import uniform
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of the non-null values of each column."""
-    def picks(count: int) -> list[tuple[int, int]]:
-        spots = [(count - 1) * p for p in probs]
-        return [(math.floor(s), math.ceil(s)) for s in spots]
+    def ranks(count: int, prob: float) -> tuple[int, int]:
+        spot = (count - 1) * prob
+        return math.floor(spot), math.ceil(spot)
 
     data = df.select(*[number(F.col(c)).alias(c) for c in columns])
-    found, counts = _values_at_ranks(data, columns, probs, picks)
-    result: dict[str, list[float | None]] = {}
-    for c in columns:
-        values = []
-        for i, p in enumerate(probs):
-            if counts[c] == 0:
-                values.append(None)
-                continue
-            low, high = found[c][i]
-            values.append(low + (high - low) * ((counts[c] - 1) * p - math.floor((counts[c] - 1) * p)))
-        result[c] = values
-    return result
+    found, counts = _values_at_ranks(data, columns, probs, ranks)
+
+    def interpolate(column: str, i: int) -> float | None:
+        if not counts[column]:
+            return None
+        low, high = found[column, i]
+        spot = (counts[column] - 1) * probs[i]
+        return low + (high - low) * (spot - math.floor(spot))
+
+    return {c: [interpolate(c, i) for i in range(len(probs))] for c in columns}
 
 
 def value_at_share(df: DataFrame, column: str, share: float, at_least: int = 1):
     """The value that ends the first ``max(at_least, int(share * n))`` values in order."""
-    def picks(count: int) -> list[tuple[int, int]]:
-        rank = min(count, max(at_least, int(share * count))) - 1
-        return [(rank, rank)]
+    def ranks(count: int, prob: float) -> tuple[int, int]:
+        rank = min(count, max(at_least, int(prob * count))) - 1
+        return rank, rank
+
+    found, counts = _values_at_ranks(df.select(column), [column], [share], ranks)
+    return found[column, 0][0] if counts[column] else None
 
-    found, counts = _values_at_ranks(df.select(column), [column], [share], picks)
-    return found[column][0][0] if counts[column] else None
 
+def _literal(value) -> str:
+    return f"{value}L" if isinstance(value, int) else f"CAST('{value!r}' AS double)"
 
-def _values_at_ranks(df, columns, probs, picks, margin=0.001):
-    """Values at zero-based ranks; ``picks(count)`` gives a (low, high) rank per prob.
+
+def _values_at_ranks(df: DataFrame, columns: list[str], probs: list[float], ranks) -> tuple[dict, dict]:
+    """Values at zero-based ranks: ``ranks(count, prob)`` gives a (low, high) pair.
 
     A band around each quantile comes from an approximate sketch. Rows below the band
-    are only counted; rows inside it, about ``2 * margin`` of all, are grouped by value
-    and ranked. A band that misses its rank is widened until it holds it, so the sketch
+    are only counted; rows inside it, about 0.2 % of all, are grouped by value and
+    ranked. A band that misses its rank is widened until it holds it, so the sketch
     decides the cost and never the result.
     """
     if not columns:
         return {}, {}
-    while True:
-        edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
-        sketch = df.agg(
-            *[F.count(c).alias(f"n_{c}") for c in columns],
-            *[F.percentile_approx(c, edges, 10_000).alias(f"q_{c}") for c in columns],
-        ).first()
-        counts = {c: sketch[f"n_{c}"] for c in columns}
-        bands = {
-            (c, i): (sketch[f"q_{c}"][2 * i], sketch[f"q_{c}"][2 * i + 1])
-            for c in columns if counts[c]
-            for i in range(len(probs))
-        }
-        if not bands:
-            return {c: [] for c in columns}, counts
-        sides = df.agg(
-            *[F.count_if(F.col(c) < low).alias(f"below_{c}_{i}") for (c, i), (low, _) in bands.items()],
-            *[F.count_if(F.col(c) <= high).alias(f"upto_{c}_{i}") for (c, i), (_, high) in bands.items()],
-        ).first()
-        ranks = {c: picks(counts[c]) for c in columns if counts[c]}
-        missed = [
-            key for key in bands
-            if not (sides[f"below_{key[0]}_{key[1]}"] <= ranks[key[0]][key[1]][0]
-                    and ranks[key[0]][key[1]][1] < sides[f"upto_{key[0]}_{key[1]}"])
+    # Read several times below, and only these columns.
+    data = df.persist()
+    counts = data.agg(*[F.expr(f"count({c}) AS {c}") for c in columns]).first().asDict()
+    present = [(c, i) for c in columns if counts[c] for i in range(len(probs))]
+    wanted = {(c, i): ranks(counts[c], probs[i]) for c, i in present}
+    bands, below, todo = {}, {}, list(present)
+    margin = 0.001
+    while todo:
+        _find_bands(data, todo, probs, counts, margin, bands)
+        edges = [e for k, key in enumerate(todo) for e in (
+            f"count_if({key[0]} < {_literal(bands[key][0])}) AS below_{k}",
+            f"count_if({key[0]} <= {_literal(bands[key][1])}) AS upto_{k}",
+        )]
+        sides = data.agg(*[F.expr(e) for e in edges]).first()
+        below.update({key: sides[f"below_{k}"] for k, key in enumerate(todo)})
+        todo = [
+            key for k, key in enumerate(todo)
+            if not (below[key] <= wanted[key][0] and wanted[key][1] < sides[f"upto_{k}"])
         ]
-        if not missed:
-            break
         margin *= 32
-    keys = list(bands)
-    inside = F.array_compact(F.array(*[
-        F.when(F.col(c).between(*bands[c, i]), F.struct(F.lit(k).alias("k"), F.col(c).alias("value")))
+    found = _pick(data, present, bands, {k: [r - below[k] for r in wanted[k]] for k in present})
+    data.unpersist()
+    return found, counts
+
+
+def _find_bands(data, keys, probs, counts, margin, bands) -> None:
+    sketches = []
+    for k, (c, i) in enumerate(keys):
+        # Wide enough to reach the neighbouring value in a small column.
+        reach = max(margin, 2.0 / counts[c])
+        low, high = max(0.0, probs[i] - reach), min(1.0, probs[i] + reach)
+        sketches.append(f"percentile_approx({c}, array({low!r}D, {high!r}D), 10000) AS q_{k}")
+    row = data.agg(*[F.expr(s) for s in sketches]).first()
+    bands.update({key: tuple(row[f"q_{k}"]) for k, key in enumerate(keys)})
+
+
+def _pick(data, keys, bands, ranks) -> dict:
+    if not keys:
+        return {}
+    inside = ", ".join(
+        f"IF({c} BETWEEN {_literal(bands[c, i][0])} AND {_literal(bands[c, i][1])}, struct({k} AS k, {c} AS value), NULL)"
         for k, (c, i) in enumerate(keys)
-    ]))
-    by_value = df.select(F.inline(inside)).groupBy("k", "value").agg(F.count("*").alias("n"))
+    )
+    offsets = ", ".join(f"array({ranks[key][0]}L, {ranks[key][1]}L)" for key in keys)
+    by_value = data.selectExpr(f"inline(array_compact(array({inside})))").groupBy("k", "value").agg(
+        F.count("*").alias("n")
+    )
     upto = F.sum("n").over(W.partitionBy("k").orderBy("value"))
-    wanted = F.array(*[
-        F.array(*[F.lit(r - sides[f"below_{c}_{i}"]) for r in ranks[c][i]]) for c, i in keys
-    ])
-    ranked = by_value.withColumn("upto", upto).withColumn("ranks", F.get(wanted, F.col("k")))
-    holds = F.exists("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
-    # At most two rows per column and prob reach the driver.
-    rows = ranked.where(holds).orderBy("k", "value").collect()
-    found = {c: [None] * len(probs) for c in columns}
-    for k, (c, i) in enumerate(keys):
-        values = [r["value"] for r in rows if r["k"] == k]
-        found[c][i] = (values[0], values[-1])
-    return found, counts
+    ranked = by_value.withColumn("upto", upto).withColumn("ranks", F.expr(f"get(array({offsets}), k)"))
+    # At most two rows per column and quantile reach the driver.
+    rows = ranked.where("exists(ranks, r -> r >= upto - n AND r < upto)").orderBy("k", "value").collect()
+    values = {k: [r["value"] for r in rows if r["k"] == k] for k in range(len(keys))}
+    return {key: (values[k][0], values[k][-1]) for k, key in enumerate(keys)}
 
 
 # --- exact shares of a hashed order -----------------------------------------------

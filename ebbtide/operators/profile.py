@@ -47,16 +47,13 @@ def correlations(df: DataFrame, columns: list[str], label: str = "churned") -> D
     Pairs with a null side are left out per column. A constant side has no correlation;
     it gives null and sorts last.
     """
+    clean = df.select(*[number(F.col(c)).alias(c) for c in columns], number(F.col(label)).alias("_label"))
     aggregates = []
     for c in columns:
-        x, y = number(F.col(c)), number(F.col(label))
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        aggregates += [
-            F.covar_pop(x, y).alias(f"cov_{c}"),
-            (F.stddev_pop(x) * F.stddev_pop(y)).alias(f"dev_{c}"),
-        ]
-    wide = df.agg(*aggregates)
+        # The deviations must cover the same pairs as the covariance.
+        x, y = f"CASE WHEN _label IS NOT NULL THEN {c} END", f"CASE WHEN {c} IS NOT NULL THEN _label END"
+        aggregates += [f"covar_pop({c}, _label) AS cov_{c}", f"stddev_pop({x}) * stddev_pop({y}) AS dev_{c}"]
+    wide = clean.agg(*[F.expr(a) for a in aggregates])
     pairs = wide.select(rows(
         F.struct(
             F.lit(c).alias("feature"),

@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.functions.columns import day, non_negative, rows, share
+from ebbtide.functions.columns import rows, share
 from ebbtide.operators.series import METRICS
 
 BANDS = ["low", "medium", "high"]
@@ -46,13 +46,14 @@ def forecast_table(predicted: DataFrame, users: DataFrame, as_of: date, label: s
     user without a forecast cannot shift another one's row.
     """
     attributes = users.select("user_key", "user_id", F.col(label).alias("current_churned_status"))
-    named = predicted.join(attributes, "user_key").select(
+    named = predicted.join(attributes, "user_key").selectExpr(
         "user_id",
         "user_key",
-        F.col("horizon_day").cast("int").alias("prediction_day"),
-        F.date_add(day(as_of), F.col("horizon_day").cast("int")).alias("predicted_date"),
+        "CAST(horizon_day AS int) AS prediction_day",
+        f"date_add(DATE '{as_of}', CAST(horizon_day AS int)) AS predicted_date",
         "current_churned_status",
-        *[non_negative(F.col(m)).alias(f"predicted_{m}") for m in METRICS],
+        # greatest() alone would keep a NaN.
+        *[f"greatest(0D, nanvl({m}, 0D)) AS predicted_{m}" for m in METRICS],
     )
     return named.withColumn("risk_tenths", day_risk()).withColumns({
         "predicted_churn_risk": F.col("risk_tenths") / 10.0,
@@ -62,21 +63,21 @@ def forecast_table(predicted: DataFrame, users: DataFrame, as_of: date, label: s
 
 def user_risk(forecast: DataFrame) -> DataFrame:
     """One row per user with a forecast."""
-    score, on = F.col("predicted_engagement_score"), F.col("prediction_day")
-    per_user = forecast.groupBy("user_key", "user_id").agg(
-        F.min_by("current_churned_status", on).alias("current_churned_status"),
-        F.count("*").alias("days"),
-        F.sum("risk_tenths").alias("risk_sum"),
-        F.max("risk_tenths").alias("risk_max"),
-        F.count_if(F.col("risk_tenths") > 7).alias("days_high_risk"),
-        F.avg(score).alias("avg_engagement"),
-        (F.max_by(score, on) - F.min_by(score, on)).alias("engagement_trend"),
-        F.count_if(F.col("predicted_sessions_count") == 0).alias("low_activity_days"),
-        F.count_if(F.col("predicted_quiz_attempts") == 0).alias("low_quiz_days"),
-    )
+    score, on = "predicted_engagement_score", "prediction_day"
+    per_user = forecast.groupBy("user_key", "user_id").agg(*[F.expr(e) for e in (
+        f"min_by(current_churned_status, {on}) AS current_churned_status",
+        "count(*) AS days",
+        "sum(risk_tenths) AS risk_sum",
+        "max(risk_tenths) AS risk_max",
+        "count_if(risk_tenths > 7) AS days_high_risk",
+        f"avg({score}) AS avg_engagement",
+        f"max_by({score}, {on}) - min_by({score}, {on}) AS engagement_trend",
+        "count_if(predicted_sessions_count = 0) AS low_activity_days",
+        "count_if(predicted_quiz_attempts = 0) AS low_quiz_days",
+    )])
     return per_user.withColumns({
-        "avg_churn_risk": F.col("risk_sum") / (10.0 * F.col("days")),
-        "max_churn_risk": F.col("risk_max") / 10.0,
+        "avg_churn_risk": F.expr("risk_sum / (10D * days)"),
+        "max_churn_risk": F.expr("risk_max / 10D"),
     })
 
 

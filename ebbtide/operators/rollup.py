@@ -10,14 +10,14 @@ from ebbtide.sources.star import Star
 # Accepted account states, and what a metric defaults to without rows.
 KEPT_STATUS = ["active", "pending", "suspended"]
 DEFAULTS = {
-    "avg_session_duration": 0.0,
+    "avg_session_duration": "0D",
     "total_sessions": 0,
-    "avg_engagement": 50.0,
+    "avg_engagement": "50D",
     "days_since_last_login": 15,
     "current_streak": 0,
     "longest_streak": 0,
-    "quiz_accuracy": 50.0,
-    "challenge_completion": 50.0,
+    "quiz_accuracy": "50D",
+    "challenge_completion": "50D",
     "stagnation_days": 10,
     "total_quiz_attempts": 0,
     "total_quiz_completions": 0,
@@ -35,24 +35,27 @@ TOTALS = {
 }
 
 
+AVERAGES = {
+    "avg_engagement": "engagement_score",
+    "quiz_accuracy": "quiz_accuracy_percentage",
+    "challenge_completion": "challenge_completion_rate",
+}
+MAXIMA = ["days_since_last_login", "current_streak", "longest_streak", "stagnation_days"]
+
+
 def activity_per_user(activity: DataFrame) -> DataFrame:
     return activity.groupBy("user_key").agg(
-        F.avg("avg_session_duration").alias("avg_session_duration"),
-        F.max("last_activity_date").alias("last_active"),
-        *[F.sum(source).alias(name) for name, source in TOTALS.items()],
+        F.expr("avg(avg_session_duration) AS avg_session_duration"),
+        F.expr("max(last_activity_date) AS last_active"),
+        *[F.expr(f"sum({source}) AS {name}") for name, source in TOTALS.items()],
     )
 
 
 def engagement_per_user(engagement: DataFrame) -> DataFrame:
     return engagement.groupBy("user_key").agg(
-        F.count("*").alias("engagement_rows"),
-        F.avg("engagement_score").alias("avg_engagement"),
-        F.max("days_since_last_login").alias("days_since_last_login"),
-        F.max("current_streak").alias("current_streak"),
-        F.max("longest_streak").alias("longest_streak"),
-        F.avg("quiz_accuracy_percentage").alias("quiz_accuracy"),
-        F.avg("challenge_completion_rate").alias("challenge_completion"),
-        F.max("stagnation_days").alias("stagnation_days"),
+        F.expr("count(*) AS engagement_rows"),
+        *[F.expr(f"avg({source}) AS {name}") for name, source in AVERAGES.items()],
+        *[F.expr(f"max({name}) AS {name}") for name in MAXIMA],
     )
 
 
@@ -73,14 +76,9 @@ def user_rollup(star: Star, fanout: str = "compat") -> DataFrame:
         .join(activity_per_user(star.activity), "user_key", "left")
         .join(engagement_per_user(star.engagement), "user_key", "left")
     )
-    copies = F.lit(1)
-    if fanout == "compat":
-        copies = F.greatest(F.coalesce("engagement_rows", F.lit(0)), F.lit(1))
-    filled = {
-        name: F.coalesce(F.col(name) * copies if name in TOTALS else F.col(name), F.lit(default))
-        for name, default in DEFAULTS.items()
-    }
-    return joined.select(
+    copies = "greatest(coalesce(engagement_rows, 0), 1)" if fanout == "compat" else "1"
+    values = {name: f"{name} * {copies}" if name in TOTALS else name for name in DEFAULTS}
+    return joined.selectExpr(
         "user_key",
         "user_id",
         "email",
@@ -88,6 +86,6 @@ def user_rollup(star: Star, fanout: str = "compat") -> DataFrame:
         "account_status",
         "is_verified",
         "registration_date",
-        F.coalesce("last_active", "registration_date").alias("last_activity_date"),
-        *[column.alias(name) for name, column in filled.items()],
+        "coalesce(last_active, registration_date) AS last_activity_date",
+        *[f"coalesce({values[name]}, {default}) AS {name}" for name, default in DEFAULTS.items()],
     )

@@ -44,27 +44,27 @@ def daily_series(daily: DataFrame, users: DataFrame, as_of: date, days: int = 30
     offset = F.date_diff("metric_date", day(as_of))
     window = daily.where(F.col("metric_date").between(F.date_sub(day(as_of), days), F.date_sub(day(as_of), 1)))
     # One entry per active day, so no list is longer than the window.
-    packed = window.groupBy("user_key").agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            offset.alias("day_offset"), F.struct(*[F.col(m).cast("double").alias(m) for m in COUNTED]).alias("m")
-        ))).alias("by_day")
-    )
+    metrics = ", ".join(f"CAST({m} AS double) AS {m}" for m in COUNTED)
+    packed = window.select("user_key", offset.alias("day_offset"), F.expr(f"struct({metrics}) AS m")).groupBy(
+        "user_key"
+    ).agg(F.expr("map_from_entries(collect_list(struct(day_offset, m))) AS by_day"))
     dense = (
         users.select("user_key").join(packed, "user_key", "left")
         .select("user_key", "by_day", F.explode(F.sequence(F.lit(-days), F.lit(-1))).alias("day_offset"))
-        .withColumn("m", F.try_element_at("by_day", F.col("day_offset")))
-        .select(
-            "user_key", "day_offset", F.col("m").isNotNull().alias("active"),
-            *[F.coalesce(F.col(f"m.{m}"), F.lit(0.0)).alias(m) for m in COUNTED],
+        .selectExpr("user_key", "day_offset", "try_element_at(by_day, day_offset) AS m")
+        .selectExpr(
+            "user_key", "day_offset", "m IS NOT NULL AS active",
+            *[f"coalesce(m.{m}, 0D) AS {m}" for m in COUNTED],
         )
     )
     so_far = W.partitionBy("user_key").orderBy("day_offset").rowsBetween(W.unboundedPreceding, 0)
-    idle = F.max(F.when(~F.col("active"), F.col("day_offset"))).over(so_far)
-    active = F.max(F.when(F.col("active"), F.col("day_offset"))).over(so_far)
-    return dense.withColumns({
-        "login_streak": (F.col("day_offset") - F.coalesce(idle, F.lit(-days - 1))).cast("double"),
-        "days_since_login": F.coalesce(F.col("day_offset") - active, F.lit(days)).cast("double"),
-    }).select("user_key", "day_offset", *METRICS)
+    idle = F.max(F.expr("CASE WHEN NOT active THEN day_offset END")).over(so_far)
+    active = F.max(F.expr("CASE WHEN active THEN day_offset END")).over(so_far)
+    return dense.withColumns({"idle": idle, "seen": active}).selectExpr(
+        "user_key", "day_offset", *COUNTED,
+        f"CAST(day_offset - coalesce(idle, {-days - 1}) AS double) AS login_streak",
+        f"CAST(coalesce(day_offset - seen, {days}) AS double) AS days_since_login",
+    )
 
 
 def simulate_series(users: DataFrame, days: int = 30, seed: int = 42) -> DataFrame:
@@ -120,21 +120,21 @@ def second_half(series: DataFrame, settings: Settings) -> DataFrame:
 
 def series_features(series: DataFrame, settings: Settings) -> DataFrame:
     """72 numbers per user from the first half; users without a full series drop out."""
-    early, day_offset = F.col("day_offset") < -settings.horizon_days, F.col("day_offset")
+    early = f"day_offset < -{settings.horizon_days}"
     aggregates = []
     for m in METRICS:
-        x = F.when(early, F.col(m))
+        x = f"CASE WHEN {early} THEN {m} END"
         aggregates += [
-            F.avg(x).alias(f"{m}_mean"),
-            F.stddev_pop(x).alias(f"{m}_std"),
-            F.min(x).alias(f"{m}_min"),
-            F.max(x).alias(f"{m}_max"),
-            F.max_by(x, F.when(early, day_offset)).alias(f"{m}_last"),
-            F.sum(x).alias(f"{m}_sum"),
-            F.count_if(x > 0).cast("double").alias(f"{m}_active_days"),
-            F.coalesce(F.regr_slope(x, day_offset), F.lit(0.0)).alias(f"{m}_slope"),
+            f"avg({x}) AS {m}_mean",
+            f"stddev_pop({x}) AS {m}_std",
+            f"min({x}) AS {m}_min",
+            f"max({x}) AS {m}_max",
+            f"max_by({m}, CASE WHEN {early} THEN day_offset END) AS {m}_last",
+            f"sum({x}) AS {m}_sum",
+            f"CAST(count_if({early} AND {m} > 0) AS double) AS {m}_active_days",
+            f"coalesce(regr_slope({x}, day_offset), 0D) AS {m}_slope",
         ]
-    per_user = series.groupBy("user_key").agg(F.count("*").alias("days"), *aggregates)
+    per_user = series.groupBy("user_key").agg(F.expr("count(*) AS days"), *[F.expr(a) for a in aggregates])
     return per_user.where(F.col("days") >= settings.history_days).select("user_key", *FEATURES)
 
 
@@ -150,14 +150,12 @@ def trend_forecast(features: DataFrame, settings: Settings) -> DataFrame:
     """Straight-line forecast: each metric's first-half line, carried on over the horizon.
 
     Values are floored at zero and rounded before any threshold looks at them, so that
-    the order of floating-point sums cannot move a user across a threshold.
+    the order of floating-point sums cannot move a user across a threshold. The nudge
+    does the same for values that end exactly on a rounding tie.
     """
     days = settings.horizon_days
-    ahead = F.col("horizon_day") + (days - 1) / 2
-    return features.withColumn("horizon_day", F.explode(F.sequence(F.lit(1), F.lit(days)))).select(
+    ahead = f"(horizon_day + {(days - 1) / 2}D)"
+    return features.withColumn("horizon_day", F.explode(F.sequence(F.lit(1), F.lit(days)))).selectExpr(
         "user_key", "horizon_day",
-        *[
-            F.round(F.greatest(F.lit(0.0), F.col(f"{m}_mean") + F.col(f"{m}_slope") * ahead), 6).alias(m)
-            for m in METRICS
-        ],
+        *[f"round(greatest(0D, {m}_mean + {m}_slope * {ahead}) + 1e-9D, 6) AS {m}" for m in METRICS],
     )

@@ -53,9 +53,9 @@ class Results:
 
 
 def prepare(star: Star, settings: Settings, fanout: str = "compat") -> Prepared:
-    """Roll up, label, impute, derive and screen. The prepared users are written out once,
-    because every later step reads them."""
-    rollup = user_rollup(star, fanout)
+    """Roll up, label, impute, derive and screen. The roll-up and the prepared users are
+    written out, because several steps read them and the facts are far larger."""
+    rollup = durable(user_rollup(star, fanout))
     base = derived_features(label_base(rollup, settings.as_of))
     labelled, approach = choose_labels(base, label_realistic(rollup, settings.as_of), settings)
     users = durable(safe_features(impute(labelled)))

@@ -20,7 +20,7 @@ PI2 = "6.283185307179586::DOUBLE"
 
 
 def r(expression: str, name: str | None = None) -> str:
-    return f"round(({expression})::DOUBLE, 8) + 0.0::DOUBLE AS {name or expression}"
+    return f"round(({expression})::DOUBLE + 1e-11::DOUBLE, 8) AS {name or expression}"
 
 
 def u(keys: str, salt: str, part: int = 0) -> str:
@@ -239,7 +239,7 @@ PIECES = {
     "targets": f"SELECT user_key, day_offset + 16 AS horizon_day, {', '.join(METRICS)} FROM series WHERE day_offset >= -15",
     "trend": f"""
     SELECT user_key, horizon_day,
-        {', '.join(f"round(greatest(0, {m}_mean + {m}_slope * (horizon_day + 7)), 6) AS {m}" for m in METRICS)}
+        {', '.join(f"round(greatest(0, {m}_mean + {m}_slope * (horizon_day + 7)) + 1e-9::DOUBLE, 6) AS {m}" for m in METRICS)}
     FROM features, (SELECT unnest(generate_series(1, 15))::INT AS horizon_day)""",
     "scored": f"""
     SELECT r.user_id, t.user_key, horizon_day AS prediction_day, {AS_OF} + horizon_day AS predicted_date,
@@ -268,7 +268,7 @@ PIECES = {
     "live": f"SELECT *, {ACTIONS_LIVE} AS recommendations FROM risk",
     "scores": f"""
     SELECT user_key, churned_realistic AS churned, round(least(1.0, (days_since_last_login / 30.0::DOUBLE * 0.4::DOUBLE
-        + (100 - r.avg_engagement) / 100 * 0.3::DOUBLE) * 2), 8) AS score
+        + (100 - r.avg_engagement) / 100 * 0.3::DOUBLE) * 2) + 1e-11::DOUBLE, 8) AS score
     FROM rollup r JOIN (SELECT user_key, churned_realistic FROM realistic) USING (user_key)""",
     "by_score": "SELECT score, sum(churned)::BIGINT AS pos, sum(1 - churned)::BIGINT AS neg FROM scores GROUP BY score",
     "totals": f"""
@@ -422,7 +422,7 @@ EXPORT = ["user_id", "current_churned_status", "avg_churn_risk", "max_churn_risk
 JOINED = "array_to_string(recommendations, ',') AS recommendations"
 USER_JSON = ", ".join([
     "user_key := user_key", "user_id := user_id", "age := age", "last_activity_date := last_activity_date",
-    "total_sessions := total_sessions", "avg_engagement := round(avg_engagement, 8)", "is_verified := is_verified",
+    "total_sessions := total_sessions", "avg_engagement := round(avg_engagement + 1e-11::DOUBLE, 8)", "is_verified := is_verified",
     "churned := churned",
 ])
 FLIPPED = """SELECT user_key, CASE WHEN {condition} THEN 1 - churned ELSE churned END AS churned FROM (

@@ -7,12 +7,12 @@ are rounded to eight decimals, because the order of a distributed sum is not fix
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.functions.columns import clamp
 from ebbtide.operators import actions as act
 from ebbtide.operators import classifier, curves, demo, diagnosis, labels, profile, reports, risk, scaling, split
 from ebbtide.operators import features as feats
@@ -25,21 +25,25 @@ from ebbtide.session import durable
 from ebbtide.settings import Settings
 from ebbtide.sources import driver_tables as tables
 from ebbtide.sources import sinks
-from ebbtide.sources.star import run_sql
+from ebbtide.sources.star import Star, run_sql
 
 SETTINGS = Settings(as_of=tables.AS_OF)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+def query(function: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    QUERIES[function.__name__] = lambda spark, folder: function(Inputs(spark, folder))
     return function
 
 
 def publish(df: DataFrame) -> DataFrame:
-    doubles = {f.name: F.round(f.name, 8) for f in df.schema if isinstance(f.dataType, T.DoubleType)}
-    return df.withColumns(doubles) if doubles else df
+    """Eight decimals. The nudge moves exact ties off the boundary, where the last bit of
+    a sum would decide the result."""
+    return df.selectExpr(*[
+        f"round(`{f.name}` + 1e-11D, 8) AS `{f.name}`" if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
+        for f in df.schema
+    ])
 
 
 def codes(df: DataFrame) -> DataFrame:
@@ -49,69 +53,109 @@ def codes(df: DataFrame) -> DataFrame:
 
 # --- shared inputs ----------------------------------------------------------------
 
-def rollup(spark, folder, fanout="compat"):
-    return user_rollup(tables.driver_star(spark, folder), fanout)
+class Inputs:
+    """Intermediate frames of one query, each built once."""
 
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
 
-def base_users(spark, folder):
-    return labels.label_base(rollup(spark, folder), SETTINGS.as_of)
+    @cached_property
+    def activity(self) -> DataFrame:
+        return tables.daily_activity(self.spark, self.folder)
 
+    @cached_property
+    def star(self) -> Star:
+        return tables.driver_star(self.spark, self.folder, SETTINGS.as_of, self.activity)
 
-def realistic_users(spark, folder):
-    return labels.label_realistic(rollup(spark, folder), SETTINGS.as_of)
+    @cached_property
+    def daily(self) -> DataFrame:
+        return tables.daily_metrics(self.activity)
 
+    @cached_property
+    def rollup(self) -> DataFrame:
+        return user_rollup(self.star)
 
-def model_users(spark, folder):
-    """Realistic users with ``churned`` as the label name, before imputation."""
-    return realistic_users(spark, folder).withColumnRenamed("churned_realistic", "churned")
+    @cached_property
+    def base(self) -> DataFrame:
+        return labels.label_base(self.rollup, SETTINGS.as_of)
 
+    @cached_property
+    def derived(self) -> DataFrame:
+        return feats.derived_features(self.base)
 
-def safe_users(spark, folder):
-    return feats.safe_features(feats.impute(model_users(spark, folder)))
+    @cached_property
+    def realistic(self) -> DataFrame:
+        return labels.label_realistic(self.rollup, SETTINGS.as_of)
 
+    @cached_property
+    def model_users(self) -> DataFrame:
+        """Realistic users with ``churned`` as the label name, before imputation."""
+        return self.realistic.withColumnRenamed("churned_realistic", "churned")
 
-def series(spark, folder):
-    users = rollup(spark, folder).select("user_key")
-    return ser.daily_series(tables.daily_metrics(spark, folder), users, SETTINGS.as_of, SETTINGS.history_days)
+    @cached_property
+    def safe(self) -> DataFrame:
+        return feats.safe_features(feats.impute(self.model_users))
 
+    @cached_property
+    def series(self) -> DataFrame:
+        return ser.daily_series(self.daily, self.rollup, SETTINGS.as_of, SETTINGS.history_days)
 
-def trend(spark, folder):
-    return ser.trend_forecast(ser.series_features(series(spark, folder), SETTINGS), SETTINGS)
+    @cached_property
+    def targets(self) -> DataFrame:
+        return ser.second_half(self.series, SETTINGS)
 
+    @cached_property
+    def trend(self) -> DataFrame:
+        return ser.trend_forecast(ser.series_features(self.series, SETTINGS), SETTINGS)
 
-def forecast(spark, folder):
-    return risk.forecast_table(trend(spark, folder), model_users(spark, folder), SETTINGS.as_of)
+    @cached_property
+    def forecast(self) -> DataFrame:
+        return risk.forecast_table(self.trend, self.model_users, SETTINGS.as_of)
 
+    @cached_property
+    def risk(self) -> DataFrame:
+        return risk.user_risk(self.forecast)
 
-def per_user(spark, folder):
-    return risk.user_risk(forecast(spark, folder))
+    @cached_property
+    def recommended(self) -> DataFrame:
+        return act.actions(self.risk)
 
+    @cached_property
+    def scores(self) -> DataFrame:
+        """A deterministic score table: the inactivity heuristic against realistic labels."""
+        heuristic = "least(1D, (days_since_last_login / 30D * 0.4D + (100 - avg_engagement) / 100 * 0.3D) * 2)"
+        return durable(self.rollup.select(
+            "user_key",
+            labels.realistic_churn(SETTINGS.as_of).alias("churned"),
+            F.expr(f"round({heuristic} + 1e-11D, 8)").alias("score"),
+        ))
 
-def recommended(spark, folder, rules="live"):
-    return act.actions(per_user(spark, folder), rules)
+    @cached_property
+    def totals(self) -> DataFrame:
+        return curves.threshold_totals(self.scores)
 
+    @cached_property
+    def demo(self) -> DataFrame:
+        keys = tables.read(self.spark, self.folder, "customer").selectExpr("c_custkey AS user_key")
+        return demo.demo_users(keys, SETTINGS.seed)
 
-def scores(spark, folder):
-    """A deterministic score table: the inactivity heuristic against realistic labels."""
-    users = rollup(spark, folder)
-    away, bored = F.col("days_since_last_login") / 30.0 * 0.4, (100 - F.col("avg_engagement")) / 100.0 * 0.3
-    return users.select(
-        "user_key",
-        labels.realistic_churn(SETTINGS.as_of).alias("churned"),
-        F.round(clamp((away + bored) * 2, high=1), 8).alias("score"),
-    )
-
+    @cached_property
+    def kept(self) -> Inputs:
+        """The same inputs on a written roll-up, for operators that read it several times."""
+        other = Inputs(self.spark, self.folder)
+        other.__dict__["rollup"] = durable(self.rollup)
+        return other
 
-def demo_people(spark, folder):
-    keys = tables.read(spark, folder, "customer").select(F.col("c_custkey").alias("user_key"))
-    return demo.demo_users(keys, SETTINGS.seed)
+    @cached_property
+    def prepared(self) -> analysis.Prepared:
+        return analysis.prepare(self.star, SETTINGS)
 
 
 # --- sources and roll-up ----------------------------------------------------------
 
 @query
-def sql_sessions_by_status(spark, folder):
-    return publish(run_sql(spark, tables.driver_star(spark, folder), """
+def sql_sessions_by_status(given):
+    return publish(run_sql(given.spark, given.star, """
         SELECT u.account_status, count(DISTINCT u.user_key) AS users, sum(a.session_count) AS sessions,
                avg(a.avg_session_duration) AS mean_duration
         FROM {dim_users} u LEFT JOIN {fact_user_activity} a ON u.user_key = a.user_key
@@ -120,114 +164,114 @@ def sql_sessions_by_status(spark, folder):
 
 
 @query
-def scan_users(spark, folder):
-    return tables.driver_star(spark, folder).users.drop("email")
+def scan_users(given):
+    return given.star.users.drop("email")
 
 
 @query
-def scan_activity(spark, folder):
-    return publish(tables.driver_star(spark, folder).activity)
+def scan_activity(given):
+    return publish(given.star.activity)
 
 
 @query
-def scan_engagement(spark, folder):
-    return publish(tables.driver_star(spark, folder).engagement)
+def scan_engagement(given):
+    return publish(given.star.engagement)
 
 
 @query
-def user_rollup_corrected(spark, folder):
-    return publish(rollup(spark, folder, "corrected").drop("email"))
+def user_rollup_corrected(given):
+    return publish(user_rollup(given.star, "corrected").drop("email"))
 
 
 @query
-def user_features_base(spark, folder):
-    return publish(base_users(spark, folder).drop("email").orderBy("user_key"))
+def user_features_base(given):
+    return publish(given.base.drop("email").orderBy("user_key"))
 
 
 @query
-def user_features_realistic(spark, folder):
-    return publish(realistic_users(spark, folder).drop("email").orderBy("user_key"))
+def user_features_realistic(given):
+    return publish(given.realistic.drop("email").orderBy("user_key"))
 
 
 # --- features, labels, noise ------------------------------------------------------
 
 @query
-def derived_features(spark, folder):
-    return publish(feats.derived_features(base_users(spark, folder)).select(
+def derived_features(given):
+    return publish(given.derived.select(
         "user_key", "session_frequency", "quiz_completion_rate", "quiz_abandon_rate", "engagement_trend",
         "activity_diversity", "challenge_success_ratio", "consistency_index",
     ))
 
 
 @query
-def imputed_safe_features(spark, folder):
-    return publish(safe_users(spark, folder).select("user_key", "churned", *feats.SAFE_FEATURES))
+def imputed_safe_features(given):
+    return publish(given.kept.safe.select("user_key", "churned", *feats.SAFE_FEATURES))
 
 
 @query
-def noisy_features(spark, folder):
-    out = noisy.add_noise(base_users(spark, folder), SETTINGS.noise_level, SETTINGS.seed)
+def noisy_features(given):
+    out = noisy.add_noise(given.kept.base, SETTINGS.noise_level, SETTINGS.seed)
     return publish(out.select("user_key", *noisy.PERCENTAGES, *noisy.FLOORED))
 
 
 @query
-def flipped_labels(spark, folder):
-    users = base_users(spark, folder).select("user_key", "churned")
+def flipped_labels(given):
+    users = given.kept.base.select("user_key", "churned")
     return noisy.flip_labels(users, SETTINGS.flip_rate, SETTINGS.seed)
 
 
 @query
-def flipped_labels_approx(spark, folder):
-    users = base_users(spark, folder).select("user_key", "churned")
+def flipped_labels_approx(given):
+    users = given.base.select("user_key", "churned")
     return noisy.flip_labels(users, SETTINGS.flip_rate, SETTINGS.seed, mode="approx")
 
 
 @query
-def chosen_labels(spark, folder):
-    chosen, approach = labels.choose_labels(base_users(spark, folder), realistic_users(spark, folder), SETTINGS)
+def chosen_labels(given):
+    chosen, approach = labels.choose_labels(given.kept.base, given.kept.realistic, SETTINGS)
     return chosen.select("user_key", "churned", F.lit(approach).alias("approach"))
 
 
 # --- profile ----------------------------------------------------------------------
 
 @query
-def churn_label_counts(spark, folder):
-    return publish(labels.label_stats(base_users(spark, folder)))
+def churn_label_counts(given):
+    return publish(labels.label_stats(given.base))
 
 
 @query
-def churn_rate(spark, folder):
-    return publish(labels.label_rate(base_users(spark, folder)))
+def churn_rate(given):
+    return publish(labels.label_rate(given.base))
 
 
 @query
-def risk_category_counts(spark, folder):
-    return publish(labels.risk_distribution(realistic_users(spark, folder)))
+def risk_category_counts(given):
+    return publish(labels.risk_distribution(given.realistic))
 
 
 @query
-def null_counts(spark, folder):
-    return profile.null_counts(model_users(spark, folder).drop("email"))
+def null_counts(given):
+    return profile.null_counts(given.model_users.drop("email"))
 
 
 @query
-def numeric_profile(spark, folder):
-    return publish(profile.numeric_profile(feats.derived_features(base_users(spark, folder))))
+def numeric_profile(given):
+    return publish(profile.numeric_profile(given.kept.derived))
 
 
 @query
-def label_correlations(spark, folder):
-    return publish(profile.correlations(safe_users(spark, folder), feats.SAFE_FEATURES))
+def label_correlations(given):
+    return publish(profile.correlations(given.kept.safe, feats.SAFE_FEATURES))
 
 
 @query
-def label_correlations_top(spark, folder):
-    return publish(profile.correlations(safe_users(spark, folder), feats.SAFE_FEATURES).limit(10))
+def label_correlations_top(given):
+    return publish(profile.correlations(given.kept.safe, feats.SAFE_FEATURES).limit(10))
 
 
 @query
-def screened_features(spark, folder):
-    users = feats.derived_features(base_users(spark, folder))
+def screened_features(given):
+    users = given.kept.derived
     candidates = [*feats.MEDIAN_FILLED, "days_since_last_login", "stagnation_days", "engagement_trend",
                   "days_since_last_activity", "session_frequency"]
     correlated = profile.correlations(users, candidates)
@@ -238,45 +282,45 @@ def screened_features(spark, folder):
 # --- splits and scaling -----------------------------------------------------------
 
 @query
-def stratified_test_rows(spark, folder):
-    users = model_users(spark, folder).select("user_key", "churned")
+def stratified_test_rows(given):
+    users = given.kept.model_users.select("user_key", "churned")
     return split.mark_test(users, "churned", SETTINGS.test_share, SETTINGS.seed)
 
 
 @query
-def stratified_test_rows_approx(spark, folder):
-    users = model_users(spark, folder).select("user_key", "churned")
+def stratified_test_rows_approx(given):
+    users = given.model_users.select("user_key", "churned")
     return split.mark_test(users, "churned", SETTINGS.test_share, SETTINGS.seed, mode="approx")
 
 
 @query
-def ordered_split(spark, folder):
-    first, rest = split.ordered_split(rollup(spark, folder).select("user_key"))
+def ordered_split(given):
+    first, rest = split.ordered_split(given.kept.rollup.select("user_key"))
     return first.withColumn("part", F.lit("train")).unionByName(rest.withColumn("part", F.lit("validation")))
 
 
 @query
-def stratified_folds(spark, folder):
-    users = model_users(spark, folder).select("user_key", "churned")
+def stratified_folds(given):
+    users = given.kept.model_users.select("user_key", "churned")
     return split.stratified_folds(users, "churned", SETTINGS.folds, SETTINGS.seed)
 
 
 @query
-def standardised_features(spark, folder):
-    users = safe_users(spark, folder)
+def standardised_features(given):
+    users = given.kept.safe
     scaler = scaling.fit_standard(users, feats.SAFE_FEATURES)
     return publish(scaler.transform(users).select("user_key", *feats.SAFE_FEATURES))
 
 
 @query
-def min_max_targets(spark, folder):
-    targets = ser.second_half(series(spark, folder), SETTINGS)
+def min_max_targets(given):
+    targets = durable(given.targets)
     return publish(scaling.fit_min_max(targets, ser.METRICS).transform(targets))
 
 
 @query
-def min_max_round_trip(spark, folder):
-    targets = ser.second_half(series(spark, folder), SETTINGS)
+def min_max_round_trip(given):
+    targets = durable(given.targets)
     scaler = scaling.fit_min_max(targets, ser.METRICS)
     return publish(scaler.inverse(scaler.transform(targets)))
 
@@ -284,181 +328,181 @@ def min_max_round_trip(spark, folder):
 # --- series and forecast ----------------------------------------------------------
 
 @query
-def daily_series(spark, folder):
-    return publish(series(spark, folder))
+def daily_series(given):
+    return publish(given.series)
 
 
 @query
-def simulated_series(spark, folder):
-    users = model_users(spark, folder)
+def simulated_series(given):
+    users = given.model_users
     return publish(ser.simulate_series(users, SETTINGS.history_days, SETTINGS.seed))
 
 
 @query
-def simulated_series_noisy_path(spark, folder):
-    users = feats.derived_features(base_users(spark, folder))
+def simulated_series_noisy_path(given):
+    users = given.derived
     return publish(ser.simulate_series(users, SETTINGS.history_days, SETTINGS.seed))
 
 
 @query
-def series_features(spark, folder):
-    return publish(ser.series_features(series(spark, folder), SETTINGS))
+def series_features(given):
+    return publish(ser.series_features(given.series, SETTINGS))
 
 
 @query
-def series_targets(spark, folder):
-    return publish(ser.series_targets(series(spark, folder), SETTINGS))
+def series_targets(given):
+    return publish(ser.series_targets(given.series, SETTINGS))
 
 
 @query
-def widened_targets(spark, folder):
-    return publish(risk.widen_forecast(ser.series_targets(series(spark, folder), SETTINGS)))
+def widened_targets(given):
+    return publish(risk.widen_forecast(ser.series_targets(given.series, SETTINGS)))
 
 
 @query
-def trend_forecast(spark, folder):
-    return publish(forecast(spark, folder))
+def trend_forecast(given):
+    return publish(given.forecast)
 
 
 @query
-def trend_forecast_error(spark, folder):
-    cells = forecast_cells(trend(spark, folder), series(spark, folder), SETTINGS)
+def trend_forecast_error(given):
+    cells = forecast_cells(given.trend, given.series, SETTINGS)
     return publish(diagnosis.regression_error(cells))
 
 
 @query
-def forecast_totals(spark, folder):
-    return risk.forecast_totals(forecast(spark, folder))
+def forecast_totals(given):
+    return risk.forecast_totals(given.forecast)
 
 
 # --- risk and actions -------------------------------------------------------------
 
 @query
-def user_risk(spark, folder):
-    return publish(risk.ranked(per_user(spark, folder)))
+def user_risk(given):
+    return publish(risk.ranked(given.risk))
 
 
 @query
-def high_risk_users(spark, folder):
-    return publish(risk.high_risk(per_user(spark, folder)).select("user_key", "user_id", "avg_churn_risk"))
+def high_risk_users(given):
+    return publish(risk.high_risk(given.risk).select("user_key", "user_id", "avg_churn_risk"))
 
 
 @query
-def high_risk_users_top20(spark, folder):
-    return publish(risk.high_risk(per_user(spark, folder), n=20).select("user_key", "user_id", "avg_churn_risk"))
+def high_risk_users_top20(given):
+    return publish(risk.high_risk(given.risk, n=20).select("user_key", "user_id", "avg_churn_risk"))
 
 
 @query
-def high_risk_total(spark, folder):
-    return reports.high_risk_report(forecast(spark, folder), per_user(spark, folder))["total_high_risk"]
+def high_risk_total(given):
+    return reports.high_risk_report(given.forecast, given.risk)["total_high_risk"]
 
 
 @query
-def users_by_status(spark, folder):
-    groups = risk.by_status(per_user(spark, folder))
+def users_by_status(given):
+    groups = risk.by_status(given.risk)
     sides = [g.select("user_key", F.lit(name).alias("status_group")) for name, g in groups.items()]
     return sides[0].unionByName(sides[1])
 
 
 @query
-def status_counts(spark, folder):
-    return risk.status_counts(per_user(spark, folder))
+def status_counts(given):
+    return risk.status_counts(given.risk)
 
 
 @query
-def risk_bands(spark, folder):
-    return publish(risk.risk_bands(per_user(spark, folder)))
+def risk_bands(given):
+    return publish(risk.risk_bands(given.risk))
 
 
 @query
-def risk_summary(spark, folder):
-    return publish(risk.risk_summary(per_user(spark, folder)))
+def risk_summary(given):
+    return publish(risk.risk_summary(given.risk))
 
 
 @query
-def recommendations_live(spark, folder):
-    return publish(codes(recommended(spark, folder).select("user_key", "avg_churn_risk", "recommendations")))
+def recommendations_live(given):
+    return publish(codes(given.recommended.select("user_key", "avg_churn_risk", "recommendations")))
 
 
 @query
-def recommendations_classic(spark, folder):
-    return codes(recommended(spark, folder, "classic").select("user_key", "recommendations"))
+def recommendations_classic(given):
+    return codes(act.actions(given.risk, "classic").select("user_key", "recommendations"))
 
 
 @query
-def top_actions(spark, folder):
-    return act.top_actions(recommended(spark, folder))
+def top_actions(given):
+    return act.top_actions(given.recommended)
 
 
 @query
-def recommendations_top20(spark, folder):
-    return publish(codes(reports.top_recommendations(recommended(spark, folder))))
+def recommendations_top20(given):
+    return publish(codes(reports.top_recommendations(given.recommended)))
 
 
 @query
-def recommendations_csv(spark, folder):
-    return publish(sinks.csv_frame(recommended(spark, folder)))
+def recommendations_csv(given):
+    return publish(sinks.csv_frame(given.recommended))
 
 
 # --- scores and curves ------------------------------------------------------------
 
 @query
-def roc_curve(spark, folder):
-    return publish(curves.roc_points(curves.threshold_totals(scores(spark, folder))))
+def roc_curve(given):
+    return publish(curves.roc_points(given.totals))
 
 
 @query
-def roc_curve_corners(spark, folder):
-    return publish(curves.roc_points(curves.threshold_totals(scores(spark, folder)), corners_only=True))
+def roc_curve_corners(given):
+    return publish(curves.roc_points(given.totals, corners_only=True))
 
 
 @query
-def precision_recall_curve(spark, folder):
-    return publish(curves.pr_points(curves.threshold_totals(scores(spark, folder))))
+def precision_recall_curve(given):
+    return publish(curves.pr_points(given.totals))
 
 
 @query
-def curve_areas(spark, folder):
-    return publish(curves.curve_areas(curves.threshold_totals(scores(spark, folder))))
+def curve_areas(given):
+    return publish(curves.curve_areas(given.totals))
 
 
 @query
-def score_stats(spark, folder):
-    return publish(diagnosis.score_stats(scores(spark, folder)))
+def score_stats(given):
+    return publish(diagnosis.score_stats(given.scores))
 
 
 @query
-def score_overlap(spark, folder):
-    return publish(diagnosis.overlap_ratio(scores(spark, folder)))
+def score_overlap(given):
+    return publish(diagnosis.overlap_ratio(given.scores))
 
 
 @query
-def extreme_scores(spark, folder):
-    return publish(diagnosis.extreme_scores(scores(spark, folder)))
+def extreme_scores(given):
+    return publish(diagnosis.extreme_scores(given.scores))
 
 
 @query
-def class_weights(spark, folder):
-    return publish(classifier.class_weights(model_users(spark, folder)))
+def class_weights(given):
+    return publish(classifier.class_weights(given.model_users))
 
 
 # --- charts and reports -----------------------------------------------------------
 
 @query
-def first_forecasts(spark, folder):
-    return publish(reports.first_forecasts(forecast(spark, folder)).select(
+def first_forecasts(given):
+    return publish(reports.first_forecasts(given.forecast).select(
         "user_key", "prediction_day", "predicted_churn_risk", "predicted_engagement_level",
     ))
 
 
 @query
-def chart_forecast_lines(spark, folder):
-    return publish(reports.chart_lines(forecast(spark, folder)))
+def chart_forecast_lines(given):
+    return publish(reports.chart_lines(given.forecast))
 
 
 @query
-def detailed_users(spark, folder):
-    top = reports.detailed_users(recommended(spark, folder))
+def detailed_users(given):
+    top = reports.detailed_users(given.recommended)
     return publish(codes(top.select(
         "rank", "user_id", F.col("status.text").alias("status_text"), F.col("status.code").alias("status_code"),
         "metrics.*", "recommendations",
@@ -466,88 +510,84 @@ def detailed_users(spark, folder):
 
 
 @query
-def detailed_report_json(spark, folder):
-    ahead = forecast(spark, folder)
+def detailed_report_json(given):
+    ahead = given.forecast
     report = reports.detailed_report(ahead, act.actions(risk.user_risk(ahead)), SETTINGS.as_of)
     return sinks.json_rows(report)
 
 
 @query
-def user_json_rows(spark, folder):
-    users = base_users(spark, folder).select(
+def user_json_rows(given):
+    users = given.base.select(
         "user_key", "user_id", "age", "last_activity_date", "total_sessions", "avg_engagement", "is_verified", "churned",
     )
     return sinks.json_rows(publish(users))
 
 
 @query
-def label_count_map(spark, folder):
-    counts = sinks.stats_map(labels.label_stats(base_users(spark, folder)), "churned", "users")
+def label_count_map(given):
+    counts = sinks.stats_map(labels.label_stats(given.base), "churned", "users")
     return counts.select(F.to_json("stats").alias("stats"))
 
 
 # --- demonstration data -----------------------------------------------------------
 
 @query
-def demo_users(spark, folder):
-    return publish(demo_people(spark, folder))
+def demo_users(given):
+    return publish(given.demo)
 
 
 @query
-def demo_heuristic_risk(spark, folder):
-    return publish(demo.heuristic_risk(demo_people(spark, folder)).select("user_key", "user_id", "risk_score"))
+def demo_heuristic_risk(given):
+    return publish(demo.heuristic_risk(given.demo).select("user_key", "user_id", "risk_score"))
 
 
 @query
-def demo_sample(spark, folder):
-    return demo.sample_users(demo_people(spark, folder), 50, SETTINGS.seed).select("user_key")
+def demo_sample(given):
+    return demo.sample_users(given.demo, 50, SETTINGS.seed).select("user_key")
 
 
 @query
-def demo_projection(spark, folder):
-    return publish(demo.demo_projection(demo_people(spark, folder), SETTINGS.horizon_days, SETTINGS.seed))
+def demo_projection(given):
+    return publish(demo.demo_projection(given.demo, SETTINGS.horizon_days, SETTINGS.seed))
 
 
 @query
-def demo_recommendations(spark, folder):
-    projected = demo.demo_projection(demo_people(spark, folder), SETTINGS.horizon_days, SETTINGS.seed)
+def demo_recommendations(given):
+    projected = demo.demo_projection(given.demo, SETTINGS.horizon_days, SETTINGS.seed)
     return publish(codes(risk.ranked(act.actions(demo.demo_risk(projected), "demo"))))
 
 
 # --- models (no SQL equivalent) ---------------------------------------------------
 
-def prepared(spark, folder):
-    return analysis.prepare(tables.driver_star(spark, folder), SETTINGS)
-
-
 @query
-def classifier_scores(spark, folder):
-    return analysis.churn_scores(prepared(spark, folder), SETTINGS, cross_validate=False)[0]
+def classifier_scores(given):
+    return analysis.churn_scores(given.prepared, SETTINGS, cross_validate=False)[0]
 
 
 @query
-def classifier_importances(spark, folder):
-    return analysis.churn_scores(prepared(spark, folder), SETTINGS, cross_validate=False)[1]
+def classifier_importances(given):
+    return analysis.churn_scores(given.prepared, SETTINGS, cross_validate=False)[1]
 
 
 @query
-def classifier_cross_validation(spark, folder):
-    ready = prepared(spark, folder)
+def classifier_cross_validation(given):
+    ready = given.prepared
     mean, std = classifier.cv_auc(ready.users, ready.selected, SETTINGS)
     return ready.users.agg(F.count("*").alias("users"), F.lit(mean).alias("cv_mean"), F.lit(std).alias("cv_std"))
 
 
 @query
-def forest_forecast(spark, folder):
-    history = durable(series(spark, folder))
+def forest_forecast(given):
+    history = durable(given.series)
     train, _ = split.ordered_split(history)
     predicted = fit_forecaster(train, SETTINGS).predict(ser.series_features(history, SETTINGS))
-    return risk.forecast_table(predicted, model_users(spark, folder), SETTINGS.as_of)
+    return risk.forecast_table(predicted, given.model_users, SETTINGS.as_of)
 
 
 @query
-def demo_classifier(spark, folder):
-    people = durable(demo_people(spark, folder))
+def demo_classifier(given):
+    people = durable(given.demo)
     train, test = split.plain_split(people, 0.3, SETTINGS.seed, "user_key")
     model = classifier.fit_classifier(
         train, demo.DEMO_FEATURES, SETTINGS.demo_classifier, SETTINGS.seed, balanced=False
@@ -560,7 +600,7 @@ def demo_classifier(spark, folder):
 
 
 @query
-def full_analysis_summary(spark, folder):
+def full_analysis_summary(given):
     return analysis.run(
-        tables.driver_star(spark, folder), SETTINGS, tables.daily_metrics(spark, folder)
+        given.star, SETTINGS, given.daily
     ).summary

@@ -11,101 +11,95 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.functions.columns import clamp, day
 from ebbtide.sources.star import Star, make_star
 
 AS_OF = date(2024, 1, 31)
 
 
+# Declared, so that no job has to read file footers to infer them.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+              " o_orderdate timestamp_ntz, o_orderpriority string",
+}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def users(spark: SparkSession, folder: str, as_of: date = AS_OF) -> DataFrame:
-    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
-    status = (
-        F.when(segment == "MACHINERY", "suspended")
-        .when(segment == "FURNITURE", "pending")
-        .when(segment == "AUTOMOBILE", "deleted")
-        .otherwise("active")
-    )
-    return read(spark, folder, "customer").select(
-        key.alias("user_key"),
-        F.col("c_name").alias("user_id"),
-        F.lit(None).cast("string").alias("email"),
-        F.when(key % 7 != 0, 13 + key % 52).cast("int").alias("age"),
-        status.alias("account_status"),
-        (F.col("c_acctbal") > 0).alias("is_verified"),
-        F.when(key % 11 != 0, F.date_sub(day(as_of), (key % 60).cast("int"))).alias("registration_date"),
+    return read(spark, folder, "customer").selectExpr(
+        "c_custkey AS user_key",
+        "c_name AS user_id",
+        "CAST(NULL AS string) AS email",
+        "CAST(IF(c_custkey % 7 <> 0, 13 + c_custkey % 52, NULL) AS int) AS age",
+        "coalesce(map('MACHINERY', 'suspended', 'FURNITURE', 'pending', 'AUTOMOBILE', 'deleted')"
+        "[c_mktsegment], 'active') AS account_status",
+        "c_acctbal > 0 AS is_verified",
+        f"IF(c_custkey % 11 <> 0, date_sub(DATE '{as_of}', CAST(c_custkey % 60 AS int)), NULL) AS registration_date",
     )
 
 
 def daily_activity(spark: SparkSession, folder: str) -> DataFrame:
     """One row per user and active day. Dates are set back by up to 39 days per user, so
     that last activity spreads over every recency rule."""
-    event, kind = read(spark, folder, "events"), F.col("event_type")
-    # Distinct hours as bits of one integer: merges map-side, unlike count(distinct).
-    hours = F.bit_count(F.bit_or(F.expr("1 << hour(ts)")))
     return (
-        event.groupBy(
-            F.col("user_id").alias("user_key"),
-            F.date_sub(F.to_date("ts"), (F.col("user_id") % 40).cast("int")).alias("last_activity_date"),
+        read(spark, folder, "events")
+        .selectExpr(
+            "user_id AS user_key",
+            "date_sub(to_date(ts), CAST(user_id % 40 AS int)) AS last_activity_date",
+            "hour(ts) AS hour",
+            "event_type AS kind",
+            "value",
         )
+        .groupBy("user_key", "last_activity_date")
         .agg(
-            hours.cast("bigint").alias("session_count"),
-            F.avg("value").alias("avg_session_duration"),
-            clamp(F.sum("value"), high=100).alias("engagement_score"),
-            F.count_if(kind.isin("click", "purchase")).alias("quiz_attempts"),
-            F.count_if(kind == "purchase").alias("quiz_completions"),
-            F.count_if(kind == "error").alias("quiz_abandons"),
-            F.count_if(kind == "view").alias("content_views"),
-            F.count_if(kind == "signup").alias("challenge_interactions"),
+            # Distinct hours as bits of one integer: merges map-side, unlike count(distinct).
+            F.expr("CAST(bit_count(bit_or(1 << hour)) AS bigint) AS session_count"),
+            F.expr("avg(value) AS avg_session_duration"),
+            F.expr("least(100D, sum(value)) AS engagement_score"),
+            F.expr("count_if(kind IN ('click', 'purchase')) AS quiz_attempts"),
+            F.expr("count_if(kind = 'purchase') AS quiz_completions"),
+            F.expr("count_if(kind = 'error') AS quiz_abandons"),
+            F.expr("count_if(kind = 'view') AS content_views"),
+            F.expr("count_if(kind = 'signup') AS challenge_interactions"),
         )
     )
 
 
 def yearly_engagement(spark: SparkSession, folder: str) -> DataFrame:
-    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    key, year = F.col("user_key"), F.col("year")
     return (
         read(spark, folder, "orders")
-        .where(F.col("o_orderstatus") == "F")
+        .where("o_orderstatus = 'F'")
         .groupBy(F.col("o_custkey").alias("user_key"), F.year("o_orderdate").alias("year"))
         .agg(
-            F.avg("o_totalprice").alias("mean_price"),
-            F.max("o_totalprice").alias("top_price"),
-            F.count("*").alias("orders"),
-            F.avg(urgent.cast("int")).alias("urgent_share"),
+            F.expr("least(100D, avg(o_totalprice) / 5000) AS engagement_score"),
+            F.expr("least(100D, max(o_totalprice) / 5000) AS challenge_completion_rate"),
+            F.expr("100 * avg(CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS int)) AS quiz_accuracy_percentage"),
+            F.expr("CAST(count(*) AS int) AS current_streak"),
         )
-        .select(
-            "user_key",
-            clamp(F.col("mean_price") / 5000, high=100).alias("engagement_score"),
-            (key % 5 * 4).cast("int").alias("days_since_last_login"),
-            F.col("orders").cast("int").alias("current_streak"),
-            (F.col("orders") + key % 3).cast("int").alias("longest_streak"),
-            (100 * F.col("urgent_share")).alias("quiz_accuracy_percentage"),
-            clamp(F.col("top_price") / 5000, high=100).alias("challenge_completion_rate"),
-            ((key * 7 + year) % 25).cast("int").alias("stagnation_days"),
+        .selectExpr(
+            "*",
+            "CAST(user_key % 5 * 4 AS int) AS days_since_last_login",
+            "CAST(current_streak + user_key % 3 AS int) AS longest_streak",
+            "CAST((user_key * 7 + year) % 25 AS int) AS stagnation_days",
         )
     )
 
 
-def driver_star(spark: SparkSession, folder: str, as_of: date = AS_OF) -> Star:
-    return make_star(
-        users(spark, folder, as_of), daily_activity(spark, folder), yearly_engagement(spark, folder)
-    )
+def driver_star(
+    spark: SparkSession, folder: str, as_of: date = AS_OF, activity: DataFrame | None = None
+) -> Star:
+    activity = daily_activity(spark, folder) if activity is None else activity
+    return make_star(users(spark, folder, as_of), activity, yearly_engagement(spark, folder))
 
 
-def daily_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """The same daily roll-up, under the metric names a behaviour series uses."""
-    return daily_activity(spark, folder).select(
-        "user_key",
-        F.col("last_activity_date").alias("metric_date"),
-        F.col("avg_session_duration").alias("session_duration"),
-        F.col("session_count").alias("sessions_count"),
-        "engagement_score",
-        "quiz_attempts",
-        "quiz_completions",
-        "content_views",
-        "challenge_interactions",
+def daily_metrics(activity: DataFrame) -> DataFrame:
+    """A daily roll-up under the metric names a behaviour series uses."""
+    return activity.selectExpr(
+        "user_key", "last_activity_date AS metric_date", "avg_session_duration AS session_duration",
+        "session_count AS sessions_count", "engagement_score", "quiz_attempts", "quiz_completions",
+        "content_views", "challenge_interactions",
     )

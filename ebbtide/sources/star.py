@@ -53,7 +53,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     missing = [f.name for f in schema if f.name not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    return df.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema])
 
 
 def make_star(users: DataFrame, activity: DataFrame, engagement: DataFrame) -> Star:
