@@ -32,7 +32,7 @@ def forest(size: ForestSize, seed: int, label: str = "churned", weight: str | No
     settings = dict(
         featuresCol="features", labelCol=label, numTrees=size.trees, maxDepth=size.depth,
         minInstancesPerNode=size.min_leaf, featureSubsetStrategy=size.features,
-        maxBins=size.max_bins, seed=seed,
+        maxBins=size.max_bins, seed=seed, maxMemoryInMB=size.node_memory_mb,
     )
     if weight:
         settings["weightCol"] = weight

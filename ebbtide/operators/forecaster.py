@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import rows
 from ebbtide.operators.series import FEATURES, METRICS, second_half, series_features
-from ebbtide.session import durable
+from ebbtide.session import durable, spread
 from ebbtide.settings import Settings
 
 
@@ -30,11 +30,11 @@ class Forecaster:
         """(user_key, horizon_day, nine metrics) for every user in ``features``."""
         days = F.sequence(F.lit(1), F.lit(self.horizon_days))
         if self.mode == "per_metric":
-            at_days = features.withColumn("horizon_day", F.explode(days))
+            at_days = spread(features).withColumn("horizon_day", F.explode(days))
             return self.model.transform(at_days).select(
                 "user_key", "horizon_day", *[F.col(f"p_{m}").alias(m) for m in METRICS]
             )
-        wide = self.model.transform(features)
+        wide = self.model.transform(spread(features))
         return wide.select("user_key", rows(
             F.struct(F.lit(d).alias("horizon_day"), *[F.col(f"p_{m}_{d}").alias(m) for m in METRICS])
             for d in range(1, self.horizon_days + 1)
@@ -46,26 +46,28 @@ def training_rows(series: DataFrame, settings: Settings) -> DataFrame:
     return series_features(series, settings).join(second_half(series, settings), "user_key")
 
 
-def _regressor(target: str, output: str, settings: Settings) -> RandomForestRegressor:
+def _regressor(target: str, output: str, settings: Settings, rows_per_user: int) -> RandomForestRegressor:
     size = settings.forecaster
     return RandomForestRegressor(
         featuresCol="inputs", labelCol=target, predictionCol=output, numTrees=size.trees,
-        maxDepth=size.depth, minInstancesPerNode=size.min_leaf, featureSubsetStrategy=size.features,
-        maxBins=size.max_bins, seed=settings.seed,
+        maxDepth=size.depth, minInstancesPerNode=size.min_leaf * rows_per_user, featureSubsetStrategy=size.features,
+        maxBins=size.max_bins, seed=settings.seed, maxMemoryInMB=size.node_memory_mb,
     )
 
 
 def fit_forecaster(
-    series: DataFrame, settings: Settings, mode: str = "per_metric", parallelism: int = 3
+    series: DataFrame, settings: Settings, mode: str = "per_metric", parallelism: int = 4
 ) -> Forecaster:
     """Fit one forest per metric (default), or one per metric and horizon day.
 
-    The training rows are written out once and every forest reads them from there. The
+    The leaf size counts users: with one row per user and day it is multiplied by the
+    days. The training rows are written out once and every forest reads them from there. The
     thread pool only overlaps the driver's part of independent fits.
     """
     if mode == "per_metric":
         inputs, data = [*FEATURES, "horizon_day"], training_rows(series, settings)
         targets = {m: f"p_{m}" for m in METRICS}
+        rows_per_user = settings.horizon_days
     elif mode == "per_target":
         inputs = FEATURES
         days = range(1, settings.horizon_days + 1)
@@ -74,12 +76,13 @@ def fit_forecaster(
         ])
         data = series_features(series, settings).join(by_day, "user_key")
         targets = {f"{m}_{d}": f"p_{m}_{d}" for m in METRICS for d in days}
+        rows_per_user = 1
     else:
         raise ValueError("mode must be 'per_metric' or 'per_target'")
     assembler = VectorAssembler(inputCols=inputs, outputCol="inputs")
-    ready = durable(assembler.transform(data).select("inputs", *targets))
+    ready = durable(assembler.transform(spread(data)).select("inputs", *targets))
     with ThreadPoolExecutor(parallelism) as pool:
-        forests = list(pool.map(lambda t: _regressor(t, targets[t], settings).fit(ready), targets))
+        forests = list(pool.map(lambda t: _regressor(t, targets[t], settings, rows_per_user).fit(ready), targets))
     return Forecaster(mode, PipelineModel([assembler, *forests]), settings.horizon_days)
 
 

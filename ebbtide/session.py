@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Forest statistics travel as object graphs, which Kryo writes far faster.
+        .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
         # Recording a Python call site costs several JVM round trips per column operator.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -43,3 +45,14 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="ebbtide-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str = "user_key") -> DataFrame:
+    """Full parallelism for model work.
+
+    Adaptive execution merges partitions by their bytes, but fitting and scoring forests
+    costs far more per byte than a join does. An explicit count is left alone.
+    """
+    session = df.sparkSession
+    count = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(count, key)

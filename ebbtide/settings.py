@@ -13,6 +13,8 @@ class ForestSize:
     min_leaf: int
     features: str
     max_bins: int = 32
+    # Statistics of the nodes grown in one pass over the rows; more memory, fewer passes.
+    node_memory_mb: int = 1024
 
 
 @dataclass(frozen=True)
@@ -29,7 +31,7 @@ class Settings:
     seed: int = 42
     # A split needs 20 rows; two leaves of at least 10 already imply that.
     classifier: ForestSize = field(default=ForestSize(trees=50, depth=5, min_leaf=10, features="0.5"))
-    # A split needs 5 rows; Spark only bounds the leaf, and leaves of 2 are the nearest.
+    # A split needs 5 users; Spark only bounds the leaf, and leaves of 2 are the nearest.
     forecaster: ForestSize = field(default=ForestSize(trees=100, depth=10, min_leaf=2, features="all"))
     demo_classifier: ForestSize = field(default=ForestSize(trees=50, depth=30, min_leaf=1, features="sqrt"))
 
