@@ -95,9 +95,19 @@ def _find_bands(data, keys, probs, counts, margin, bands) -> None:
         # Wide enough to reach the neighbouring value in a small column.
         reach = max(margin, 2.0 / counts[c])
         low, high = max(0.0, probs[i] - reach), min(1.0, probs[i] + reach)
-        sketches.append(f"percentile_approx({c}, array({low!r}D, {high!r}D), 10000) AS q_{k}")
+        sketches.append(
+            f"array(min({c}), max({c})) AS q_{k}" if reach >= 1
+            else f"percentile_approx({c}, array({low!r}D, {high!r}D), 10000) AS q_{k}"
+        )
     row = data.agg(*[F.expr(s) for s in sketches]).first()
-    bands.update({key: tuple(row[f"q_{k}"]) for k, key in enumerate(keys)})
+    bands.update({key: _whole(*row[f"q_{k}"]) for k, key in enumerate(keys)})
+
+
+def _whole(low, high):
+    """The sketch works in doubles; for large integers, allow for their rounding."""
+    if not isinstance(low, int):
+        return low, high
+    return low - int(math.ulp(float(low))), high + int(math.ulp(float(high)))
 
 
 def _pick(data, keys, bands, ranks) -> dict:
