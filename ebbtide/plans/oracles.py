@@ -19,8 +19,8 @@ SEED = 42
 PI2 = "6.283185307179586::DOUBLE"
 
 
-def r(expression: str, name: str | None = None) -> str:
-    return f"round(({expression})::DOUBLE + 1e-11::DOUBLE, 8) AS {name or expression}"
+def r(expression: str, name: str | None = None, digits: int = 8) -> str:
+    return f"round(({expression})::DOUBLE + 1e-11::DOUBLE, {digits}) AS {name or expression}"
 
 
 def u(keys: str, salt: str, part: int = 0) -> str:
@@ -148,7 +148,7 @@ def simulated(source: str, path_columns: bool) -> str:
         ) OVER (PARTITION BY user_key, day_offset ORDER BY k) AS cdf FROM steps),
     completed AS (SELECT user_key, day_offset, count(*) FILTER (ub >= cdf) AS quiz_completions
         FROM law GROUP BY ALL)
-    SELECT user_key, day_offset, {', '.join(r(f"c.{m}" if m != 'quiz_completions' else 'coalesce(quiz_completions, 0)', m)
+    SELECT user_key, day_offset, {', '.join(r(f"c.{m}" if m != 'quiz_completions' else 'coalesce(quiz_completions, 0)', m, 6)
                                             for m in METRICS)}
     FROM counted c LEFT JOIN completed USING (user_key, day_offset)"""
 
@@ -188,22 +188,18 @@ PIECES = {
     "rollup": rollup_sql("fact_engagement"),
     "base": f"""
     SELECT * EXCLUDE (age, registration_date), coalesce(age, 13) AS age,
-        CASE WHEN last_activity_date IS NULL THEN 1 WHEN last_activity_date < {AS_OF} - 14 THEN 1
-            WHEN days_since_last_login > 14 THEN 1 WHEN account_status = 'suspended' THEN 1
-            WHEN days_since_last_login > 10 AND avg_engagement < 30 THEN 1
-            WHEN days_since_last_login > 7 AND total_sessions < 5 THEN 1
-            WHEN stagnation_days > 20 THEN 1 ELSE 0 END AS churned,
-        CASE WHEN last_activity_date IS NULL THEN 30
-            ELSE greatest(0, {AS_OF} - last_activity_date) END::INT AS days_since_last_activity
+        (coalesce({AS_OF} - last_activity_date, 99) > 14 OR days_since_last_login > 14
+            OR account_status = 'suspended' OR (days_since_last_login > 10 AND avg_engagement < 30)
+            OR (days_since_last_login > 7 AND total_sessions < 5) OR stagnation_days > 20)::INT AS churned,
+        if(last_activity_date IS NULL, 30, greatest({AS_OF} - last_activity_date, 0))::INT AS days_since_last_activity
     FROM rollup""",
     "realistic": f"""
-    SELECT * EXCLUDE (is_verified, days_since_last_login, stagnation_days),
-        CASE WHEN last_activity_date < {AS_OF} - 30 THEN 1 WHEN account_status = 'suspended' THEN 1
-            WHEN total_sessions < 3 AND avg_engagement < 25 THEN 1 ELSE 0 END AS churned_realistic,
-        CASE WHEN last_activity_date < {AS_OF} - 21 THEN 'high_risk'
-            WHEN last_activity_date < {AS_OF} - 14 THEN 'medium_risk'
-            WHEN avg_engagement < 30 AND total_sessions < 5 THEN 'low_engagement' ELSE 'active' END AS risk_category
-    FROM rollup""",
+    SELECT * EXCLUDE (is_verified, days_since_last_login, stagnation_days, idle),
+        (coalesce({AS_OF} - last_activity_date, 0) > 30 OR account_status = 'suspended'
+            OR (total_sessions < 3 AND avg_engagement < 25))::INT AS churned_realistic,
+        if(idle > 21, 'high_risk', if(idle > 14, 'medium_risk',
+            if(avg_engagement < 30 AND total_sessions < 5, 'low_engagement', 'active'))) AS risk_category
+    FROM (SELECT *, coalesce({AS_OF} - last_activity_date, 0) AS idle FROM rollup)""",
     "derived": f"""
     SELECT *, total_sessions / 30.0::DOUBLE AS session_frequency,
         {div('total_quiz_completions', 'total_quiz_attempts')} AS quiz_completion_rate,
