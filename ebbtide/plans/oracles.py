@@ -82,7 +82,6 @@ def tier(table: dict, mean: str) -> str:
     return " || ".join(f"({p})" for p in parts)
 
 
-EXACT_MEAN = "(risk_sum::DECIMAL(18, 4) / (10 * days))"
 SHORT = {rule: LIVE[rule][:n] for rule, n in CLASSIC_LENGTHS.items()}
 CHURNED_CODES = ", ".join("'" + c + "'" for c in LIVE["churned"])
 ACTIONS_LIVE = f"""CASE WHEN current_churned_status = 1 THEN [{CHURNED_CODES}] ELSE {tier(LIVE, 'exact_mean')}
@@ -440,15 +439,6 @@ def scaled(expression) -> str:
     return ", ".join(r(expression(m), m) for m in METRICS)
 
 
-REPORT_USERS = """SELECT list(to_json(struct_pack("rank" := place, user_id := user_id,
-    status := struct_pack("text" := CASE WHEN current_churned_status = 1 THEN 'churned' ELSE 'active' END,
-        code := current_churned_status),
-    metrics := struct_pack(avg_churn_risk := avg_churn_risk, max_churn_risk := max_churn_risk,
-        days_high_risk := days_high_risk, avg_engagement := avg_engagement, engagement_trend := engagement_trend,
-        engagement_trend_formatted := printf('%+.1f', engagement_trend)),
-    recommendations := recommendations)) ORDER BY place) AS top
-    FROM (SELECT *, row_number() OVER (ORDER BY avg_churn_risk DESC, user_key) AS place FROM live) WHERE place <= 5"""
-
 ORACLES = {
     "sql_sessions_by_status": sql(
         f"""SELECT u.account_status, count(DISTINCT u.user_key) AS users, sum(a.session_count)::BIGINT AS sessions,
