@@ -8,9 +8,9 @@ candidates, and a candidate counts only if its full sets are similar enough.
 Copies with one and the same set are folded into their smallest id before banding, so a
 group of thousands of exact copies is one row. Within a band's bucket, members are compared
 with one hub; whatever the links found so far leave in different components is compared with
-a second, random hub, and only what still differs then is compared pair by pair. Members of
-one component need no further comparison, so no link between components is lost and no
-group of near copies is expanded into all its pairs.
+a second, random hub, and what still differs then is banded once more by how it differs from
+the hub. Members of one component need no further comparison, so no group of near copies is
+expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -23,12 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.components import components
+from ebbtide.llm.membership import only_members
 from ebbtide.llm.scratch import saved
 from ebbtide.llm.words import chunks, mix, run_hash, shingle_hashes, split_words
 
 #: Bands and coordinates of each. A pair at similarity 0.8 misses all bands with probability 3.2e-6.
 BANDS, ROWS = 24, 4
 
+#: The same for the sketches of differences, where the similarity may be as low as a third.
+_FINE_BANDS, _FINE_ROWS = 64, 2
+
 _TILE = 512
 
 
@@ -123,7 +127,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _apart(left: str, right: str, percent: int) -> Column:
+def _sizes_allow(left: str, right: str, percent: int) -> Column:
     """Sizes alone allow the similarity."""
     return (100 * F.least(left, right) >= percent * F.greatest(left, right))
 
@@ -147,12 +151,12 @@ def near_duplicate_links(sketch: DataFrame, docs: DataFrame, width: int, percent
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("hub")).where("members > 1")
     members = saved(keyed.join(shared.select("key", "hub"), "key"), "buckets")
     sets = saved(
-        shingle_sets(docs.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), width), "sets"
+        shingle_sets(only_members(docs, "id", members.select("id")).dropDuplicates(["id"]), width), "sets"
     )
 
     def stars(rows: DataFrame) -> DataFrame:
         return (
-            rows.where(F.col("hub.id") != F.col("id")).where(_apart("hub.n", "n", percent))
+            rows.where(F.col("hub.id") != F.col("id")).where(_sizes_allow("hub.n", "n", percent))
             .select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
         )
 
@@ -162,13 +166,50 @@ def near_duplicate_links(sketch: DataFrame, docs: DataFrame, width: int, percent
     hubs = mixed.groupBy("key").agg(F.min(draw).alias("hub"))
     second = saved(_confirmed(stars(mixed.join(hubs, "key")), sets, percent), "links").union(first)
     mixed = _labelled(mixed.select("key", "id", "n"), second)
-    other = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    rest = (
-        mixed.join(other, "key")
-        .where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & _apart("n", "n_b", percent))
+    return _confirmed(_differing_alike(mixed, sets, percent), sets, percent).union(second)
+
+
+def _differing_alike(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) from different components of a bucket.
+
+    Members of a dense bucket resemble its hub, so nearly all their pairs share shingles. What
+    tells the similar pairs is how members differ from the hub: if two sets outside the reach
+    of the hub are similar, their differences to it are too (a third at least for equal
+    sizes), while differences made independently share next to nothing. So the differences are
+    sketched and banded anew, and pairs come from those bands only.
+    """
+    hubs = mixed.groupBy("key").agg(F.min("id").alias("hub"))
+    frames = mixed.join(hubs, "key").where("id <> hub").select("hub", "id", "n", "label").distinct()
+    mine, hub = F.col("mine"), F.col("of_hub")
+    differences = (
+        frames.join(sets.select("id", F.col("shingles").alias("mine")), "id")
+        .join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+        .select("hub", "id", "n", "label", F.concat(F.array_except(mine, hub), F.array_except(hub, mine)).alias("differs"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(4).values.to_numpy().view(np.uint64)
+            at = batch.column(4).offsets.to_numpy()
+            hub_of = batch.column(0).to_numpy().view(np.uint64)
+            keys = [
+                mix(band_keys(signature(flat[at[r] : at[r + 1]], _FINE_BANDS * _FINE_ROWS), _FINE_BANDS, _FINE_ROWS) ^ mix(hub_of[r : r + 1]))
+                for r in range(batch.num_rows)
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3)), _list(keys)], ["id", "n", "label", "keys"])
+
+    keyed = saved(
+        differences.where(F.size("differs") > 0).mapInArrow(run, "id long, n long, label long, keys array<long>")
+        .select("id", "n", "label", F.explode("keys").alias("key")), "differences",
+    )
+    apart = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    keyed = keyed.join(apart.select("key"), "key", "left_semi")
+    other = keyed.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    return (
+        keyed.join(other, "key")
+        .where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_allow("n", "n_b", percent))
         .select(F.col("id").alias("a"), "b").distinct()
     )
-    return _confirmed(rest, sets, percent).union(second)
 
 
 def near_duplicates(

@@ -18,8 +18,10 @@ CHUNK_BYTES = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII bytes but letters and digits.
+NO_LETTER = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _CODES = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64)
 _CODES[65:91] = _CODES[97:123]
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -34,6 +36,7 @@ class Words(NamedTuple):
     hashes: np.ndarray  # uint64
     bounds: np.ndarray  # words of row r: bounds[r] to bounds[r + 1]
     rows: np.ndarray  # byte bounds of the rows
+    sums: np.ndarray  # running hash of the bytes, for parts of words
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,13 +83,18 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
-def split_words(data: np.ndarray, rows: np.ndarray, breaks: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
-    """Words of one chunk. ``breaks``: byte classes (a, b); a word also ends between a and b."""
+def split_words(
+    data: np.ndarray, rows: np.ndarray, breaks: tuple[np.ndarray, np.ndarray] | None = None, gaps: np.ndarray = SPACE
+) -> Words:
+    """Words of one chunk, parted by the bytes of class ``gaps``.
+
+    ``breaks``: byte classes (a, b); a word also ends between a and b.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(0, np.uint64), np.zeros(len(rows), np.int64), rows)
-    word = ~_SPACE[data]
+        return Words(data, none, none, np.zeros(0, np.uint64), np.zeros(len(rows), np.int64), rows, np.zeros(1, np.uint64))
+    word = ~gaps[data]
     first = np.empty(n + 1, bool)
     first[0] = first[n] = True
     first[1:n] = ~word[:-1]
@@ -101,7 +109,7 @@ def split_words(data: np.ndarray, rows: np.ndarray, breaks: tuple[np.ndarray, np
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_CODES[data] * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, rows), rows)
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, rows), rows, sums)
 
 
 def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +129,14 @@ def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(joined[inside]), at
 
 
+def prefix_hashes(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words longer than ``length`` bytes, by index, and the hashes of their first ``length`` bytes."""
+    longer = np.flatnonzero(words.ends - words.starts > length)
+    starts = words.starts[longer]
+    down = _power_tables(len(words.data) + 1)[1]
+    return longer, mix((words.sums[starts + length] - words.sums[starts]) * down[starts] + np.uint64(length))
+
+
 def run_hash(hashes: np.ndarray) -> np.uint64:
     """Hash of a whole sequence of word hashes."""
     value = np.uint64(len(hashes))

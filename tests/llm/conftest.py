@@ -1,0 +1 @@
+"""The session comes from the parent folder."""
