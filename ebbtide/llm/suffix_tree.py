@@ -27,12 +27,12 @@ from pyspark.sql import Window
 from ebbtide.llm.scratch import forget, saved
 from ebbtide.llm.words import Words, chunks, mix, split_words
 
-DEPTH = 5
-SHARE = 1e-6
+DEPTH = 6
+SHARE = 2e-7
 #: Weight of the shorter state against counts.
 WEIGHT = 8.0
 #: Bytes of text in a block of documents that ask for word counts together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 _END = 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -86,6 +86,12 @@ def place_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            code, n = _tally(np.concatenate(codes), np.concatenate(counts))
+            for k in range(0, len(code), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(code[k : k + 50_000].view(np.int64)), pa.array(n[k : k + 50_000])], ["code", "n"])
+
         for batch in batches:
             for _, _, data, rows in chunks(batch.column(0)):
                 own = np.sort(place_codes(*canonical(split_words(data, rows))))
@@ -94,12 +100,10 @@ def place_counts(texts: DataFrame) -> DataFrame:
                 counts.append(np.diff(np.append(fresh, len(own))))
                 size += len(fresh)
                 if size > 3_000_000:
-                    whole = _tally(np.concatenate(codes), np.concatenate(counts))
-                    codes, counts, size = [whole[0]], [whole[1]], 0
+                    yield from flush()
+                    codes, counts, size = [], [], 0
         if codes:
-            code, n = _tally(np.concatenate(codes), np.concatenate(counts))
-            for k in range(0, len(code), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(code[k : k + 50_000].view(np.int64)), pa.array(n[k : k + 50_000])], ["code", "n"])
+            yield from flush()
 
     return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
