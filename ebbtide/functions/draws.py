@@ -25,72 +25,3 @@ def normal(key: list[Column], salt: str, part: int = 0) -> Column:
     """Standard normal by Box-Muller from parts ``part`` and ``part + 1``."""
     radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(key, salt, part)))
     return radius * F.cos(F.lit(2 * math.pi) * uniform(key, salt, part + 1))
-
-
-def poisson_steps(rate: float, terms: int = 12) -> list[float]:
-    """P(X <= k) for k = 0 .. terms - 1."""
-    steps, term, total = [], math.exp(-rate), 0.0
-    for k in range(terms):
-        total += term
-        steps.append(total)
-        term *= rate / (k + 1)
-    return steps
-
-
-def poisson_fixed(u: Column, rate: float, terms: int = 12) -> Column:
-    """Poisson draw for a constant small rate: how many steps of the CDF lie at or below u."""
-    return sum(((u >= F.lit(s)).cast("int") for s in poisson_steps(rate, terms)), F.lit(0))
-
-
-def poisson(u: Column, rate: Column, terms: int = 128) -> Column:
-    """Poisson draw for a per-row rate well below ``terms``."""
-    start = F.struct(F.exp(-rate).alias("term"), F.lit(0.0).alias("total"), F.lit(0).alias("n"))
-
-    def step(acc: Column, k: Column) -> Column:
-        total = acc["total"] + acc["term"]
-        return F.struct(
-            (acc["term"] * rate / (k + 1)).alias("term"),
-            total.alias("total"),
-            (acc["n"] + (u >= total).cast("int")).alias("n"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), start, step, lambda acc: acc["n"])
-
-
-def binomial(u: Column, z: Column, n: Column, p: Column, exact_up_to: int = 64) -> Column:
-    """Binomial draw: by inversion for small n, by the normal approximation beyond.
-
-    The loop is bounded, so a user with millions of attempts costs no more than any other.
-    """
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
-    odds = p / F.greatest(F.lit(1e-300), F.lit(1.0) - p)
-    start = F.struct(
-        F.pow(F.lit(1.0) - p, F.least(n, F.lit(exact_up_to))).alias("term"),
-        F.lit(0.0).alias("total"),
-        F.lit(0).alias("n"),
-    )
-
-    def step(acc: Column, k: Column) -> Column:
-        total = acc["total"] + acc["term"]
-        return F.struct(
-            (acc["term"] * (n - k) / (k + 1) * odds).alias("term"),
-            total.alias("total"),
-            (acc["n"] + ((u >= total) & (k < n)).cast("int")).alias("n"),
-        )
-
-    small = F.aggregate(
-        F.sequence(F.lit(0), F.least(n, F.lit(exact_up_to)).cast("int")), start, step, lambda acc: acc["n"]
-    )
-    spread = F.sqrt(n * p * (F.lit(1.0) - p))
-    large = F.greatest(F.lit(0.0), F.least(n.cast("double"), F.round(n * p + z * spread)))
-    drawn = F.when(p >= 1.0, n.cast("bigint")).when(n <= exact_up_to, small.cast("bigint"))
-    return F.when(n <= 0, F.lit(0).cast("bigint")).otherwise(drawn.otherwise(large.cast("bigint")))
-
-
-def exponential(u: Column, scale: float) -> Column:
-    return F.lit(-scale) * F.log(F.lit(1.0) - u)
-
-
-def beta_2_3(key: list[Column], salt: str) -> Column:
-    """Beta(2, 3) is the law of the second smallest of four uniforms."""
-    return F.array_sort(F.array(*[uniform(key, salt, part) for part in range(4)]))[1]

@@ -1,4 +1,8 @@
-"""Intervention actions per user, from a rule table."""
+"""Intervention actions per user, from a rule table.
+
+An action says which rule asked for it and over which channel it goes out. A rule hands out
+its channels in a fixed order, and how many it hands out is what the rule tables state.
+"""
 
 from __future__ import annotations
 
@@ -9,32 +13,24 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators.risk import above
 
-# How many actions each rule hands out, and their order. The order decides
-# which five reach the CSV. The codes are our own names for the actions.
-LIVE = {
-    "churned": ["reactivation_campaign", "return_incentive", "exit_interview_call", "relevant_content_email"],
-    "critical": ["urgent_contact", "retention_call", "special_incentive", "personal_tutor", "urgent_push"],
-    "high": ["motivational_content", "group_challenge_invite", "tutor_email", "achievement_highlight",
-             "personal_content"],
-    "moderate": ["activity_reminder", "progress_display", "interactive_activity", "progress_statistics"],
-    "stable": ["maintain_engagement", "advanced_content", "exemplary_recognition"],
-    "engagement_low": ["review_difficulty", "more_interactive_content", "change_teaching_method", "connect_peers"],
-    "engagement_fair": ["widen_content_variety", "personalise_learning"],
-    "falling": ["falling_engagement_alert", "change_content_strategy", "ask_feedback", "review_goals"],
-    "rising": ["use_momentum", "extra_challenges"],
-    "idle": ["push_notifications", "reactivation_reward", "study_calendar"],
-    "few_quizzes": ["simplify_quizzes", "gamify_quizzes", "practice_reminder"],
-}
+CHANNELS = ["mail", "call", "offer", "in_app", "coach"]
 TIERS = ["critical", "high", "moderate", "stable"]
-CLASSIC_LENGTHS = {
+
+
+def _catalogue(counts: dict[str, int]) -> dict[str, list[str]]:
+    return {rule: [f"{rule}/{channel}" for channel in CHANNELS[:n]] for rule, n in counts.items()}
+
+
+# How many actions each rule hands out. Rules apply in this order, which
+# decides the five that reach the CSV.
+LIVE = _catalogue({
+    "churned": 4, "critical": 5, "high": 5, "moderate": 4, "stable": 3, "engagement_low": 4, "engagement_fair": 2,
+    "falling": 4, "rising": 2, "idle": 3, "few_quizzes": 3,
+})
+CLASSIC = _catalogue({
     "churned": 3, "critical": 3, "high": 3, "moderate": 2, "engagement_low": 2, "falling": 2, "idle": 2,
-}
-DEMO = {
-    "critical": ["urgent_contact", "retention_call", "personal_incentive"],
-    "high": ["needed_intervention", "reengagement_email", "personal_recommended_content"],
-    "moderate": ["close_monitoring", "suggest_new_features", "content_notifications"],
-    "stable": ["stable_user", "referral_candidate", "upsell_opportunity"],
-}
+})
+TIERS_ONLY = _catalogue({"critical": 3, "high": 3, "moderate": 3, "stable": 3})
 
 
 def _when(condition: Column, codes: list[str]) -> Column:
@@ -65,27 +61,22 @@ def _live() -> Column:
 
 
 def _classic() -> Column:
-    short = {rule: LIVE[rule][:n] for rule, n in CLASSIC_LENGTHS.items()}
     return F.concat(
-        _when(F.col("current_churned_status") == 1, short["churned"]),
-        _tier(short, above),
-        _when(F.col("avg_engagement") < 30, short["engagement_low"]),
-        _when(F.col("engagement_trend") < -10, short["falling"]),
-        _when(F.col("low_activity_days") > 7, short["idle"]),
+        _when(F.col("current_churned_status") == 1, CLASSIC["churned"]),
+        _tier(CLASSIC, above),
+        _when(F.col("avg_engagement") < 30, CLASSIC["engagement_low"]),
+        _when(F.col("engagement_trend") < -10, CLASSIC["falling"]),
+        _when(F.col("low_activity_days") > 7, CLASSIC["idle"]),
     )
 
 
-def _demo() -> Column:
-    return _tier(DEMO, lambda tenths: F.col("avg_churn_risk") > tenths / 10)
-
-
 def actions(risk: DataFrame, rules: str = "live") -> DataFrame:
     """Add ``recommendations``, an array of action codes in rule order.
 
     ``live`` is the full table, ``classic`` the older shorter one that does not stop at
-    churned users, ``demo`` the one of the demonstration data (by mean risk only).
+    churned users, ``tiers`` the one that looks at mean risk only.
     """
-    columns = {"live": _live, "classic": _classic, "demo": _demo}
+    columns = {"live": _live, "classic": _classic, "tiers": lambda: _tier(TIERS_ONLY, above)}
     return risk.withColumn("recommendations", columns[rules]())
 
 

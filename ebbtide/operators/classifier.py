@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ebbtide.operators.order_stats import few_groups
 from ebbtide.operators.split import stratified_folds
 from ebbtide.settings import ForestSize, Settings
 
@@ -25,6 +26,7 @@ def class_weights(df: DataFrame, label: str = "churned") -> DataFrame:
 
 def weighted(df: DataFrame, label: str = "churned") -> DataFrame:
     """Attach the class weight; the weight table has one row per class."""
+    few_groups(df, label)
     return df.join(F.broadcast(class_weights(df, label).drop("users")), label)
 
 

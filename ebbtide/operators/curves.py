@@ -1,8 +1,9 @@
 """ROC and precision-recall curves and their areas over a score table.
 
 A curve needs running totals over all distinct scores. They are built in two levels:
-totals per score bucket (at most 64 rows) give each bucket its starting point, and the
-buckets then run side by side. The curve is exact; scores are never rounded or binned.
+totals per score bucket (at most ``MAX_BUCKETS`` rows) give each bucket its starting point,
+and the buckets then run side by side. Buckets hold equal numbers of distinct scores, so one
+score that most rows share weighs no more than any other. The curve is exact.
 """
 
 from __future__ import annotations
@@ -12,15 +13,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.operators.order_stats import bucket_of, split_points
+from ebbtide.session import durable
+
+#: Distinct scores that one window task orders, and the most buckets; beyond it buckets grow.
+SCORES_PER_BUCKET, MAX_BUCKETS = 20_000, 512
 
 
 def threshold_totals(scores: DataFrame, label: str = "churned", score: str = "score") -> DataFrame:
     """One row per distinct score, highest first in meaning: rows at the score (pos, neg),
-    rows at or above it (tp, fp), class totals, and the counts of the next lower score."""
+    rows at or above it (tp, fp), class totals, and the counts of the next lower score.
+    Building it runs jobs: the counts by score are written once, and read for the buckets."""
     by_score = scores.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    points = split_points(scores, score)
+    by_score = durable(by_score)
+    distinct = by_score.count()
+    buckets = min(MAX_BUCKETS, max(1, distinct // SCORES_PER_BUCKET))
+    points = split_points(by_score, "threshold", buckets)
     by_score = by_score.withColumn("bucket", bucket_of(F.col("threshold"), points))
     counts = F.struct("pos", "neg")
     per_bucket = by_score.groupBy("bucket").agg(

@@ -48,3 +48,12 @@ def regression_error(cells: DataFrame, actual: str = "y", predicted: str = "p")
     return cells.agg(
         F.avg(F.abs(gap)).alias("mae"), F.avg(gap * gap).alias("mse"), F.count("*").alias("cells")
     )
+
+
+def diagnose(scores: DataFrame, label: str = "churned", score: str = "score") -> DataFrame:
+    """One row: score statistics, class overlap and extreme scores. Building it runs jobs."""
+    joined = score_stats(scores, score)
+    for part in (overlap_ratio(scores, label, score), extreme_scores(scores, score)):
+        # One row each.
+        joined = joined.join(part, how="cross")
+    return joined

@@ -19,8 +19,8 @@ from ebbtide.settings import Settings
 
 @dataclass(frozen=True)
 class Forecaster:
-    """Fitted forests. ``per_metric``: nine, with the horizon day as a feature.
-    ``per_target``: one for each metric and day."""
+    """Fitted forests. ``per_target``: one for each metric and day.
+    ``per_metric``: nine, with the horizon day as a feature."""
 
     mode: str
     model: PipelineModel
@@ -56,13 +56,14 @@ def _regressor(target: str, output: str, settings: Settings, rows_per_user: int)
 
 
 def fit_forecaster(
-    series: DataFrame, settings: Settings, mode: str = "per_metric", parallelism: int = 4
+    series: DataFrame, settings: Settings, mode: str = "per_target", parallelism: int = 4
 ) -> Forecaster:
-    """Fit one forest per metric (default), or one per metric and horizon day.
+    """Fit one forest per metric and horizon day, or with ``per_metric`` one per metric.
 
-    The leaf size counts users: with one row per user and day it is multiplied by the
-    days. The training rows are written out once and every forest reads them from there. The
-    thread pool only overlaps the driver's part of independent fits.
+    ``per_target`` keeps one row per user, with every target as a column. ``per_metric`` fits
+    fewer forests on one row per user and day; there the leaf size, which counts users, is
+    multiplied by the days. The training rows are written out once and every forest reads
+    them from there. The thread pool only overlaps the driver's part of independent fits.
     """
     if mode == "per_metric":
         inputs, data = [*FEATURES, "horizon_day"], training_rows(series, settings)
@@ -82,7 +83,9 @@ def fit_forecaster(
     assembler = VectorAssembler(inputCols=inputs, outputCol="inputs")
     ready = durable(assembler.transform(spread(data)).select("inputs", *targets))
     with ThreadPoolExecutor(parallelism) as pool:
-        forests = list(pool.map(lambda t: _regressor(t, targets[t], settings, rows_per_user).fit(ready), targets))
+        forests = list(pool.map(
+            lambda t: _regressor(t, targets[t], settings, rows_per_user).fit(ready.select("inputs", t)), targets
+        ))
     return Forecaster(mode, PipelineModel([assembler, *forests]), settings.horizon_days)
 
 

@@ -66,6 +66,13 @@ def _values_at_ranks(df: DataFrame, columns: list[str], probs: list[float], rank
         return {}, {}
     # Read several times below, and only these columns.
     data = df.persist()
+    try:
+        return _ranked_values(data, columns, probs, ranks)
+    finally:
+        data.unpersist()
+
+
+def _ranked_values(data, columns, probs, ranks) -> tuple[dict, dict]:
     counts = data.agg(*[F.expr(f"count({c}) AS {c}") for c in columns]).first().asDict()
     present = [(c, i) for c in columns if counts[c] for i in range(len(probs))]
     wanted = {(c, i): ranks(counts[c], probs[i]) for c, i in present}
@@ -85,7 +92,6 @@ def _values_at_ranks(df: DataFrame, columns: list[str], probs: list[float], rank
         ]
         margin *= 32
     found = _pick(data, present, bands, {k: [r - below[k] for r in wanted[k]] for k in present})
-    data.unpersist()
     return found, counts
 
 
@@ -131,8 +137,14 @@ def _pick(data, keys, bands, ranks) -> dict:
 
 # --- exact shares of a hashed order -----------------------------------------------
 
+def few_groups(df: DataFrame, column: str, limit: int = 1000) -> None:
+    """Refuse a grouping column whose per-group summaries would be too many to broadcast."""
+    if df.select(column).distinct().limit(limit + 1).count() > limit:
+        raise ValueError(f"{column} has more than {limit} values")
+
+
 def hash_rank_cuts(
-    df: DataFrame, key: str, salt: str, group: str | None, ranks, buckets: int = 1024
+    df: DataFrame, key: str, salt: str, group: str | None, ranks, buckets: int = 1 << 18
 ) -> DataFrame:
     """Per group, the (draw, key) pairs that end given ranks of the hashed order.
 
@@ -143,7 +155,9 @@ def hash_rank_cuts(
     grp = F.col(group) if group else F.lit(0)
     draws = df.select(grp.alias("grp"), F.col(key).alias("key"), uniform([F.col(key)], salt).alias("draw"))
     draws = draws.withColumn("bucket", F.floor(F.col("draw") * buckets))
-    # At most `buckets` rows per group from here to the join.
+    # At most `buckets` rows per group from here to the join; groups are classes of a label.
+    if group:
+        few_groups(df, group)
     counts = draws.groupBy("grp", "bucket").agg(F.count("*").alias("n"))
     spread = W.partitionBy("grp")
     wanted = (
@@ -187,7 +201,7 @@ def cuts_passed(
 
 # --- running totals over a value order --------------------------------------------
 
-def split_points(df: DataFrame, column: str, buckets: int = 64) -> list[float]:
+def split_points(df: DataFrame, column: str, buckets: int) -> list[float]:
     """Approximate quantiles as literals, at most ``buckets - 1`` of them."""
     edges = [i / buckets for i in range(1, buckets)]
     values = df.agg(F.percentile_approx(column, edges, 1000)).first()[0] or []

@@ -7,6 +7,7 @@ of the 0.3 and 0.7 limits depending on their order; integers do not.
 from __future__ import annotations
 
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,9 +82,9 @@ def user_risk(forecast: DataFrame) -> DataFrame:
     })
 
 
-def above(tenths: int) -> Column:
-    """Mean day risk strictly above ``tenths`` / 10, decided on integers."""
-    return F.col("risk_sum") > tenths * F.col("days")
+def above(tenths: int | Decimal) -> Column:
+    """Mean day risk strictly above ``tenths`` / 10, decided on whole or decimal numbers."""
+    return F.col("risk_sum") > F.lit(tenths) * F.col("days")
 
 
 def ranked(risk: DataFrame, n: int | None = None) -> DataFrame:
@@ -92,8 +93,17 @@ def ranked(risk: DataFrame, n: int | None = None) -> DataFrame:
     return ordered if n is None else ordered.limit(n)
 
 
-def high_risk(risk: DataFrame, tenths: int = 6, n: int | None = None) -> DataFrame:
-    return ranked(risk.where(above(tenths)), n)
+def high_risk(risk: DataFrame, threshold: float = 0.6, n: int | None = None) -> DataFrame:
+    """Users whose mean risk is above ``threshold``, riskiest first; any decimal will do."""
+    return ranked(risk.where(above(Decimal(str(threshold)) * 10)), n)
+
+
+def heuristic_risk(users: DataFrame, away_days: int = 7) -> DataFrame:
+    """Risk score of users away for more than ``away_days`` days, by rule; it is not capped."""
+    away = users.where(F.col("days_since_last_login") > away_days)
+    return away.withColumn(
+        "risk_score", 0.3 + F.col("days_since_last_login") / 30.0 * 0.4 + (100 - F.col("avg_engagement")) / 100.0 * 0.3
+    )
 
 
 def by_status(risk: DataFrame) -> dict[str, DataFrame]:

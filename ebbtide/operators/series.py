@@ -1,20 +1,18 @@
 """Daily behaviour series per user, and the features and targets cut from them.
 
-A series is long: one row per user and day, never an array per user. Everything after
-the first shuffle on ``user_key`` (densify, streaks, features, forecast, risk per user)
-keeps that partitioning, so it runs without another exchange.
+A series is long: one row per user and day. Active days travel as one row per user, streaks
+are read off that row's days, and only then is it spread over the window, so nothing is
+shuffled after the spreading.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.functions.columns import clamp, day, rows
-from ebbtide.functions.draws import binomial, normal, poisson_fixed, uniform
+from ebbtide.functions.columns import day, rows
 from ebbtide.settings import Settings
 
 # Metric order of a series, and the statistics taken from each metric.
@@ -26,12 +24,6 @@ METRICS = [
 COUNTED = METRICS[:7]
 STATISTICS = ["mean", "std", "min", "max", "last", "sum", "active_days"]
 FEATURES = [f"{m}_{s}" for m in METRICS for s in STATISTICS] + [f"{m}_slope" for m in METRICS]
-# What a simulated user falls back to when a column is absent or null.
-SIMULATION_DEFAULTS = {
-    "avg_session_duration": 15.0, "session_frequency": 1.0, "engagement_trend": 50.0,
-    "total_quiz_attempts": 5.0, "total_content_views": 10.0,
-    "total_challenge_interactions": 3.0, "current_streak": 5.0, "quiz_completion_rate": 0.5,
-}
 
 
 def daily_series(daily: DataFrame, users: DataFrame, as_of: date, days: int = 30) -> DataFrame:
@@ -48,66 +40,21 @@ def daily_series(daily: DataFrame, users: DataFrame, as_of: date, days: int = 30
     packed = window.select("user_key", offset.alias("day_offset"), F.expr(f"struct({metrics}) AS m")).groupBy(
         "user_key"
     ).agg(F.expr("map_from_entries(collect_list(struct(day_offset, m))) AS by_day"))
-    dense = (
-        users.select("user_key").join(packed, "user_key", "left")
-        .select("user_key", "by_day", F.explode(F.sequence(F.lit(-days), F.lit(-1))).alias("day_offset"))
-        .selectExpr("user_key", "day_offset", "try_element_at(by_day, day_offset) AS m")
-        .selectExpr(
-            "user_key", "day_offset", "m IS NOT NULL AS active",
-            *[f"coalesce(m.{m}, 0D) AS {m}" for m in COUNTED],
-        )
+    seen = users.select("user_key").join(packed, "user_key", "left").selectExpr(
+        "user_key", "by_day", "coalesce(map_keys(by_day), array()) AS active_days",
+        f"explode(sequence({-days}, -1)) AS day_offset",
     )
-    so_far = W.partitionBy("user_key").orderBy("day_offset").rowsBetween(W.unboundedPreceding, 0)
-    idle = F.max(F.expr("CASE WHEN NOT active THEN day_offset END")).over(so_far)
-    active = F.max(F.expr("CASE WHEN active THEN day_offset END")).over(so_far)
-    return dense.withColumns({"idle": idle, "seen": active}).selectExpr(
-        "user_key", "day_offset", *COUNTED,
-        f"CAST(day_offset - coalesce(idle, {-days - 1}) AS double) AS login_streak",
-        f"CAST(coalesce(day_offset - seen, {days}) AS double) AS days_since_login",
+    last_active = "array_max(filter(active_days, d -> d <= day_offset))"
+    last_idle = f"array_max(array_except(sequence({-days}, day_offset), active_days))"
+    return seen.selectExpr(
+        "user_key", "day_offset", "try_element_at(by_day, day_offset) AS m",
+        f"CAST(day_offset - coalesce({last_idle}, {-days - 1}) AS double) AS login_streak",
+        f"CAST(coalesce(day_offset - {last_active}, {days}) AS double) AS days_since_login",
+    ).selectExpr(
+        "user_key", "day_offset", *[f"coalesce(m.{m}, 0D) AS {m}" for m in COUNTED], "login_streak", "days_since_login"
     )
 
 
-def simulate_series(users: DataFrame, days: int = 30, seed: int = 42) -> DataFrame:
-    """Series drawn around each user's averages, for facts that are not daily.
-
-    A column ``users`` lacks takes its default for everyone: the realistic user table has
-    no ``session_frequency``, ``engagement_trend`` or ``quiz_completion_rate``.
-    """
-    def own(name: str) -> Column:
-        default = F.lit(SIMULATION_DEFAULTS[name])
-        return F.coalesce(F.col(name).cast("double"), default) if name in users.columns else default
-
-    averages = users.select("user_key", *[own(name).alias(name) for name in SIMULATION_DEFAULTS])
-    d, key = F.col("day_offset"), [F.col("user_key"), F.col("day_offset")]
-    c = F.col
-
-    def count(base: Column, rate: float, part: int) -> Column:
-        drawn = poisson_fixed(uniform(key, f"counts:{seed}", part), rate)
-        return F.greatest(F.lit(0), (base + drawn).cast("bigint"))
-
-    shift = F.floor(uniform(key, f"other:{seed}", 0) * 3) - 1
-    drawn = (
-        averages.withColumn("day_offset", F.explode(F.sequence(F.lit(-days), F.lit(-1))))
-        .withColumns({
-            "session_duration": clamp(c("avg_session_duration") + 2 * normal(key, f"duration:{seed}"), low=0),
-            "sessions_count": count(c("session_frequency"), 0.5, 0),
-            "engagement_score": clamp(
-                c("engagement_trend") + 5 * normal(key, f"duration:{seed}", 2), low=0, high=100
-            ),
-            "quiz_attempts": count(c("total_quiz_attempts") / 30, 0.3, 1),
-            "content_views": count(c("total_content_views") / 30, 0.4, 2),
-            "challenge_interactions": count(c("total_challenge_interactions") / 30, 0.2, 3),
-            "login_streak": F.greatest(F.lit(0), c("current_streak").cast("bigint") + d + shift),
-            "days_since_login": F.abs(d),
-        })
-        .withColumn("quiz_completions", binomial(
-            uniform(key, f"other:{seed}", 1), normal(key, f"other:{seed}", 2),
-            c("quiz_attempts"), c("quiz_completion_rate"),
-        ))
-    )
-    return drawn.select("user_key", "day_offset", *[c(m).cast("double").alias(m) for m in METRICS])
-
-
 def first_half(series: DataFrame, settings: Settings) -> DataFrame:
     return series.where(F.col("day_offset") < -settings.horizon_days)
 
@@ -146,16 +93,16 @@ def series_targets(series: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def trend_forecast(features: DataFrame, settings: Settings) -> DataFrame:
+def trend_forecast(features: DataFrame, settings: Settings, decimals: int = 6) -> DataFrame:
     """Straight-line forecast: each metric's first-half line, carried on over the horizon.
 
-    Values are floored at zero and rounded before any threshold looks at them, so that
-    the order of floating-point sums cannot move a user across a threshold. The nudge
-    does the same for values that end exactly on a rounding tie.
+    Values are floored at zero and rounded to ``decimals`` places before any threshold looks
+    at them, so that the order of floating-point sums cannot move a user across a threshold.
+    The nudge of a thousandth of the last place does the same for exact rounding ties.
     """
-    days = settings.horizon_days
+    days, nudge = settings.horizon_days, 10.0 ** -(decimals + 3)
     ahead = f"(horizon_day + {(days - 1) / 2}D)"
     return features.withColumn("horizon_day", F.explode(F.sequence(F.lit(1), F.lit(days)))).selectExpr(
         "user_key", "horizon_day",
-        *[f"round(greatest(0D, {m}_mean + {m}_slope * {ahead}) + 1e-9D, 6) AS {m}" for m in METRICS],
+        *[f"round(greatest(0D, {m}_mean + {m}_slope * {ahead}) + {nudge}D, {decimals}) AS {m}" for m in METRICS],
     )

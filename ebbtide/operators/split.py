@@ -32,13 +32,9 @@ def stratified_split(
     return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
 
 
-def plain_split(df: DataFrame, share: float, seed: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """Hashed split without strata: exactly ``ceil(share * n)`` test rows."""
-    marked = cuts_passed(
-        df, key, f"plain:{seed}", None, lambda n: F.array(F.ceil(n * F.lit(share))), "cuts_before"
-    )
-    test = F.col("cuts_before") == 0
-    return marked.where(~test).drop("cuts_before"), marked.where(test).drop("cuts_before")
+def sample_users(df: DataFrame, n: int = 50, seed: int = 42, key: str = "user_key") -> DataFrame:
+    """A random sample of at most ``n`` rows, in hashed order of the key."""
+    return df.orderBy(uniform([F.col(key)], f"sample:{seed}"), key).limit(n)
 
 
 def ordered_split(df: DataFrame, share: float = 0.8, key: str = "user_key") -> tuple[DataFrame, DataFrame]:
@@ -47,6 +43,17 @@ def ordered_split(df: DataFrame, share: float = 0.8, key: str = "user_key") -> t
     return df.where(F.col(key) <= F.lit(cut)), df.where(F.col(key) > F.lit(cut))
 
 
+def split_series(
+    series: DataFrame, users: DataFrame, share: float = 0.8, key: str = "user_key"
+) -> tuple[DataFrame, DataFrame]:
+    """The series of the first ``max(1, int(share * n))`` users in order, and of the rest.
+
+    The cut is made over ``users``, one row per user, so the days of a series do not count.
+    """
+    cut = value_at_share(users, key, share)
+    return series.where(F.col(key) <= F.lit(cut)), series.where(F.col(key) > F.lit(cut))
+
+
 def stratified_folds(
     df: DataFrame, label: str = "churned", folds: int = 5, seed: int = 42, key: str = "user_key"
 ) -> DataFrame:

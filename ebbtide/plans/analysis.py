@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.actions import actions
 from ebbtide.operators.classifier import cv_auc, fit_classifier, importances, score
 from ebbtide.operators.curves import curve_areas, threshold_totals
-from ebbtide.operators.diagnosis import regression_error
+from ebbtide.operators.diagnosis import diagnose, regression_error
 from ebbtide.operators.features import SAFE_FEATURES, derived_features, impute, safe_features
 from ebbtide.operators.forecaster import Forecaster, fit_forecaster, forecast_cells
-from ebbtide.operators.labels import choose_labels, label_base, label_realistic
-from ebbtide.operators.profile import correlations, screen
-from ebbtide.operators.reports import chart_sets
+from ebbtide.operators.labels import choose_labels, label_base, label_rate, label_realistic, label_stats
+from ebbtide.operators.profile import correlations, null_counts, numeric_profile, screen
+from ebbtide.operators.reports import chart_sets, top_recommendations
 from ebbtide.operators.risk import forecast_table, risk_bands, risk_summary, user_risk
 from ebbtide.operators.rollup import user_rollup
-from ebbtide.operators.scaling import fit_standard
-from ebbtide.operators.series import daily_series, series_features, simulate_series
-from ebbtide.operators.split import ordered_split, stratified_split
+from ebbtide.operators.scaling import Scaler, fit_standard
+from ebbtide.operators.series import daily_series, series_features
+from ebbtide.operators.split import split_series, stratified_split
 from ebbtide.session import durable
 from ebbtide.settings import Settings
+from ebbtide.sources.sinks import State
 from ebbtide.sources.star import Star
 
 
@@ -32,85 +34,112 @@ class Prepared:
     approach: str
     correlated: DataFrame
     selected: list[str]
+    profile: dict[str, DataFrame]
 
 
 @dataclass(frozen=True)
-class Results:
-    users: DataFrame
-    approach: str
-    correlated: DataFrame
-    selected: list[str]
+class Classified:
+    model: PipelineModel
+    scaler: Scaler
     scores: DataFrame
     importance: DataFrame
     cv: tuple[float, float] | None
+
+
+@dataclass(frozen=True)
+class Results:
+    """Every step of the analysis; frames are lazy but for what several steps read."""
+
+    prepared: Prepared
+    classified: Classified
+    diagnosis: DataFrame
     forecaster: Forecaster
+    split: DataFrame
     error: DataFrame
     forecast: DataFrame
     risk: DataFrame
     recommended: DataFrame
+    top_recommended: DataFrame
+    report: DataFrame
     charts: dict[str, DataFrame]
     summary: DataFrame
+    state: State
 
 
 def prepare(star: Star, settings: Settings, fanout: str = "compat") -> Prepared:
     """Roll up, label, impute, derive and screen. The roll-up and the prepared users are
-    written out, because several steps read them and the facts are far larger."""
+    written out, because several steps read them and the facts are far larger.
+
+    ``profile`` holds the statistics of the extracted users and of their labels before and
+    after the labels are chosen, with the number of labels that noise has flipped."""
     rollup = durable(user_rollup(star, fanout))
     base = derived_features(label_base(rollup, settings.as_of))
     labelled, approach = choose_labels(base, label_realistic(rollup, settings.as_of), settings)
     users = durable(safe_features(impute(labelled)))
     correlated = correlations(users, SAFE_FEATURES)
     selected = screen(correlated, SAFE_FEATURES, settings.correlation_limit)
-    return Prepared(users, approach, correlated, selected)
-
-
-def churn_scores(prepared: Prepared, settings: Settings, cross_validate: bool = True):
-    """Fit on the training split; return test scores, importances and the CV figures."""
+    flips = (base.select("user_key", F.col("churned").alias("before")).join(users.select("user_key", "churned"), "user_key")
+             .agg(F.count_if(F.col("before") != F.col("churned")).alias("flipped_labels"))
+             if approach == "noisy" else rollup.sparkSession.createDataFrame([(0,)], "flipped_labels long"))
+    profile = {
+        "numbers": numeric_profile(base), "nulls": null_counts(base), "extracted_labels": label_stats(base),
+        "labels": label_stats(users), "label_rate": label_rate(users), "flips": flips,
+    }
+    return Prepared(users, approach, correlated, selected, profile)
+
+
+def classify(prepared: Prepared, settings: Settings, cross_validate: bool = True) -> Classified:
+    """Fit on the training split; score the test split."""
     train, test = stratified_split(prepared.users, "churned", settings.test_share, settings.seed)
     scaler = fit_standard(train, prepared.selected)
     train = durable(scaler.transform(train).select("user_key", "churned", *prepared.selected))
     model = fit_classifier(train, prepared.selected, settings.classifier, settings.seed)
     cv = cv_auc(train, prepared.selected, settings) if cross_validate else None
     scores = durable(score(model, scaler.transform(test), ["user_key", "churned"]))
-    return scores, importances(model, prepared.selected, scores), cv
+    return Classified(model, scaler, scores, importances(model, prepared.selected, scores), cv)
 
 
-def behaviour_series(prepared: Prepared, settings: Settings, daily: DataFrame | None = None) -> DataFrame:
-    """Real series when daily metrics are given, simulated ones otherwise."""
-    if daily is not None:
-        return daily_series(daily, prepared.users, settings.as_of, settings.history_days)
-    return simulate_series(prepared.users, settings.history_days, settings.seed)
+def split_sizes(train: DataFrame, held_out: DataFrame) -> DataFrame:
+    """Users that the forecaster is fitted on, and users that its error is measured on."""
+    users = F.countDistinct("user_key")
+    return train.agg(users.alias("train_users")).join(held_out.agg(users.alias("validation_users")), how="cross")
 
 
 def run(
     star: Star,
     settings: Settings,
-    daily: DataFrame | None = None,
+    daily: DataFrame,
     fanout: str = "compat",
-    mode: str = "per_metric",
+    mode: str = "per_target",
     cross_validate: bool = True,
 ) -> Results:
+    """The whole analysis. ``daily`` holds one row per user and day with the daily metrics."""
     prepared = prepare(star, settings, fanout)
-    scores, importance, cv = churn_scores(prepared, settings, cross_validate)
+    classified = classify(prepared, settings, cross_validate)
 
-    series = durable(behaviour_series(prepared, settings, daily))
-    train, held_out = ordered_split(series)
+    series = durable(daily_series(daily, prepared.users, settings.as_of, settings.history_days))
+    train, held_out = split_series(series, prepared.users.select("user_key"))
     forecaster = fit_forecaster(train, settings, mode)
-    predicted = forecaster.predict(series_features(series, settings))
-    forecast = durable(forecast_table(predicted, prepared.users, settings.as_of))
+    forecast = durable(forecast_users(forecaster, series, prepared.users, settings))
     unseen = forecaster.predict(series_features(held_out, settings))
     error = regression_error(forecast_cells(unseen, held_out, settings))
 
-    risk = user_risk(forecast)
+    risk = durable(user_risk(forecast))
     recommended = actions(risk)
-    charts = chart_sets(forecast, risk, prepared.users, prepared.correlated, importance, scores)
+    charts = chart_sets(forecast, risk, prepared.users, prepared.correlated, classified.importance, classified.scores)
     return Results(
-        prepared.users, prepared.approach, prepared.correlated, prepared.selected, scores, importance,
-        cv, forecaster, error, forecast, risk, recommended, charts,
-        final_summary(risk, forecast, scores, error),
+        prepared, classified, diagnose(classified.scores), forecaster, split_sizes(train, held_out), error, forecast, risk,
+        recommended, top_recommendations(recommended), risk_summary(risk), charts,
+        final_summary(risk, forecast, classified.scores, error),
+        State(prepared.users, series, forecaster, classified.model, classified.scaler, prepared.selected, prepared.approach, settings.as_of),
     )
 
 
+def forecast_users(forecaster: Forecaster, series: DataFrame, users: DataFrame, settings: Settings) -> DataFrame:
+    """The forecast table of a fitted or loaded model."""
+    return forecast_table(forecaster.predict(series_features(series, settings)), users, settings.as_of)
+
+
 def final_summary(risk: DataFrame, forecast: DataFrame, scores: DataFrame, error: DataFrame) -> DataFrame:
     """One row: users, status, bands, forecast size, classifier AUC and forecast error."""
     bands = risk_bands(risk).agg(*[
@@ -128,4 +157,6 @@ def final_summary(risk: DataFrame, forecast: DataFrame, scores: DataFrame, error
         forecast.agg(F.count("*")).scalar().alias("total_predictions"),
         areas.select("roc_auc").scalar().alias("churn_model_auc"),
         error.select("mae").scalar().alias("future_model_mae"),
+        error.select("mse").scalar().alias("future_model_mse"),
+        error.select("cells").scalar().alias("validation_cells"),
     )

@@ -1,23 +1,50 @@
 """The same results in DuckDB SQL, written the straightforward way.
 
 These are checks, not plans: joins fan out, ranks use one global window, medians use the
-built-in. A query without an entry here fits a model and has no SQL equivalent.
+built-in. Queries that fit a model publish what must hold for any fit.
 """
 
 from __future__ import annotations
 
-from ebbtide.functions.draws import poisson_steps
-from ebbtide.operators.actions import CLASSIC_LENGTHS, DEMO, LIVE
-from ebbtide.operators.demo import DEMO_FEATURES
 from ebbtide.operators.features import MEDIAN_FILLED, SAFE_FEATURES, ZERO_FILLED
 from ebbtide.operators.labels import BASE_COLUMNS, REALISTIC_COLUMNS
 from ebbtide.operators.noise import FLOORED, PERCENTAGES
-from ebbtide.operators.series import COUNTED, FEATURES, METRICS, SIMULATION_DEFAULTS
+from ebbtide.operators.series import COUNTED, FEATURES, METRICS
 
 AS_OF = "DATE '2024-01-31'"
 SEED = 42
 PI2 = "6.283185307179586::DOUBLE"
 
+# Expected actions, stated here by themselves so that a change of the rule tables shows.
+LIVE = {
+    "churned": ["churned/mail", "churned/call", "churned/offer", "churned/in_app"],
+    "critical": ["critical/mail", "critical/call", "critical/offer", "critical/in_app", "critical/coach"],
+    "high": ["high/mail", "high/call", "high/offer", "high/in_app", "high/coach"],
+    "moderate": ["moderate/mail", "moderate/call", "moderate/offer", "moderate/in_app"],
+    "stable": ["stable/mail", "stable/call", "stable/offer"],
+    "engagement_low": ["engagement_low/mail", "engagement_low/call", "engagement_low/offer", "engagement_low/in_app"],
+    "engagement_fair": ["engagement_fair/mail", "engagement_fair/call"],
+    "falling": ["falling/mail", "falling/call", "falling/offer", "falling/in_app"],
+    "rising": ["rising/mail", "rising/call"],
+    "idle": ["idle/mail", "idle/call", "idle/offer"],
+    "few_quizzes": ["few_quizzes/mail", "few_quizzes/call", "few_quizzes/offer"],
+}
+SHORT = {
+    "churned": ["churned/mail", "churned/call", "churned/offer"],
+    "critical": ["critical/mail", "critical/call", "critical/offer"],
+    "high": ["high/mail", "high/call", "high/offer"],
+    "moderate": ["moderate/mail", "moderate/call"],
+    "engagement_low": ["engagement_low/mail", "engagement_low/call"],
+    "falling": ["falling/mail", "falling/call"],
+    "idle": ["idle/mail", "idle/call"],
+}
+BY_TIER = {
+    "critical": ["critical/mail", "critical/call", "critical/offer"],
+    "high": ["high/mail", "high/call", "high/offer"],
+    "moderate": ["moderate/mail", "moderate/call", "moderate/offer"],
+    "stable": ["stable/mail", "stable/call", "stable/offer"],
+}
+
 
 def r(expression: str, name: str | None = None, digits: int = 8) -> str:
     return f"round(({expression})::DOUBLE + 1e-11::DOUBLE, {digits}) AS {name or expression}"
@@ -82,7 +109,6 @@ def tier(table: dict, mean: str) -> str:
     return " || ".join(f"({p})" for p in parts)
 
 
-SHORT = {rule: LIVE[rule][:n] for rule, n in CLASSIC_LENGTHS.items()}
 CHURNED_CODES = ", ".join("'" + c + "'" for c in LIVE["churned"])
 ACTIONS_LIVE = f"""CASE WHEN current_churned_status = 1 THEN [{CHURNED_CODES}] ELSE {tier(LIVE, 'exact_mean')}
     || ({when('avg_engagement < 30', LIVE['engagement_low'])})
@@ -111,60 +137,19 @@ def series_feature_columns() -> str:
     return ", ".join(parts)
 
 
-def simulated(source: str, path_columns: bool) -> str:
-    key = "user_key, day_offset"
-
-    def own(name: str) -> str:
-        absent = name in ("session_frequency", "engagement_trend", "quiz_completion_rate") and not path_columns
-        default = f"{SIMULATION_DEFAULTS[name]}::DOUBLE"
-        return f"{default} AS {name}" if absent else f"coalesce({name}::DOUBLE, {default}) AS {name}"
-
-    def count(base: str, rate: float, part: int) -> str:
-        steps = " + ".join(f"(u{part} >= {s!r}::DOUBLE)::INT" for s in poisson_steps(rate))
-        return f"greatest(0, trunc({base} + ({steps})))::BIGINT"
-
-    counts = f"counts:{SEED}"
-    return f"""
-    WITH averages AS (SELECT user_key, {', '.join(own(n) for n in SIMULATION_DEFAULTS)} FROM {source}),
-    days AS (SELECT *, unnest(generate_series(-30, -1))::INT AS day_offset FROM averages),
-    drawn AS (SELECT *, {', '.join(f"{u(key, counts, p)} AS u{p}" for p in range(4))},
-        {z(key, f'duration:{SEED}')} AS z1, {z(key, f'duration:{SEED}', 2)} AS z2,
-        {u(key, f'other:{SEED}', 0)} AS shift, {u(key, f'other:{SEED}', 1)} AS ub FROM days),
-    counted AS (SELECT user_key, day_offset, ub, least(1.0, greatest(0.0, quiz_completion_rate)) AS p,
-        greatest(0.0, avg_session_duration + 2 * z1) AS session_duration,
-        {count('session_frequency', 0.5, 0)} AS sessions_count,
-        least(100.0, greatest(0.0, engagement_trend + 5 * z2)) AS engagement_score,
-        {count('total_quiz_attempts / 30', 0.3, 1)} AS quiz_attempts,
-        {count('total_content_views / 30', 0.4, 2)} AS content_views,
-        {count('total_challenge_interactions / 30', 0.2, 3)} AS challenge_interactions,
-        greatest(0, trunc(current_streak) + day_offset + floor(shift * 3) - 1) AS login_streak,
-        abs(day_offset) AS days_since_login FROM drawn),
-    steps AS (SELECT user_key, day_offset, ub, unnest(generate_series(0, quiz_attempts - 1)) AS k, quiz_attempts AS n, p
-        FROM counted WHERE quiz_attempts > 0),
-    law AS (SELECT user_key, day_offset, ub, sum(CASE
-            WHEN p = 0 THEN (k = 0)::INT WHEN p = 1 THEN 0
-            ELSE exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) END
-        ) OVER (PARTITION BY user_key, day_offset ORDER BY k) AS cdf FROM steps),
-    completed AS (SELECT user_key, day_offset, count(*) FILTER (ub >= cdf) AS quiz_completions
-        FROM law GROUP BY ALL)
-    SELECT user_key, day_offset, {', '.join(r(f"c.{m}" if m != 'quiz_completions' else 'coalesce(quiz_completions, 0)', m, 6)
-                                            for m in METRICS)}
-    FROM counted c LEFT JOIN completed USING (user_key, day_offset)"""
-
-
 ORDERED = "ORDER BY score DESC ROWS UNBOUNDED PRECEDING"
 # Named pieces; each may use the ones before it.
 PIECES = {
-    "dim_users": f"""
+    "dim_users": """
     SELECT c_custkey AS user_key, c_name AS user_id,
-        CASE WHEN c_custkey % 7 <> 0 THEN (13 + c_custkey % 52)::INT END AS age,
+        CASE WHEN c_acctbal >= 0 THEN (13 + trunc(c_acctbal)::BIGINT % 52)::INT END AS age,
         CASE c_mktsegment WHEN 'MACHINERY' THEN 'suspended' WHEN 'FURNITURE' THEN 'pending'
             WHEN 'AUTOMOBILE' THEN 'deleted' ELSE 'active' END AS account_status,
         c_acctbal > 0 AS is_verified,
-        CASE WHEN c_custkey % 11 <> 0 THEN {AS_OF} - (c_custkey % 60)::INT END AS registration_date
+        (SELECT min(o_orderdate)::DATE FROM orders WHERE o_custkey = c_custkey) AS registration_date
     FROM customer""",
     "daily": """
-    SELECT user_id AS user_key, ts::DATE - (user_id % 40)::INT AS last_activity_date,
+    SELECT user_id AS user_key, ts::DATE AS last_activity_date,
         count(DISTINCT hour(ts)) AS session_count, avg(value) AS avg_session_duration,
         least(100.0, sum(value)) AS engagement_score,
         count(*) FILTER (event_type IN ('click', 'purchase')) AS quiz_attempts,
@@ -176,14 +161,18 @@ PIECES = {
     "fact_activity": """
     SELECT user_key, avg_session_duration, session_count, last_activity_date, quiz_attempts,
         quiz_completions, quiz_abandons, content_views, challenge_interactions FROM daily""",
-    "fact_engagement": """
+    "fact_engagement": f"""
     SELECT o_custkey AS user_key, least(100.0, avg(o_totalprice) / 5000) AS engagement_score,
-        (o_custkey % 5 * 4)::INT AS days_since_last_login, count(*)::INT AS current_streak,
-        (count(*) + o_custkey % 3)::INT AS longest_streak,
+        any_value(idle)::INT AS days_since_last_login, count(DISTINCT month(o_orderdate))::INT AS current_streak,
+        count(*)::INT AS longest_streak,
         100 * avg((o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT) AS quiz_accuracy_percentage,
         least(100.0, max(o_totalprice) / 5000) AS challenge_completion_rate,
-        ((o_custkey * 7 + year(o_orderdate)) % 25)::INT AS stagnation_days
-    FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey, year(o_orderdate)""",
+        any_value(unsold)::INT AS stagnation_days
+    FROM orders LEFT JOIN (
+        SELECT user_id, {AS_OF} - max(ts)::DATE AS idle,
+            {AS_OF} - (max(ts) FILTER (event_type = 'purchase'))::DATE AS unsold FROM events GROUP BY user_id
+    ) ON user_id = o_custkey
+    GROUP BY o_custkey, year(o_orderdate)""",
     "rollup": rollup_sql("fact_engagement"),
     "base": f"""
     SELECT * EXCLUDE (age, registration_date), coalesce(age, 13) AS age,
@@ -219,6 +208,7 @@ PIECES = {
         {div(VOLUME, 'total_sessions')} AS activity_per_session,
         {div('total_quiz_completions', 'total_sessions')} AS quiz_efficiency
     FROM imputed""",
+    "leaking": "SELECT *, churned * 10 + total_sessions % 3 AS leak FROM safe",
     "spine": "SELECT user_key, unnest(generate_series(-30, -1))::INT AS day_offset FROM rollup",
     "dense": f"""
     SELECT s.user_key, s.day_offset, d.user_key IS NOT NULL AS active,
@@ -275,77 +265,18 @@ PIECES = {
     "roc": "SELECT place, score AS threshold, fp / n AS fpr, tp / p AS tpr FROM totals UNION ALL SELECT 0, NULL, 0, 0",
     "pr": """SELECT place, score AS threshold, tp / (tp + fp) AS "precision", tp / p AS recall FROM totals
         UNION ALL SELECT 0, NULL, 1, 0""",
-    "demo1": f"""
-    SELECT c_custkey AS user_key, 'user_' || CASE WHEN c_custkey < 10000 THEN lpad(c_custkey::VARCHAR, 4, '0')
-            ELSE c_custkey::VARCHAR END AS user_id,
-        (13 + floor({u('c_custkey', f'demo:who:{SEED}', 0)} * 52))::INT AS age,
-        (1 + floor({u('c_custkey', f'demo:who:{SEED}', 1)} * 364))::INT AS days_since_registration,
-        floor(-5 * ln(1 - {u('c_custkey', f'demo:who:{SEED}', 2)}))::INT AS days_since_last_login,
-        least(100.0, greatest(0.0, 50 + 20 * {z('c_custkey', f'demo:engagement:{SEED}')})) AS engagement_score,
-        {z('c_custkey', f'demo:engagement:{SEED}', 2)} AS z2,
-        {u('c_custkey', f'demo:counts:{SEED}', 0)} AS u0, {u('c_custkey', f'demo:counts:{SEED}', 1)} AS u1,
-        {u('c_custkey', f'demo:counts:{SEED}', 2)} AS u2, {u('c_custkey', f'demo:who:{SEED}', 3)} AS u3,
-        list_sort([{', '.join(u('c_custkey', f'demo:beta:{SEED}', p) for p in range(4))}])[2] AS beta
-    FROM customer""",
 }
 
 
-def poisson_piece(source: str, rate: str, draw: str, name: str) -> str:
-    """Count the CDF steps at or below the draw, over terms 0 to 127."""
-    return f"""
-    SELECT s.*, coalesce(c.hits, 0)::INT AS {name} FROM {source} s LEFT JOIN (
-        SELECT user_key, count(*) FILTER ({draw} >= cdf) AS hits FROM (
-            SELECT user_key, {draw}, sum(exp(-rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END - lgamma(k + 1)))
-                OVER (PARTITION BY user_key ORDER BY k) AS cdf
-            FROM (SELECT user_key, {draw}, {rate} AS rate, unnest(generate_series(0, 127)) AS k FROM {source})
-            WHERE rate > 0
-        ) GROUP BY user_key
-    ) c USING (user_key)"""
-
-
-PIECES["demo2"] = poisson_piece("demo1", "engagement_score / 10", "u0", "sessions_count")
-PIECES["demo3"] = poisson_piece("demo2", "sessions_count * 0.3::DOUBLE", "u1", "quiz_attempts")
-PIECES["demo4"] = poisson_piece("demo3", "sessions_count * 1.5::DOUBLE", "u2", "content_views")
-PIECES["demo"] = """
-    SELECT *, greatest(0.0, engagement_score * 2 + 30 * z2) AS avg_session_duration,
-        floor(quiz_attempts * beta)::INT AS quiz_completions,
-        (u3 < (1 + CASE WHEN days_since_last_login > 14 THEN 4 WHEN days_since_last_login > 7 THEN 2 ELSE 0 END
-            + CASE WHEN engagement_score < 30 THEN 3 WHEN engagement_score < 50 THEN 1 ELSE 0 END
-            + CASE WHEN sessions_count < 3 THEN 2 ELSE 0 END) / 10.0::DOUBLE)::INT AS churned
-    FROM demo4"""
-PIECES["projected"] = f"""
-    SELECT user_key, user_id, day, engagement_score, churned,
-        least(1.0, greatest(0.0, CASE WHEN churned = 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END
-            + CASE WHEN days_since_last_login > 7 THEN 0.3::DOUBLE ELSE 0 END
-            + CASE WHEN engagement_score < 40 THEN 0.2::DOUBLE ELSE 0 END
-            + CASE WHEN sessions_count < 5 THEN 0.1::DOUBLE ELSE 0 END
-            + 0.05::DOUBLE * {z('user_key, "day"', f'projection:{SEED}')})) AS predicted_churn_risk,
-        {z('user_key, "day"', f'projection:{SEED}', 2)} AS z2
-    FROM demo, (SELECT unnest(generate_series(1, 15))::INT AS "day")""".replace(", day,", ', "day",')
-PIECES["projection"] = """
-    SELECT user_key, user_id, "day", predicted_churn_risk, churned AS current_churned_status,
-        greatest(0.0, engagement_score + CASE WHEN predicted_churn_risk > 0.5 THEN -0.5::DOUBLE ELSE 0.2::DOUBLE END
-            * "day" + 2 * z2) AS predicted_engagement_score
-    FROM projected"""
-PIECES["demo_risk"] = """
-    SELECT user_key, user_id, any_value(current_churned_status) AS current_churned_status,
-        avg(predicted_churn_risk) AS avg_churn_risk, max(predicted_churn_risk) AS max_churn_risk,
-        avg(predicted_engagement_score) AS avg_engagement,
-        count(*) FILTER (predicted_churn_risk > 0.6) AS days_high_risk,
-        last(predicted_engagement_score ORDER BY "day")
-            - first(predicted_engagement_score ORDER BY "day") AS engagement_trend
-    FROM projection GROUP BY user_key, user_id"""
-
 # Which earlier pieces each piece reads.
 NEEDS = {
     "fact_activity": ["daily"], "rollup": ["dim_users", "fact_activity", "fact_engagement"],
     "base": ["rollup"], "realistic": ["rollup"], "derived": ["base"], "imputed": ["realistic"],
-    "safe": ["imputed"], "spine": ["rollup"], "dense": ["spine", "daily"], "series": ["dense"],
+    "safe": ["imputed"], "leaking": ["safe"], "spine": ["rollup"], "dense": ["spine", "daily"], "series": ["dense"],
     "features": ["series"], "targets": ["series"], "trend": ["features"],
     "scored": ["trend", "realistic"], "forecast": ["scored"], "risk": ["forecast"], "live": ["risk"],
     "scores": ["rollup", "realistic"], "by_score": ["scores"], "totals": ["by_score"],
-    "roc": ["totals"], "pr": ["totals"], "demo2": ["demo1"], "demo3": ["demo2"], "demo4": ["demo3"],
-    "demo": ["demo4"], "projected": ["demo"], "projection": ["projected"], "demo_risk": ["projection"],
+    "roc": ["totals"], "pr": ["totals"],
 }
 
 
@@ -395,8 +326,6 @@ RISK_COLUMNS = [
     "avg_engagement", "engagement_trend", "low_activity_days", "low_quiz_days", "avg_churn_risk", "max_churn_risk",
 ]
 RISK_DOUBLES = {"avg_engagement", "engagement_trend", "avg_churn_risk", "max_churn_risk"}
-SCREENED = [*MEDIAN_FILLED, "days_since_last_login", "stagnation_days", "engagement_trend",
-            "days_since_last_activity", "session_frequency"]
 PROFILED = [
     c for c in BASE_COLUMNS
     if c not in ("user_id", "email", "last_activity_date", "account_status", "is_verified")
@@ -429,6 +358,9 @@ TESTED = """SELECT user_key, churned, {condition} AS is_test FROM (
         count(*) OVER (PARTITION BY churned_realistic) AS n FROM realistic)"""
 FLIP_DRAW, SPLIT_DRAW = u("user_key", f"flip:{SEED}"), u("user_key", f"split:{SEED}")
 
+FOREST_ROWS = sql(
+    """SELECT user_key, 15::BIGINT AS days, 1 AS first_day, 15 AS last_day, true AS in_range FROM rollup""", "rollup")
+
 
 def noisy_column(c: str) -> str:
     value = f"greatest(0.0, {c} + 0.1::DOUBLE * stddev_samp({c}) OVER () * {z('user_key', f'noise:{c}:{SEED}')})"
@@ -487,8 +419,8 @@ ORACLES = {
     "label_correlations_top": sql(
         correlation(SAFE_FEATURES, "safe") + " ORDER BY abs(c) DESC NULLS LAST, feature LIMIT 10", "safe"),
     "screened_features": sql(
-        f"SELECT *, NOT coalesce(abs(correlation) > 0.3, false) AS kept FROM ({correlation(SCREENED, 'derived')})",
-        "derived"),
+        f"SELECT *, NOT coalesce(abs(correlation) > 0.7, false) AS kept FROM ({correlation(SAFE_FEATURES, 'safe')})",
+        "safe"),
     "stratified_test_rows": sql(
         TESTED.format(condition="place <= floor(n * 0.2::DOUBLE + 0.5)", draw=SPLIT_DRAW), "realistic"),
     "stratified_test_rows_approx": sql(TESTED.format(condition="d < 0.2", draw=SPLIT_DRAW), "realistic"),
@@ -508,8 +440,6 @@ ORACLES = {
     "min_max_round_trip": sql(
         "SELECT user_key, horizon_day, " + scaled(lambda m: m) + " FROM targets", "targets"),
     "daily_series": sql("SELECT user_key, day_offset, " + scaled(lambda m: m) + " FROM series", "series"),
-    "simulated_series": sql(f"SELECT * FROM ({simulated('realistic', False)})", "realistic"),
-    "simulated_series_noisy_path": sql(f"SELECT * FROM ({simulated('derived', True)})", "derived"),
     "series_features": sql("SELECT user_key, " + ", ".join(r(c) for c in FEATURES) + " FROM features", "features"),
     "series_targets": sql(" UNION ALL ".join(
         f"SELECT user_key, horizon_day, '{m}' AS metric, {r(m, 'y')} FROM targets" for m in METRICS), "targets"),
@@ -600,22 +530,47 @@ ORACLES = {
     "label_count_map": sql(
         """SELECT '{' || string_agg('"' || churned || '":' || users, ',' ORDER BY churned) || '}' AS stats
         FROM (SELECT churned, count(*) AS users FROM base GROUP BY 1)""", "base"),
-    "demo_users": sql(
-        "SELECT user_key, user_id, churned, " + columns(DEMO_FEATURES, {"engagement_score", "avg_session_duration"})
-        + " FROM demo", "demo"),
-    "demo_heuristic_risk": sql(
+    "heuristic_risk": sql(
         f"""SELECT user_key, user_id, {r('0.3::DOUBLE + days_since_last_login / 30.0::DOUBLE * 0.4::DOUBLE'
-        ' + (100 - engagement_score) / 100 * 0.3::DOUBLE', 'risk_score')} FROM demo WHERE days_since_last_login > 7""",
-        "demo"),
-    "demo_sample": sql(
-        f"SELECT user_key FROM demo ORDER BY {u('user_key', f'sample:{SEED}')}, user_key LIMIT 50", "demo"),
-    "demo_projection": sql(
-        f"""SELECT user_key, user_id, "day", {r('predicted_churn_risk')}, {r('predicted_engagement_score')},
-        current_churned_status FROM projection""", "projection"),
-    "demo_recommendations": sql(
-        f"""SELECT user_key, user_id, current_churned_status, days_high_risk,
-        {', '.join(r(c) for c in sorted(RISK_DOUBLES))},
-        array_to_string({tier(DEMO, 'avg_churn_risk')}, ',') AS recommendations FROM demo_risk""", "demo_risk"),
+        ' + (100 - avg_engagement) / 100 * 0.3::DOUBLE', 'risk_score')} FROM rollup WHERE days_since_last_login > 7""", "rollup"),
+    "sampled_users": sql(
+        f"SELECT user_key FROM rollup ORDER BY {u('user_key', f'sample:{SEED}')}, user_key LIMIT 50", "rollup"),
+    "recommendations_tiers": sql(
+        f"SELECT user_key, array_to_string({tier(BY_TIER, 'exact_mean')}, ',') AS recommendations FROM risk", "risk"),
+    "forecaster_split": sql(
+        """SELECT greatest(1, floor(0.8::DOUBLE * count(*)))::BIGINT AS train_users,
+        count(*) - greatest(1, floor(0.8::DOUBLE * count(*)))::BIGINT AS validation_users FROM rollup""", "rollup"),
+    "screened_leak": sql(f"""SELECT feature FROM ({correlation([*SAFE_FEATURES, 'leak'], 'leaking')})
+        WHERE NOT coalesce(abs(correlation) > 0.7, false)""", "leaking"),
+    "score_diagnosis": sql(
+        f"""SELECT *, {r('100.0::DOUBLE * high / total', 'high_percentage')}, {r('100.0::DOUBLE * low / total', 'low_percentage')} FROM (
+        SELECT {r('min(score)', 'min')}, {r('max(score)', 'max')}, {r('avg(score)', 'mean')}, {r('stddev_pop(score)', 'std')},
+            {r('median(score)', 'median')},
+            {r('avg((score BETWEEN low1 AND high1)::INT) FILTER (churned = 0)', 'overlap_ratio')},
+            count(*) FILTER (score > 0.95) AS high, count(*) FILTER (score < 0.05) AS low, count(*) AS total
+        FROM scores, (SELECT min(score) AS low1, max(score) AS high1 FROM scores WHERE churned = 1))""", "scores"),
+    "classifier_scores": sql(
+        f"""SELECT user_key, churned, true AS in_range, true AS consistent
+        FROM ({TESTED.format(condition='place <= floor(n * 0.2::DOUBLE + 0.5)', draw=SPLIT_DRAW)}) WHERE is_test""", "realistic"),
+    "classifier_importances": sql(
+        f"""SELECT count(*) AS features, count(*) AS names, 1.0::DOUBLE AS total, true AS none_negative
+        FROM ({correlation(SAFE_FEATURES, 'safe')}) WHERE NOT coalesce(abs(correlation) > 0.7, false)""", "safe"),
+    "classifier_cross_validation": sql(
+        "SELECT count(*) AS users, true AS mean_in_range, true AS spread_not_negative FROM realistic", "realistic"),
+    "forest_forecast": FOREST_ROWS,
+    "forest_forecast_per_metric": FOREST_ROWS,
+    "loaded_model_forecast": FOREST_ROWS,
+    "full_analysis_summary": sql(
+        """SELECT count(*) AS total_users_analyzed, count(*) AS users_by_status, true AS bands_fit, 15 AS prediction_days,
+        15 * count(*) AS total_predictions, true AS auc_in_range, true AS error_not_negative,
+        15 * 9 * (count(*) - greatest(1, floor(0.8::DOUBLE * count(*)))::BIGINT) AS validation_cells FROM rollup""", "rollup"),
+    "detailed_report_json": sql(
+        """SELECT 5::BIGINT AS users_in_report, '2024-01-31' AS generated_at, count(*) AS total_users,
+        count(*) FILTER (exact_mean > 0 AND exact_mean <= 0.3) AS low_users, count(*) FILTER (exact_mean > 0.6) AS high_users,
+        15 * count(*) AS total_predictions,
+        (SELECT user_id FROM live ORDER BY exact_mean DESC, user_key LIMIT 1) AS first_user,
+        (SELECT user_id FROM live ORDER BY exact_mean DESC, user_key LIMIT 1 OFFSET 4) AS fifth_user,
+        (SELECT recommendations[1] FROM live ORDER BY exact_mean DESC, user_key LIMIT 1) AS first_action FROM live""", "live"),
 }
 ORACLES["user_rollup_corrected"] = sql(
     "SELECT " + columns(["user_key", "user_id", "age", "account_status", "is_verified", "registration_date",

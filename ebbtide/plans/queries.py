@@ -6,7 +6,10 @@ are rounded to eight decimals, because the order of a distributed sum is not fix
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,20 +17,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.operators import actions as act
-from ebbtide.operators import classifier, curves, demo, diagnosis, labels, profile, reports, risk, scaling, split
+from ebbtide.operators import classifier, curves, diagnosis, labels, profile, reports, risk, scaling, split
 from ebbtide.operators import features as feats
 from ebbtide.operators import noise as noisy
 from ebbtide.operators import series as ser
 from ebbtide.operators.forecaster import fit_forecaster, forecast_cells
-from ebbtide.operators.rollup import user_rollup
+from ebbtide.operators.rollup import KEPT_STATUS, user_rollup
 from ebbtide.plans import analysis
-from ebbtide.session import durable
-from ebbtide.settings import Settings
+from ebbtide.session import durable, shared_folder
+from ebbtide.settings import ForestSize, Settings
 from ebbtide.sources import driver_tables as tables
 from ebbtide.sources import sinks
 from ebbtide.sources.star import Star, run_sql
 
 SETTINGS = Settings(as_of=tables.AS_OF)
+# Small forests: 135 of the default size take minutes even on a thousand users.
+QUICK = replace(SETTINGS, classifier=ForestSize(20, 4, 10, "0.5"), forecaster=ForestSize(4, 3, 2, "all"), folds=3)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -98,7 +103,9 @@ class Inputs:
 
     @cached_property
     def series(self) -> DataFrame:
-        return ser.daily_series(self.daily, self.rollup, SETTINGS.as_of, SETTINGS.history_days)
+        users = self.rollup if "rollup" in self.__dict__ else self.star.users.where(F.col("account_status").isin(KEPT_STATUS))
+        daily = self.daily if "rollup" in self.__dict__ else self.window
+        return ser.daily_series(daily, users, SETTINGS.as_of, SETTINGS.history_days)
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -134,18 +141,29 @@ class Inputs:
     def totals(self) -> DataFrame:
         return curves.threshold_totals(self.scores)
 
-    @cached_property
-    def demo(self) -> DataFrame:
-        keys = tables.read(self.spark, self.folder, "customer").selectExpr("c_custkey AS user_key")
-        return demo.demo_users(keys, SETTINGS.seed)
-
     @cached_property
     def kept(self) -> Inputs:
-        """The same inputs on a written roll-up, for operators that read it several times."""
+        """The same inputs with the daily table and the roll-up written once: every input table
+        is read once, and whatever follows reads these two."""
         other = Inputs(self.spark, self.folder)
-        other.__dict__["rollup"] = durable(self.rollup)
+        other.__dict__["activity"] = durable(self.activity)
+        other.__dict__["rollup"] = durable(other.rollup)
         return other
 
+    @cached_property
+    def reported(self) -> Inputs:
+        """``kept`` with the forecast and the risk table written too, for reports over both."""
+        other = self.kept
+        other.__dict__["forecast"] = durable(other.forecast)
+        other.__dict__["risk"] = durable(other.risk)
+        return other
+
+    @cached_property
+    def window(self) -> DataFrame:
+        """Daily metrics of the window alone; its bounds reach the scan of the events."""
+        first, last = SETTINGS.as_of - timedelta(days=SETTINGS.history_days), SETTINGS.as_of - timedelta(days=1)
+        return tables.daily_metrics(tables.daily_activity(self.spark, self.folder, first, last))
+
     @cached_property
     def prepared(self) -> analysis.Prepared:
         return analysis.prepare(self.star, SETTINGS)
@@ -271,14 +289,21 @@ def label_correlations_top(given):
 
 @query
 def screened_features(given):
-    users = given.kept.derived
-    candidates = [*feats.MEDIAN_FILLED, "days_since_last_login", "stagnation_days", "engagement_trend",
-                  "days_since_last_activity", "session_frequency"]
-    correlated = profile.correlations(users, candidates)
-    kept = profile.screen(correlated, candidates, 0.3)
+    users = given.kept.safe
+    correlated = profile.correlations(users, feats.SAFE_FEATURES)
+    kept = profile.screen(correlated, feats.SAFE_FEATURES, SETTINGS.correlation_limit)
     return publish(correlated.withColumn("kept", F.col("feature").isin(kept)))
 
 
+@query
+def screened_leak(given):
+    """The same screen with a feature that gives the label away."""
+    users = given.kept.safe.withColumn("leak", F.col("churned") * 10 + F.col("total_sessions") % 3)
+    candidates = [*feats.SAFE_FEATURES, "leak"]
+    kept = profile.screen(profile.correlations(users, candidates), candidates, SETTINGS.correlation_limit)
+    return users.sparkSession.createDataFrame([(c,) for c in kept], "feature string")
+
+
 # --- splits and scaling -----------------------------------------------------------
 
 @query
@@ -299,6 +324,17 @@ def ordered_split(given):
     return first.withColumn("part", F.lit("train")).unionByName(rest.withColumn("part", F.lit("validation")))
 
 
+@query
+def forecaster_split(given):
+    users = given.kept
+    return analysis.split_sizes(*split.split_series(users.series, users.rollup.select("user_key")))
+
+
+@query
+def sampled_users(given):
+    return split.sample_users(given.kept.rollup, 50, SETTINGS.seed).select("user_key")
+
+
 @query
 def stratified_folds(given):
     users = given.kept.model_users.select("user_key", "churned")
@@ -332,20 +368,6 @@ def daily_series(given):
     return publish(given.series)
 
 
-@query
-def simulated_series(given):
-    users = given.model_users
-    # Six decimals: logarithm and cosine differ in the last bit between math libraries.
-    return publish(ser.simulate_series(users, SETTINGS.history_days, SETTINGS.seed), 6)
-
-
-@query
-def simulated_series_noisy_path(given):
-    users = given.derived
-    # Six decimals: logarithm and cosine differ in the last bit between math libraries.
-    return publish(ser.simulate_series(users, SETTINGS.history_days, SETTINGS.seed), 6)
-
-
 @query
 def series_features(given):
     return publish(ser.series_features(given.series, SETTINGS))
@@ -363,87 +385,97 @@ def widened_targets(given):
 
 @query
 def trend_forecast(given):
-    return publish(given.forecast)
+    return publish(given.kept.forecast)
 
 
 @query
 def trend_forecast_error(given):
-    cells = forecast_cells(given.trend, given.series, SETTINGS)
+    cells = forecast_cells(given.kept.trend, given.kept.series, SETTINGS)
     return publish(diagnosis.regression_error(cells))
 
 
 @query
 def forecast_totals(given):
-    return risk.forecast_totals(given.forecast)
+    return risk.forecast_totals(given.kept.forecast)
 
 
 # --- risk and actions -------------------------------------------------------------
 
 @query
 def user_risk(given):
-    return publish(risk.ranked(given.risk))
+    return publish(risk.ranked(given.kept.risk))
 
 
 @query
 def high_risk_users(given):
-    return publish(risk.high_risk(given.risk).select("user_key", "user_id", "avg_churn_risk"))
+    return publish(risk.high_risk(given.kept.risk).select("user_key", "user_id", "avg_churn_risk"))
 
 
 @query
 def high_risk_users_top20(given):
-    return publish(risk.high_risk(given.risk, n=20).select("user_key", "user_id", "avg_churn_risk"))
+    return publish(risk.high_risk(given.kept.risk, n=20).select("user_key", "user_id", "avg_churn_risk"))
 
 
 @query
 def high_risk_total(given):
-    return reports.high_risk_report(given.forecast, given.risk)["total_high_risk"]
+    return reports.high_risk_report(given.kept.forecast, given.kept.risk)["total_high_risk"]
 
 
 @query
 def users_by_status(given):
-    groups = risk.by_status(given.risk)
+    groups = risk.by_status(given.kept.risk)
     sides = [g.select("user_key", F.lit(name).alias("status_group")) for name, g in groups.items()]
     return sides[0].unionByName(sides[1])
 
 
 @query
 def status_counts(given):
-    return risk.status_counts(given.risk)
+    return risk.status_counts(given.kept.risk)
 
 
 @query
 def risk_bands(given):
-    return publish(risk.risk_bands(given.risk))
+    return publish(risk.risk_bands(given.kept.risk))
 
 
 @query
 def risk_summary(given):
-    return publish(risk.risk_summary(given.risk))
+    return publish(risk.risk_summary(given.kept.risk))
 
 
 @query
 def recommendations_live(given):
-    return publish(codes(given.recommended.select("user_key", "avg_churn_risk", "recommendations")))
+    return publish(codes(given.kept.recommended.select("user_key", "avg_churn_risk", "recommendations")))
 
 
 @query
 def recommendations_classic(given):
-    return codes(act.actions(given.risk, "classic").select("user_key", "recommendations"))
+    return codes(act.actions(given.kept.risk, "classic").select("user_key", "recommendations"))
+
+
+@query
+def recommendations_tiers(given):
+    return codes(act.actions(given.kept.risk, "tiers").select("user_key", "recommendations"))
+
+
+@query
+def heuristic_risk(given):
+    return publish(risk.heuristic_risk(given.kept.rollup).select("user_key", "user_id", "risk_score"))
 
 
 @query
 def top_actions(given):
-    return act.top_actions(given.recommended)
+    return act.top_actions(given.kept.recommended)
 
 
 @query
 def recommendations_top20(given):
-    return publish(codes(reports.top_recommendations(given.recommended)))
+    return publish(codes(reports.top_recommendations(given.kept.recommended)))
 
 
 @query
 def recommendations_csv(given):
-    return publish(sinks.csv_frame(given.recommended))
+    return publish(sinks.csv_frame(given.kept.recommended))
 
 
 # --- scores and curves ------------------------------------------------------------
@@ -492,19 +524,19 @@ def class_weights(given):
 
 @query
 def first_forecasts(given):
-    return publish(reports.first_forecasts(given.forecast).select(
+    return publish(reports.first_forecasts(given.kept.forecast).select(
         "user_key", "prediction_day", "predicted_churn_risk", "predicted_engagement_level",
     ))
 
 
 @query
 def chart_forecast_lines(given):
-    return publish(reports.chart_lines(given.forecast))
+    return publish(reports.chart_lines(given.kept.forecast))
 
 
 @query
 def detailed_users(given):
-    top = reports.detailed_users(given.recommended)
+    top = reports.detailed_users(given.kept.recommended)
     return publish(codes(top.select(
         "rank", "user_id", F.col("status.text").alias("status_text"), F.col("status.code").alias("status_code"),
         "metrics.*", "recommendations",
@@ -513,9 +545,19 @@ def detailed_users(given):
 
 @query
 def detailed_report_json(given):
-    ahead = given.forecast
-    report = reports.detailed_report(ahead, act.actions(risk.user_risk(ahead)), SETTINGS.as_of)
-    return sinks.json_rows(report)
+    """Fields read back from the one JSON document."""
+    ready = given.reported
+    report = reports.detailed_report(ready.forecast, ready.recommended, SETTINGS.as_of)
+    paths = {
+        "users_in_report": ("$.metadata.total_users_in_report", "bigint"), "generated_at": ("$.metadata.generated_at", "string"),
+        "total_users": ("$.risk_summary.total_users", "bigint"), "low_users": ("$.risk_summary.risk_distribution[0].users", "bigint"),
+        "high_users": ("$.risk_summary.risk_distribution[2].users", "bigint"),
+        "total_predictions": ("$.model_statistics.total_predictions", "bigint"),
+        "first_user": ("$.intervention_recommendations[0].user_id", "string"),
+        "fifth_user": ("$.intervention_recommendations[4].user_id", "string"),
+        "first_action": ("$.intervention_recommendations[0].recommendations[0]", "string"),
+    }
+    return sinks.json_rows(report).select(*[F.get_json_object("json", path).cast(kind).alias(name) for name, (path, kind) in paths.items()])
 
 
 @query
@@ -532,77 +574,89 @@ def label_count_map(given):
     return counts.select(F.to_json("stats").alias("stats"))
 
 
-# --- demonstration data -----------------------------------------------------------
-
-@query
-def demo_users(given):
-    return publish(given.demo)
-
-
-@query
-def demo_heuristic_risk(given):
-    return publish(demo.heuristic_risk(given.demo).select("user_key", "user_id", "risk_score"))
-
+# --- models: what must hold for any fit --------------------------------------------
 
 @query
-def demo_sample(given):
-    return demo.sample_users(given.demo, 50, SETTINGS.seed).select("user_key")
+def classifier_scores(given):
+    scores = analysis.classify(given.prepared, QUICK, cross_validate=False).scores
+    return scores.select(
+        "user_key", "churned", F.col("score").between(0, 1).alias("in_range"),
+        (F.col("predicted") == (F.col("score") >= 0.5).cast("int")).alias("consistent"),
+    )
 
 
 @query
-def demo_projection(given):
-    return publish(demo.demo_projection(given.demo, SETTINGS.horizon_days, SETTINGS.seed))
+def classifier_importances(given):
+    found = analysis.classify(given.prepared, QUICK, cross_validate=False).importance
+    return found.agg(
+        F.count("*").alias("features"), F.countDistinct("feature").alias("names"),
+        F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("none_negative"),
+    )
 
 
 @query
-def demo_recommendations(given):
-    projected = demo.demo_projection(given.demo, SETTINGS.horizon_days, SETTINGS.seed)
-    return publish(codes(risk.ranked(act.actions(demo.demo_risk(projected), "demo"))))
-
+def classifier_cross_validation(given):
+    ready = given.prepared
+    mean, std = classifier.cv_auc(ready.users, ready.selected, QUICK)
+    return ready.users.agg(
+        F.count("*").alias("users"), F.lit(0.0 <= mean <= 1.0).alias("mean_in_range"), F.lit(std >= 0.0).alias("spread_not_negative")
+    )
 
-# --- models (no SQL equivalent) ---------------------------------------------------
 
 @query
-def classifier_scores(given):
-    return analysis.churn_scores(given.prepared, SETTINGS, cross_validate=False)[0]
+def score_diagnosis(given):
+    return publish(diagnosis.diagnose(given.scores))
 
 
-@query
-def classifier_importances(given):
-    return analysis.churn_scores(given.prepared, SETTINGS, cross_validate=False)[1]
+def _forest_rows(forecast: DataFrame) -> DataFrame:
+    """Per user: forecast days, and whether all values are in range."""
+    metrics = " AND ".join(f"predicted_{m} >= 0" for m in ser.METRICS)
+    return forecast.groupBy("user_key").agg(
+        F.count("*").alias("days"), F.min("prediction_day").alias("first_day"), F.max("prediction_day").alias("last_day"),
+        F.bool_and(F.expr(f"predicted_churn_risk BETWEEN 0 AND 1 AND {metrics}")).alias("in_range"),
+    )
 
 
 @query
-def classifier_cross_validation(given):
-    ready = given.prepared
-    mean, std = classifier.cv_auc(ready.users, ready.selected, SETTINGS)
-    return ready.users.agg(F.count("*").alias("users"), F.lit(mean).alias("cv_mean"), F.lit(std).alias("cv_std"))
+def forest_forecast(given):
+    """One forest for each metric and day."""
+    ready = given.kept
+    history = durable(ready.series)
+    train, _ = split.split_series(history, ready.rollup.select("user_key"))
+    return _forest_rows(analysis.forecast_users(fit_forecaster(train, QUICK), history, ready.model_users, QUICK))
 
 
 @query
-def forest_forecast(given):
-    history = durable(given.series)
-    train, _ = split.ordered_split(history)
-    predicted = fit_forecaster(train, SETTINGS).predict(ser.series_features(history, SETTINGS))
-    return risk.forecast_table(predicted, given.model_users, SETTINGS.as_of)
+def forest_forecast_per_metric(given):
+    ready = given.kept
+    history = durable(ready.series)
+    train, _ = split.split_series(history, ready.rollup.select("user_key"))
+    return _forest_rows(analysis.forecast_users(fit_forecaster(train, QUICK, "per_metric"), history, ready.model_users, QUICK))
 
 
 @query
-def demo_classifier(given):
-    people = durable(given.demo)
-    train, test = split.plain_split(people, 0.3, SETTINGS.seed, "user_key")
-    model = classifier.fit_classifier(
-        train, demo.DEMO_FEATURES, SETTINGS.demo_classifier, SETTINGS.seed, balanced=False
-    )
-    areas = curves.curve_areas(curves.threshold_totals(classifier.score(model, test, ["churned"])))
-    return people.agg(
-        F.count("*").alias("total_users"), F.avg("churned").alias("churn_rate"),
-        areas.select("roc_auc").scalar().alias("roc_auc"),
-    )
+def loaded_model_forecast(given):
+    """A forecast by a model that was saved and loaded, without a fit."""
+    ready = given.kept
+    done = analysis.run(ready.star, QUICK, ready.daily, mode="per_metric", cross_validate=False)
+    path = f"{shared_folder(given.spark)}/state-{uuid.uuid4().hex}"
+    sinks.save_state(done.state, path)
+    state = sinks.load_state(given.spark, path)
+    return _forest_rows(analysis.forecast_users(state.forecaster, state.series, state.users, QUICK))
 
 
 @query
 def full_analysis_summary(given):
-    return analysis.run(
-        given.star, SETTINGS, given.daily
-    ).summary
+    """Every frame of the analysis is computed; published is what holds for any fit."""
+    ready = given.kept
+    done = analysis.run(ready.star, QUICK, ready.daily)
+    lazy = [*done.prepared.profile.values(), *done.charts.values(), done.diagnosis, done.classified.importance, done.split,
+            done.top_recommended, done.report]
+    for frame in lazy:
+        frame.write.format("noop").mode("overwrite").save()
+    bands = "risk_distribution.low_users + risk_distribution.medium_users + risk_distribution.high_users"
+    return done.summary.selectExpr(
+        "total_users_analyzed", "active_users + churned_users AS users_by_status", f"{bands} <= total_users_analyzed AS bands_fit",
+        "prediction_days", "total_predictions", "churn_model_auc BETWEEN 0 AND 1 AS auc_in_range",
+        "future_model_mae >= 0 AND future_model_mse >= 0 AS error_not_negative", "validation_cells",
+    )

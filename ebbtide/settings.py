@@ -33,7 +33,6 @@ class Settings:
     classifier: ForestSize = field(default=ForestSize(trees=50, depth=5, min_leaf=10, features="0.5"))
     # A split needs 5 users; Spark only bounds the leaf, and leaves of 2 are the nearest.
     forecaster: ForestSize = field(default=ForestSize(trees=100, depth=10, min_leaf=2, features="all"))
-    demo_classifier: ForestSize = field(default=ForestSize(trees=50, depth=30, min_leaf=1, features="sqrt"))
 
     def __post_init__(self) -> None:
         # The first half of a series feeds the model, the second half is the target.

@@ -1,12 +1,13 @@
 """Adapter from the order/event tables of the test data to the star schema.
 
 It stands in for a warehouse load: customers become users, their events become daily
-activity and their fulfilled orders become yearly engagement. No row is left out by key.
+activity and their orders become yearly engagement. Every row counts, dates are the
+tables' own, and what users did last comes from timestamps.
 """
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,30 +30,20 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
-def users(spark: SparkSession, folder: str, as_of: date = AS_OF) -> DataFrame:
-    return read(spark, folder, "customer").selectExpr(
-        "c_custkey AS user_key",
-        "c_name AS user_id",
-        "CAST(NULL AS string) AS email",
-        "CAST(IF(c_custkey % 7 <> 0, 13 + c_custkey % 52, NULL) AS int) AS age",
-        "coalesce(map('MACHINERY', 'suspended', 'FURNITURE', 'pending', 'AUTOMOBILE', 'deleted')"
-        "[c_mktsegment], 'active') AS account_status",
-        "c_acctbal > 0 AS is_verified",
-        f"IF(c_custkey % 11 <> 0, date_sub(DATE '{as_of}', CAST(c_custkey % 60 AS int)), NULL) AS registration_date",
-    )
-
+def daily_activity(
+    spark: SparkSession, folder: str, since: date | None = None, until: date | None = None
+) -> DataFrame:
+    """One row per user and active day, of the days from ``since`` to ``until`` if given.
 
-def daily_activity(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per user and active day. Dates are set back by up to 39 days per user, so
-    that last activity spreads over every recency rule."""
+    The bounds are plain comparisons on ``ts``, so they reach the scan."""
+    events = read(spark, folder, "events")
+    if since is not None:
+        events = events.where(F.expr(f"ts >= TIMESTAMP_NTZ '{since} 00:00:00'"))
+    if until is not None:
+        events = events.where(F.expr(f"ts < TIMESTAMP_NTZ '{until + timedelta(days=1)} 00:00:00'"))
     return (
-        read(spark, folder, "events")
-        .selectExpr(
-            "user_id AS user_key",
-            "date_sub(to_date(ts), CAST(user_id % 40 AS int)) AS last_activity_date",
-            "hour(ts) AS hour",
-            "event_type AS kind",
-            "value",
+        events.selectExpr(
+            "user_id AS user_key", "to_date(ts) AS last_activity_date", "hour(ts) AS hour", "event_type AS kind", "value"
         )
         .groupBy("user_key", "last_activity_date")
         .agg(
@@ -69,31 +60,51 @@ def daily_activity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def yearly_engagement(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        read(spark, folder, "orders")
-        .where("o_orderstatus = 'F'")
-        .groupBy(F.col("o_custkey").alias("user_key"), F.year("o_orderdate").alias("year"))
-        .agg(
-            F.expr("least(100D, avg(o_totalprice) / 5000) AS engagement_score"),
-            F.expr("least(100D, max(o_totalprice) / 5000) AS challenge_completion_rate"),
-            F.expr("100 * avg(CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS int)) AS quiz_accuracy_percentage"),
-            F.expr("CAST(count(*) AS int) AS current_streak"),
-        )
-        .selectExpr(
-            "*",
-            "CAST(user_key % 5 * 4 AS int) AS days_since_last_login",
-            "CAST(current_streak + user_key % 3 AS int) AS longest_streak",
-            "CAST((user_key * 7 + year) % 25 AS int) AS stagnation_days",
-        )
+def yearly_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per customer and year with an order."""
+    return read(spark, folder, "orders").groupBy(
+        F.col("o_custkey").alias("user_key"), F.year("o_orderdate").alias("year")
+    ).agg(
+        F.expr("least(100D, avg(o_totalprice) / 5000) AS engagement_score"),
+        F.expr("least(100D, max(o_totalprice) / 5000) AS challenge_completion_rate"),
+        F.expr("100 * avg(CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS int)) AS quiz_accuracy_percentage"),
+        # Months with an order, as bits.
+        F.expr("CAST(bit_count(bit_or(1 << month(o_orderdate))) AS int) AS current_streak"),
+        F.expr("CAST(count(*) AS int) AS longest_streak"),
+        F.expr("to_date(min(o_orderdate)) AS first_order"),
+    )
+
+
+def users(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
+    """Customers, registered on the day of their first order."""
+    registered = orders.groupBy("user_key").agg(F.min("first_order").alias("registration_date"))
+    return read(spark, folder, "customer").selectExpr(
+        "c_custkey AS user_key",
+        "c_name AS user_id",
+        "CAST(NULL AS string) AS email",
+        "CAST(IF(c_acctbal >= 0, 13 + CAST(c_acctbal AS int) % 52, NULL) AS int) AS age",
+        "coalesce(map('MACHINERY', 'suspended', 'FURNITURE', 'pending', 'AUTOMOBILE', 'deleted')"
+        "[c_mktsegment], 'active') AS account_status",
+        "c_acctbal > 0 AS is_verified",
+    ).join(registered, "user_key", "left")
+
+
+def yearly_engagement(orders: DataFrame, activity: DataFrame, as_of: date = AS_OF) -> DataFrame:
+    """Engagement by year; days since the last event and the last purchase are null without one."""
+    bought = F.when(F.col("quiz_completions") > 0, F.col("last_activity_date"))
+    last = activity.groupBy("user_key").agg(
+        F.date_diff(F.lit(as_of), F.max("last_activity_date")).alias("days_since_last_login"),
+        F.date_diff(F.lit(as_of), F.max(bought)).alias("stagnation_days"),
     )
+    return orders.join(last, "user_key", "left")
 
 
 def driver_star(
-    spark: SparkSession, folder: str, as_of: date = AS_OF, activity: DataFrame | None = None
+    spark: SparkSession, folder: str, as_of: date = AS_OF, activity: DataFrame | None = None, orders: DataFrame | None = None
 ) -> Star:
     activity = daily_activity(spark, folder) if activity is None else activity
-    return make_star(users(spark, folder, as_of), activity, yearly_engagement(spark, folder))
+    orders = yearly_orders(spark, folder) if orders is None else orders
+    return make_star(users(spark, folder, orders), activity, yearly_engagement(orders, activity, as_of))
 
 
 def daily_metrics(activity: DataFrame) -> DataFrame:

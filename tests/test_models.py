@@ -10,11 +10,11 @@ from ebbtide.operators.classifier import class_weights, cv_auc, fit_classifier,
 from ebbtide.operators.curves import curve_areas, threshold_totals
 from ebbtide.operators.forecaster import fit_forecaster
 from ebbtide.operators.reports import chart_sets, detailed_report
-from ebbtide.operators.series import METRICS, series_features, simulate_series
+from ebbtide.operators.series import METRICS, daily_series, series_features
 from ebbtide.plans.analysis import run
 from ebbtide.plans.queries import SETTINGS, Inputs
 from ebbtide.settings import ForestSize, Settings
-from ebbtide.sources.sinks import State, csv_frame, json_rows, load_state, save_state, write_csv, write_json
+from ebbtide.sources.sinks import csv_frame, json_rows, load_state, save_state, write_csv, write_json
 from ebbtide.sources.star import TABLES, load_star, make_star, run_sql
 
 FOLDER = "/root/testdata/sf0.001"
@@ -30,7 +30,7 @@ def given(spark):
 
 @pytest.fixture(scope="module")
 def results(given):
-    return run(given.star, SMALL, given.daily)
+    return run(given.star, SMALL, given.daily, mode="per_metric")
 
 
 def test_separable_classes_are_learned(spark):
@@ -53,17 +53,27 @@ def test_separable_classes_are_learned(spark):
 
 
 def test_full_analysis(results):
-    users = results.users.count()
-    assert results.approach == "realistic" and results.selected
+    users = results.prepared.users.count()
+    assert results.prepared.approach == "realistic" and results.prepared.selected
     assert results.forecast.count() == 15 * users
     assert results.risk.where("max_churn_risk < avg_churn_risk").count() == 0
-    assert {"future_predictions", "roc_curve", "feature_importance", "risk_distribution"} <= set(results.charts)
-    for frame in results.charts.values():
-        assert frame.columns and frame.count() >= 0
+    sizes = {name: frame.count() for name, frame in results.charts.items()}
+    assert sizes["future_predictions"] == 75 and sizes["churn_distribution"] == 2 and sizes["risk_distribution"] == 3
+    assert sizes["correlations"] == 15 and sizes["feature_importance"] == min(10, len(results.prepared.selected))
+    assert sizes["roc_curve"] >= 2 and sizes["precision_recall_curve"] >= 2 and sizes["curve_areas"] == 1
+    first = results.charts["future_predictions"].orderBy("user_key", "prediction_day").first()
+    assert first.prediction_day == 1 and 0 <= first.predicted_churn_risk <= 1
+    shown = results.charts["feature_importance"].collect()
+    assert shown == sorted(shown, key=lambda r: (-r.importance, r.feature))
     summary = results.summary.first()
     assert summary.total_users_analyzed == users == summary.active_users + summary.churned_users
     assert summary.total_predictions == 15 * users and 0 <= summary.churn_model_auc <= 1
-    assert summary.future_model_mae >= 0
+    assert summary.future_model_mae >= 0 and summary.validation_cells == 135 * (users - int(0.8 * users))
+    assert results.split.first().train_users == int(0.8 * users)
+    assert results.diagnosis.first().total == results.classified.scores.count()
+    assert results.top_recommended.count() == 20 and results.report.first().total_users == users
+    assert results.prepared.profile["flips"].first().flipped_labels == 0
+    assert sum(r.users for r in results.prepared.profile["labels"].collect()) == users
 
 
 def test_chart_sets_skip_missing_inputs():
@@ -72,19 +82,24 @@ def test_chart_sets_skip_missing_inputs():
 
 def test_per_target_mode(given):
     history = Settings(as_of=SETTINGS.as_of, history_days=4, horizon_days=2, forecaster=SMALL.forecaster)
-    series = simulate_series(given.model_users.limit(40), 4).cache()
-    model = fit_forecaster(series, history, "per_target")
+    users = given.rollup.select("user_key")
+    series = daily_series(given.daily, users, SETTINGS.as_of, 4).cache()
+    model = fit_forecaster(series, history)
     out = model.predict(series_features(series, history))
-    assert out.count() == 80 and out.columns == ["user_key", "horizon_day", *METRICS]
+    assert out.count() == 2 * users.count() and out.columns == ["user_key", "horizon_day", *METRICS]
 
 
-def test_saved_state(spark, results, given, tmp_path):
-    state = State(results.users, given.series, results.forecaster)
-    save_state(state, str(tmp_path))
+def test_saved_state(spark, results, tmp_path):
+    save_state(results.state, str(tmp_path))
     loaded = load_state(spark, str(tmp_path))
     features = series_features(loaded.series, SMALL).cache()
     before, after = results.forecaster.predict(features), loaded.forecaster.predict(features)
     assert before.exceptAll(after).count() == 0 and after.count() > 0
+    assert loaded.forecaster.horizon_days == 15 and loaded.forecaster.mode == "per_metric"
+    assert (loaded.selected, loaded.approach, loaded.as_of) == (results.prepared.selected, "realistic", SETTINGS.as_of)
+    again = score(loaded.classifier, loaded.scaler.transform(loaded.users), ["user_key"])
+    first = score(results.classified.model, results.classified.scaler.transform(results.prepared.users), ["user_key"])
+    assert first.exceptAll(again).count() == 0
 
 
 def test_sinks(spark, given, tmp_path):

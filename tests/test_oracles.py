@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_file
+from ebbtide.plans.oracles import ORACLES
+from ebbtide.plans.queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("customer", "orders", "events")
@@ -31,10 +33,10 @@ def cell(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry_file.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    text = entry_file.oracle_sql()[name]
-    df = entry_file.queries()[name](spark, FOLDER)
+    text = ORACLES[name]
+    df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     described = {row[0]: row[1] for row in duck.execute(f"DESCRIBE {text}").fetchall()}
     assert {f.name: TYPES[f.dataType.simpleString()] for f in df.schema} == described
@@ -50,4 +52,6 @@ def test_entry_runs(spark):
 
 
 def test_every_oracle_has_a_query():
+    assert set(ORACLES) == set(QUERIES)
     assert set(entry_file.oracle_sql()) <= set(entry_file.queries())
+    assert set(QUERIES) <= set(entry_file.queries())

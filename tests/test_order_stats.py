@@ -6,14 +6,15 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ebbtide.functions.draws import binomial, poisson, uniform
+from ebbtide.functions.draws import uniform
+from ebbtide.operators import curves
 from ebbtide.operators.curves import curve_areas, pr_points, roc_points, threshold_totals
 from ebbtide.operators.diagnosis import extreme_scores, overlap_ratio, score_stats
 from ebbtide.operators.noise import flip_labels
-from ebbtide.operators.order_stats import exact_quantiles, value_at_share
+from ebbtide.operators.order_stats import exact_quantiles, few_groups, value_at_share
 from ebbtide.operators.profile import correlations, screen
 from ebbtide.operators.scaling import fit_min_max, fit_standard
-from ebbtide.operators.split import mark_test, ordered_split, plain_split, stratified_folds
+from ebbtide.operators.split import mark_test, ordered_split, split_series, stratified_folds
 
 
 def skewed(n, seed=7):
@@ -59,8 +60,6 @@ def test_splits_are_exact(spark):
     assert counts == {(0, True): 667, (0, False): 2668, (1, True): 334, (1, False): 1334}
     folds = stratified_folds(df, "churned", 5, 1).groupBy("churned", "fold").count().collect()
     assert sorted(r["count"] for r in folds) == [333, 333, 334, 334, 334] + [667] * 5
-    train, test = plain_split(df, 0.3, 1, "user_key")
-    assert (train.count(), test.count()) == (3502, 1501)
     first, rest = ordered_split(df)
     assert (first.count(), rest.agg(F.min("user_key")).first()[0]) == (4002, 4002)
     flipped = flip_labels(df, 0.05, 1).join(df.withColumnRenamed("churned", "old"), "user_key")
@@ -133,15 +132,32 @@ def test_scalers_invert(spark):
         assert sorted(map(tuple, scaler.inverse(scaler.transform(df)).collect())) == [(1.0, 4.0), (3.0, 4.0)]
 
 
-def test_draw_laws(spark):
+def test_draws_are_uniform_and_independent(spark):
     df = spark.range(20_000).select(uniform([F.col("id")], "a").alias("u"), uniform([F.col("id")], "a", 1).alias("v"))
-    row = df.select(
-        "u", poisson(F.col("u"), F.lit(30.0)).alias("p"),
-        binomial(F.col("u"), F.lit(0.0), F.lit(10), F.lit(0.3)).alias("b"),
-        binomial(F.col("u"), F.lit(0.0), F.lit(10), F.lit(1.5)).alias("all"),
-        binomial(F.col("u"), F.lit(0.0), F.lit(10_000_000), F.lit(0.5)).alias("big"),
-    ).agg(F.avg("u"), F.avg("p"), F.variance("p"), F.avg("b"), F.min("all"), F.max("big")).first()
-    assert row[0] == pytest.approx(0.5, abs=0.01)
-    assert row[1] == pytest.approx(30, abs=0.2) and row[2] == pytest.approx(30, rel=0.05)
-    assert row[3] == pytest.approx(3, abs=0.05)
-    assert row[4] == 10 and row[5] == 5_000_000
+    row = df.agg(F.avg("u"), F.stddev("u"), F.corr("u", "v")).first()
+    assert row[0] == pytest.approx(0.5, abs=0.01) and row[1] == pytest.approx(12 ** -0.5, abs=0.01)
+    assert abs(row[2]) < 0.03
+
+
+def test_one_score_that_most_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(curves, "SCORES_PER_BUCKET", 50)
+    df = spark.range(20_000).selectExpr("int(id % 7 = 0) AS churned", "if(id % 100 < 99, 0.5D, id / 20000D) AS score")
+    totals = threshold_totals(df)
+    scores = np.array([(r.churned, r.score) for r in df.collect()])
+    values = np.unique(scores[:, 1])[::-1]
+    got = {r.threshold: (r.tp, r.fp) for r in totals.collect()}
+    at = scores[:, 1]
+    assert got == {v: (((at >= v) & (scores[:, 0] == 1)).sum(), ((at >= v) & (scores[:, 0] == 0)).sum()) for v in values}
+
+
+def test_too_many_groups_are_refused(spark):
+    with pytest.raises(ValueError):
+        few_groups(spark.range(30), "id", limit=20)
+
+
+@pytest.mark.parametrize("users,train", [(1, 1), (7, 5), (11, 8)])
+def test_series_are_split_by_user(spark, users, train):
+    keys = spark.range(users).withColumnRenamed("id", "user_key")
+    series = keys.selectExpr("user_key", "explode(sequence(-30, -1)) AS day_offset")
+    first, rest = split_series(series, keys)
+    assert first.select("user_key").distinct().count() == train and rest.count() == 30 * (users - train)

@@ -5,9 +5,9 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators.actions import DEMO, LIVE, actions
+from ebbtide.operators.actions import LIVE, actions
 from ebbtide.operators.labels import choose_labels, label_base, label_realistic
-from ebbtide.operators.risk import forecast_table, risk_bands, risk_summary, user_risk
+from ebbtide.operators.risk import forecast_table, high_risk, risk_bands, risk_summary, user_risk
 from ebbtide.operators.rollup import user_rollup
 from ebbtide.operators.series import METRICS
 from ebbtide.settings import Settings
@@ -167,9 +167,15 @@ def test_classic_rules_do_not_stop_and_have_no_stable_tier(spark):
     assert listed(spark, "classic") == []
 
 
-def test_demo_rules(spark):
-    assert listed(spark, "demo", avg_churn_risk=0.71) == DEMO["critical"]
-    assert listed(spark, "demo", avg_churn_risk=0.3) == DEMO["stable"]
+def test_tier_rules(spark):
+    assert listed(spark, "tiers", risk_sum=71) == ["critical/mail", "critical/call", "critical/offer"]
+    assert listed(spark, "tiers", risk_sum=30) == ["stable/mail", "stable/call", "stable/offer"]
+
+
+def test_any_decimal_threshold(spark):
+    risk = spark.createDataFrame([(1, 12, 16, 0.075), (2, 100, 15, 0.6667)], "user_key long, risk_sum long, days long, avg_churn_risk double")
+    assert [r.user_key for r in high_risk(risk, 0.075).collect()] == [2]
+    assert [r.user_key for r in high_risk(risk, 0.0749).collect()] == [2, 1]
 
 
 def test_history_must_be_twice_the_horizon():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators.risk import widen_forecast
 from ebbtide.operators.series import (
-    FEATURES, METRICS, daily_series, series_features, series_targets, simulate_series, trend_forecast,
+    FEATURES, METRICS, daily_series, series_features, series_targets, trend_forecast,
 )
 from ebbtide.settings import Settings
 
@@ -63,16 +63,13 @@ def test_short_series_are_skipped_and_targets_round_trip(spark):
     assert wide.columns == ["user_key", "horizon_day", *METRICS] and wide.count() == 30
 
 
-def test_simulated_series_bounds(spark):
-    users = spark.createDataFrame(
-        [(1, 12.0, 0, 0, 0, 3), (2, 0.0, 3_000_000, 10, 10, 50)],
-        "user_key long, avg_session_duration double, total_quiz_attempts long, total_content_views long,"
-        " total_challenge_interactions long, current_streak int",
-    )
-    out = simulate_series(users)
-    assert out.count() == 60 and out.where("quiz_completions > quiz_attempts").count() == 0
-    assert out.where("days_since_login <> -day_offset").count() == 0
-    low = out.agg(*[F.min(m) for m in METRICS]).first()
-    assert min(low) >= 0
-    again = simulate_series(users.repartition(5))
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
+def test_days_of_every_pattern_match_a_plain_loop(spark):
+    rng = np.random.default_rng(0)
+    active = {u: sorted(set(rng.integers(1, 31, rng.integers(0, 30)).tolist()), reverse=True) for u in range(40)}
+    frame = daily(spark, [(u, d, 1) for u, days in active.items() for d in days])
+    users = spark.range(40).withColumnRenamed("id", "user_key")
+    for r in daily_series(frame, users, AS_OF).collect():
+        days, streak, since = active[r.user_key], 0, 30
+        for d in range(30, -r.day_offset - 1, -1):
+            streak, since = (streak + 1, 0) if d in days else (0, since + 1 if since < 30 else 30)
+        assert (r.login_streak, r.days_since_login) == (streak, since)
