@@ -30,8 +30,9 @@ from ebbtide.llm.words import chunks, mix, run_hash, shingle_hashes, split_words
 #: Bands and coordinates of each. A pair at similarity 0.8 misses all bands with probability 3.2e-6.
 BANDS, ROWS = 24, 4
 
-#: The same for the sketches of differences, where the similarity may be as low as a third.
-_FINE_BANDS, _FINE_ROWS = 64, 2
+#: Bands and rows for the differences to a hub. The second takes over where two differences
+#: together are ``_TURN`` times as large as similar sets may differ, so share at least 0.46.
+_NEAR_HUB, _FAR_FROM_HUB, _TURN = (64, 2), (48, 3), 2.7
 
 _TILE = 512
 
@@ -173,10 +174,12 @@ def _differing_alike(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFra
     """Candidate pairs (a, b) from different components of a bucket.
 
     Members of a dense bucket resemble its hub, so nearly all their pairs share shingles. What
-    tells the similar pairs is how members differ from the hub: if two sets outside the reach
-    of the hub are similar, their differences to it are too (a third at least for equal
-    sizes), while differences made independently share next to nothing. So the differences are
-    sketched and banded anew, and pairs come from those bands only.
+    tells the similar pairs is how members differ from the hub. Two sets u, v with the wanted
+    similarity differ in at most x = (|u| + |v|) (1 - t) / (1 + t) shingles. So the sizes of
+    their differences to the hub, d and e, are at most x apart, and the differences overlap by
+    (d + e - x) / (d + e + x) or more, while differences made independently share next to
+    nothing. The differences are sketched and banded anew: close to the hub, where that bound
+    is low, with few rows to a band, and with more rows further away.
     """
     hubs = mixed.groupBy("key").agg(F.min("id").alias("hub"))
     frames = mixed.join(hubs, "key").where("id <> hub").select("hub", "id", "n", "label").distinct()
@@ -186,28 +189,37 @@ def _differing_alike(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFra
         .join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
         .select("hub", "id", "n", "label", F.concat(F.array_except(mine, hub), F.array_except(hub, mine)).alias("differs"))
     )
+    least = percent / 100
+    slack = (1 - least) / (1 + least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(4).values.to_numpy().view(np.uint64)
             at = batch.column(4).offsets.to_numpy()
-            hub_of = batch.column(0).to_numpy().view(np.uint64)
-            keys = [
-                mix(band_keys(signature(flat[at[r] : at[r + 1]], _FINE_BANDS * _FINE_ROWS), _FINE_BANDS, _FINE_ROWS) ^ mix(hub_of[r : r + 1]))
-                for r in range(batch.num_rows)
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3)), _list(keys)], ["id", "n", "label", "keys"])
+            hub_of = mix(batch.column(0).to_numpy().view(np.uint64))
+            size = batch.column(2).to_numpy()
+            keys = []
+            for r in range(batch.num_rows):
+                d, n = at[r + 1] - at[r], size[r]
+                sig = signature(flat[at[r] : at[r + 1]], max(b * k for b, k in (_NEAR_HUB, _FAR_FROM_HUB)))
+                own = []
+                if d < (_TURN + 1) / 2 * slack * n * (1 + 1 / least):
+                    own.append(band_keys(sig[: _NEAR_HUB[0] * _NEAR_HUB[1]], *_NEAR_HUB))
+                if d >= (_TURN - 1) / 2 * slack * n * (1 + least):
+                    own.append(~band_keys(sig[: _FAR_FROM_HUB[0] * _FAR_FROM_HUB[1]], *_FAR_FROM_HUB))
+                keys.append(mix(np.concatenate(own) ^ hub_of[r]))
+            counts = pa.array(np.diff(at).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3)), counts, _list(keys)], ["id", "n", "label", "d", "keys"])
 
     keyed = saved(
-        differences.where(F.size("differs") > 0).mapInArrow(run, "id long, n long, label long, keys array<long>")
-        .select("id", "n", "label", F.explode("keys").alias("key")), "differences",
+        differences.where(F.size("differs") > 0).mapInArrow(run, "id long, n long, label long, d long, keys array<long>")
+        .select("id", "n", "label", "d", F.explode("keys").alias("key")), "differences",
     )
-    apart = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    keyed = keyed.join(apart.select("key"), "key", "left_semi")
-    other = keyed.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    other = keyed.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("d").alias("d_b"))
+    apart = F.abs(F.col("d") - F.col("d_b")) * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
     return (
         keyed.join(other, "key")
-        .where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_allow("n", "n_b", percent))
+        .where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_allow("n", "n_b", percent) & apart)
         .select(F.col("id").alias("a"), "b").distinct()
     )
 
