@@ -22,7 +22,8 @@ from ebbtide.llm.scratch import saved
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognisable language: null texts and texts without a letter go."""
     rejected = saved(identify_languages(docs).where(F.col("lang_pred") == UNKNOWN).select("doc_id"), "rejected")
-    return without_members(docs, "doc_id", rejected)
+    # Rows without an id cannot be named in a list; the same rule, stated on the text.
+    return without_members(docs, "doc_id", rejected).where("doc_id IS NOT NULL OR text RLIKE '\\\\p{L}'")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,11 +39,11 @@ def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """``rows`` with ``_near``: whether the map lets the key through."""
-    table = bit_map(wanted.select(F.xxhash64("h").alias("h"))).withColumnRenamed("slot", "_slot")
-    hashed = rows.withColumn("_h", F.xxhash64(F.col(key).cast("long"))).withColumn("_slot", _slot(F.col("_h")).cast("int"))
-    passed = F.expr("coalesce(shiftrightunsigned(bits, cast(_h & 63 as int)) & 1 = 1, false)")
-    return hashed.join(F.broadcast(table), "_slot", "left").withColumn("_near", passed & F.col(key).isNotNull())
+    """``rows`` with ``__near``: whether the map lets the key through."""
+    table = bit_map(wanted.select(F.xxhash64("h").alias("h"))).toDF("__slot", "__bits")
+    hashed = rows.withColumn("__hash", F.xxhash64(F.col(key).cast("long"))).withColumn("__slot", _slot(F.col("__hash")).cast("int"))
+    passed = F.expr("coalesce(shiftrightunsigned(__bits, cast(__hash & 63 as int)) & 1 = 1, false)")
+    return hashed.join(F.broadcast(table), "__slot", "left").withColumn("__near", passed & F.col(key).isNotNull())
 
 
 def _wanted(members: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def _wanted(members: DataFrame) -> DataFrame:
 def only_members(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
     """Rows whose ``key`` is in the one column of ``members``; null keys are in no set."""
     wanted = _wanted(members)
-    near = _marked(rows, key, wanted).where("_near").select(*rows.columns)
+    near = _marked(rows, key, wanted).where("__near").select(*rows.columns)
     return near.join(wanted.withColumnRenamed("h", key), key, "left_semi").select(*rows.columns)
 
 
@@ -62,6 +62,6 @@ def without_members(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
     """Rows whose ``key`` is not in the one column of ``members``; null keys stay."""
     wanted = _wanted(members)
     marked = _marked(rows, key, wanted)
-    far = marked.where("NOT _near").select(*rows.columns)
-    near = marked.where("_near").select(*rows.columns)
+    far = marked.where("NOT __near").select(*rows.columns)
+    near = marked.where("__near").select(*rows.columns)
     return far.union(near.join(wanted.withColumnRenamed("h", key), key, "left_anti").select(*rows.columns))

@@ -127,9 +127,10 @@ def token_trees(docs: DataFrame, leaf_words: int = LEAF_WORDS, path: str | None
     """``docs`` with leaf_chars, the characters of each leaf, and tokens, the sums of the tree as a heap.
 
     tokens[1] is the count of the whole text. Null and empty texts have no leaf and the sums
-    [0, 0]. The input must not have columns of these two names; all others are kept.
+    [0, 0]. Columns of these two names are replaced; all others are kept.
     """
     path = path or tokenizer_path()
+    docs = docs.drop("leaf_chars", "tokens")
     columns = docs.columns
     place = columns.index("text")
 
