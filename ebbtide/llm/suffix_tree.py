@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -194,6 +195,16 @@ class Scorer:
         return np.add.reduceat(value, at[:-1])
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit integers, compressed plane by plane: high bytes of small numbers are all alike."""
+    return zstandard.compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+
+
 _BLOCK = (
     "docs array<long>, known array<boolean>, held array<boolean>, score array<double>, n_words array<long>, "
     "words array<long>, trained array<long>, slots binary, repeats binary, bounds array<long>"
@@ -223,8 +234,8 @@ def blocks(docs: DataFrame, tree: Tree) -> DataFrame:
                 pa.array([[i if i is not None else 0 for i in ids]], lists), pa.array([[i is not None for i in ids]], pa.list_(pa.bool_())),
                 pa.array([held], pa.list_(pa.bool_())), pa.array([np.concatenate(scores)], pa.list_(pa.float64())),
                 pa.array([lengths], lists), pa.array([distinct.view(np.int64)], lists), pa.array([trained], lists),
-                pa.array([(pairs % max(1, len(distinct))).astype("<u4").tobytes()], pa.binary()),
-                pa.array([times.astype("<u4").tobytes()], pa.binary()), pa.array([bounds], lists),
+                pa.array([_packed(np.diff(pairs % max(1, len(distinct)), prepend=0))], pa.binary()),
+                pa.array([_packed(times)], pa.binary()), pa.array([bounds], lists),
             ]
             return pa.RecordBatch.from_arrays(columns, names)
 
@@ -285,8 +296,8 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, share: float = S
         columns: list[list] = [[] for _ in names]
         for row in range(own.num_rows):
             get = lambda name: own[name][row].values.to_numpy(zero_copy_only=False)
-            slots = np.frombuffer(own["slots"][row].as_py(), "<u4")
-            times = np.frombuffer(own["repeats"][row].as_py(), "<u4").astype(np.int64)
+            slots = np.cumsum(_unpacked(own["slots"][row].as_py()))
+            times = _unpacked(own["repeats"][row].as_py())
             c = counts[slots]
             bounds = get("bounds")
             logs = np.concatenate([[0.0], np.cumsum(times * np.log10(c + 1.0))])
@@ -303,4 +314,5 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, share: float = S
         kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.chunked_array(c, k) for c, k in zip(columns, kinds_)], names)
 
-    return made.groupBy("block").cogroup(answers.select("block", "place", "c").groupBy("block")).applyInArrow(run, _SCORED)
+    needed = made.select("block", "docs", "known", "held", "score", "n_words", "slots", "repeats", "bounds")
+    return needed.groupBy("block").cogroup(answers.select("block", "place", "c").groupBy("block")).applyInArrow(run, _SCORED)
