@@ -21,6 +21,8 @@ from ebbtide.llm.tokens import WordTokenizer, tokenizer_path
 from ebbtide.llm.words import chunks, split_words
 
 LEAF_WORDS = 32
+#: Documents whose trees are open at a time.
+_EDITED_ROWS = 256
 
 _BLANKS = " \t\n\v\f\r"
 _FIRST_WORD = re.compile(f"[^{_BLANKS}]+[{_BLANKS}]*")
@@ -138,8 +140,8 @@ def token_trees(docs: DataFrame, leaf_words: int = LEAF_WORDS, path: str | None
         encoder = WordTokenizer.of(path)
         kind = pa.list_(pa.int32())
         for batch in batches:
-            sizes, sums = [], []
-            for _, _, data, rows in chunks(batch.column(place)):
+            for first, end, data, rows in chunks(batch.column(place)):
+                sizes, sums = [], []
                 bounds, of_row = _leaf_bounds(data, rows, leaf_words)
                 tokens = np.diff(encoder.encode(data, bounds).bounds)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -147,7 +149,8 @@ def token_trees(docs: DataFrame, leaf_words: int = LEAF_WORDS, path: str | None
                 for a, b in zip(of_row[:-1], of_row[1:]):
                     sizes.append(chars[a:b])
                     sums.append(subtree_sums(tokens[a:b].tolist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, kind), pa.array(sums, kind)], [*columns, "leaf_chars", "tokens"])
+                own = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sizes, kind), pa.array(sums, kind)], [*columns, "leaf_chars", "tokens"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), _TREE])
     return docs.mapInArrow(run, schema)
@@ -168,7 +171,7 @@ def apply_edits(trees: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordTokenizer.of(path)
         kind = pa.list_(pa.int32())
-        for batch in batches:
+        for batch in (b.slice(at, _EDITED_ROWS) for b in batches for at in range(0, b.num_rows, _EDITED_ROWS)):
             trees_of = []
             for text, leaves, tokens, edits in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
                 tree = Tree(text or "", leaves, tokens)

@@ -17,7 +17,7 @@ import pandas as pd
 from ebbtide.llm.words import split_words
 
 #: Words that a worker process remembers; beyond it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 _MARK = "\x00"
 
