@@ -52,7 +52,7 @@ def grams(data: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[list[np.nda
         code = code[:reach] * np.uint64(0x9E3779B97F4A7C15) + letters[order - 1 :].astype(np.uint64) + np.uint64(order)
         if order not in ORDERS:
             continue
-        slot = np.full(len(letters), buckets, np.int64)
+        slot = np.full(len(letters), buckets, np.int32)
         slot[:reach] = ((code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - buckets.bit_length() + 1)
         for back in range(1, order):
             over = at[1:] - back
