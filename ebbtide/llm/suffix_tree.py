@@ -2,15 +2,15 @@
 
 A text is its lower-cased words, each closed by a blank, and one end sign: a sequence of
 bytes that stands for the word sequence one to one. The tree's states are byte contexts of up
-to ``DEPTH`` bytes. A context is a state if it makes up at least ``SHARE`` of all training
-places, which bounds the states of a depth by 1 / ``SHARE``, and if its next-byte distribution
-diverges enough from that of the context one byte shorter: the log likelihood gained on its
-own counts must pay for its free parameters. A state's distribution is smoothed towards the
-next shorter state, down to the single bytes; a place is scored by its longest state.
-
-Word counts have no such bound, so they are never broadcast. Documents are put in blocks, a
-block asks for its distinct words once, the counts are summed by word in Spark, and the
-answers go back by block.
+to ``DEPTH`` bytes. A context is a state if it was seen ``LEAST`` times, whatever the size of
+the table, and if its next-byte distribution diverges enough from that of the context one byte
+shorter: the log likelihood gained on its own counts must pay for its free parameters. A
+state's distribution is smoothed towards the next shorter state, down to the single bytes; a
+place is scored by its longest state.
+
+States and word counts grow with the table, so neither is ever broadcast. Documents are put in
+blocks, a block asks for its distinct words and its distinct contexts with next byte once, the
+counts are summed and the probabilities made in Spark, and the answers go back by block.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -29,16 +30,19 @@ from ebbtide.llm.scratch import forget, saved
 from ebbtide.llm.words import Words, chunks, mix, split_words
 
 DEPTH = 6
-SHARE = 2e-7
+#: Occurrences that make a context a state, if it also diverges.
+LEAST = 2
 #: Weight of the shorter state against counts.
 WEIGHT = 8.0
 #: Bytes of text in a block of documents that ask for word counts together.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 12 << 20
+#: Bytes of text for each group of codes, of which about a tenth are distinct.
+GROUP_BYTES = 8 << 20
 
 _END = 10
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CACHE_BITS = 21
+_PIECE = 2 << 20
 
 
 def canonical(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -132,67 +136,147 @@ class Tree(NamedTuple):
         return p
 
 
-def fit_tree(texts: DataFrame, share: float = SHARE) -> Tree:
-    """The tree over all texts of a one-column frame; nulls and empty texts are one end sign.
+def tree_levels(level: DataFrame, total: int, least: int = LEAST) -> list[DataFrame]:
+    """(code, n, total, p, state) by depth from 0, for the codes of ``level(code, n)`` of which ``total`` were seen.
 
-    Only retained states reach the driver: of each depth at most 1 / ``share``.
+    A code of n = 0 is one that only asks for its probability p. ``state`` marks codes whose
+    context is retained; the distribution of any other context is that of the next shorter one.
     """
-    level = saved(place_counts(texts), "places")
-    total = level.agg(F.sum("n")).first()[0] or 0
-    root = np.ones(256)
     levels = {DEPTH: level}
+    # The furthest byte goes: it stands just above the next byte.
+    shorter = F.expr("((code >> 16) << 8) | (code & 255)")
     for depth in range(DEPTH - 1, -1, -1):
-        # The furthest byte goes: it stands just above the next byte.
-        code = F.expr("((code >> 16) << 8) | (code & 255)")
-        levels[depth] = saved(levels[depth + 1].groupBy(code.alias("code")).agg(F.sum("n").alias("n")), "places")
-    for code, n in levels[0].collect():
-        root[code & 255] += n
-    contexts, totals, entries, counts = [], [], [], []
-    least = max(2, int(np.ceil(share * total)))
+        levels[depth] = saved(levels[depth + 1].groupBy(shorter.alias("code")).agg(F.sum("n").alias("n")), "places")
+    n = F.col("n")
+    made = [levels[0].select("code", "n", F.lit(total).cast("long").alias("total"), ((n + 1) / F.lit(total + 256.0)).alias("p"), F.lit(False).alias("state"))]
     for depth in range(1, DEPTH + 1):
-        context = F.col("code") / 256
         own = Window.partitionBy("context")
-        child = levels[depth].withColumn("context", F.shiftright("code", 8)).withColumn("total", F.sum("n").over(own)).where(F.col("total") >= least)
-        parent = (
-            levels[depth - 1].withColumn("up", F.shiftright("code", 8))
-            .withColumn("up_total", F.sum("n").over(Window.partitionBy("up")))
-            .select(F.col("code").alias("up_code"), F.col("n").alias("up_n"), "up_total")
-        )
-        tested = child.withColumn("up_code", F.expr("((code >> 16) << 8) | (code & 255)")).join(parent, "up_code").withColumn(
-            "gain", F.sum(F.expr("n * ln((n / total) / (up_n / up_total))")).over(own)
-        ).withColumn("kinds", F.count("*").over(own))
+        child = levels[depth].withColumn("context", F.shiftright("code", 8)).withColumn("total", F.sum("n").over(own))
+        parent = made[-1].select(F.col("code").alias("up_code"), F.col("n").alias("up_n"), F.col("total").alias("up_total"), F.col("p").alias("up_p"))
+        tested = child.withColumn("up_code", shorter).join(parent, "up_code").withColumn(
+            "gain", F.sum(F.expr("CASE WHEN n > 0 THEN n * ln((n / total) / (up_n / up_total)) END")).over(own)
+        ).withColumn("kinds", F.count_if(n > 0).over(own))
         # Half a log of the sample for each free parameter, as in the Bayesian criterion.
-        kept = tested.where(F.expr("gain > 0.5 * kinds * ln(total)")).select("code", "context", "n", "total").toArrow().sort_by("code")
+        state = F.expr(f"coalesce(total >= {least} AND gain > 0.5 * kinds * ln(total), false)")
+        p = F.when(F.col("state"), (n + WEIGHT * F.col("up_p")) / (F.col("total") + WEIGHT)).otherwise(F.col("up_p"))
+        made.append(saved(tested.withColumn("state", state).select("code", "n", "total", p.alias("p"), "state"), "states"))
+    for depth in range(1, DEPTH):
+        forget(levels[depth])
+    return made
+
+
+def fit_tree(texts: DataFrame, share: float = 0.0) -> Tree:
+    """The tree over all texts of a one-column frame, on the driver, to look at small tables.
+
+    Nulls and empty texts are one end sign. ``share``: contexts that make up less of all places are no states.
+    """
+    level = saved(place_counts(texts), "places")
+    total = level.agg(F.sum("n")).first()[0] or 0
+    levels = tree_levels(level, total, max(LEAST, int(np.ceil(share * total))))
+    root = np.ones(256)
+    for code, n in levels[0].select("code", "n").collect():
+        root[code & 255] += n
+    contexts, totals, entries, counts = [], [], [], []
+    for frame in levels[1:]:
+        kept = frame.where("state AND n > 0").select("code", "n", "total").toArrow().sort_by("code")
         code = kept["code"].to_numpy().view(np.uint64)
-        context, first = np.unique(kept["context"].to_numpy().view(np.uint64), return_index=True)
+        context, first = np.unique(code >> np.uint64(8), return_index=True)
         contexts.append(context)
         totals.append(kept["total"].to_numpy()[first].astype(np.float64))
         entries.append(code)
         counts.append(kept["n"].to_numpy().astype(np.float64))
-    for frame in levels.values():
+    for frame in levels:
         forget(frame)
     return Tree(root / root.sum(), contexts, totals, entries, counts)
 
 
-class Scorer:
-    """Log10 probabilities of places, with those met before kept in a table of fixed size."""
+def _pieces(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Groups of rows of about ``_PIECE`` bytes."""
+    row = 0
+    while row < len(at) - 1:
+        end = max(row + 1, int(np.searchsorted(at, at[row] + _PIECE, "right")) - 1)
+        yield row, end
+        row = end
+
+
+def _row_codes(data: np.ndarray, at: np.ndarray, a: int, b: int) -> np.ndarray:
+    return place_codes(data[at[a] : at[b]], at[a : b + 1] - at[a])
+
 
-    def __init__(self, tree: Tree) -> None:
-        self._tree = tree
-        self._keys = np.full(1 << _CACHE_BITS, np.iinfo(np.uint64).max, np.uint64)
-        self._values = np.zeros(1 << _CACHE_BITS)
+def block_codes(data: np.ndarray, at: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of a block, sorted, and how often the rows learned from hold each."""
+    codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in _pieces(at):
+        own = _row_codes(data, at, a, b)
+        of = np.repeat(learned[a:b], np.diff(at[a : b + 1]))
+        for part, times in ((own[of], 1), (own[~of], 0)):
+            if len(part):
+                part = np.sort(part)
+                fresh = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                codes.append(part[fresh])
+                counts.append(times * np.diff(np.append(fresh, len(part))))
+    return _tally(np.concatenate(codes), np.concatenate(counts))
 
-    def row_scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        codes = place_codes(data, at)
-        slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-        value = self._values[slot]
-        missed = np.flatnonzero(self._keys[slot] != codes)
-        if len(missed):
-            wanted, back = np.unique(codes[missed], return_inverse=True)
-            logs = np.log10(self._tree.probabilities(wanted))
-            value[missed] = logs[back]
-            self._keys[slot[missed]], self._values[slot[missed]] = codes[missed], value[missed]
-        return np.add.reduceat(value, at[:-1])
+
+def _group(code: Column, groups: int) -> Column:
+    """Group of a code; ``groups`` is a power of two. The same as ``_groups``."""
+    spread = code.bitwiseXOR(F.shiftright(code, 19)).bitwiseXOR(F.shiftright(code, 35))
+    return spread.bitwiseAND(F.lit(groups - 1).cast("long")).cast("int")
+
+
+def _groups(codes: np.ndarray, groups: int) -> np.ndarray:
+    spread = codes ^ (codes >> np.uint64(19)) ^ (codes >> np.uint64(35))
+    return (spread & np.uint64(groups - 1)).astype(np.int64)
+
+
+def code_scores(made: DataFrame) -> tuple[DataFrame, int]:
+    """(block, grp, logs) for the codes of each block and group, in order of code, and the number of groups."""
+    asked_for = made.agg(F.sum("n_bytes")).first()[0] or 0
+    groups = 1 << max(0, int(np.ceil(np.log2(max(1, asked_for) / GROUP_BYTES))))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data, at, learned = _content(batch.column(1)[k], batch.column(2)[k], batch.column(3)[k])
+                codes, counts = block_codes(data, at, learned)
+                grp = _groups(codes, groups)
+                order = np.argsort(grp, kind="stable")
+                ends = np.searchsorted(grp[order], np.arange(groups + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v[order])) for v in (codes.view(np.int64), counts.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(groups, batch.column(0)[k].as_py())), pa.array(np.arange(groups, dtype=np.int32)), *lists], ["block", "grp", "codes", "counts"])
+
+    asked = saved(
+        made.select("block", "payload", "bounds_at", "held").mapInArrow(ask, "block long, grp int, codes array<long>, counts array<int>").where("size(codes) > 0"), "asked"
+    )
+
+    def tally(own: pa.Table) -> pa.Table:
+        codes, counts = _tally(_flat(own["codes"]).view(np.uint64), _flat(own["counts"]).astype(np.int64))
+        return pa.table({"code": codes.view(np.int64), "n": counts})
+
+    level = saved(asked.groupBy("grp").applyInArrow(tally, "code long, n long"), "places")
+    levels = tree_levels(level, level.agg(F.sum("n")).first()[0] or 0)
+    probable = levels[-1].select(_group(F.col("code"), groups).alias("grp"), "code", "p")
+
+    def answer(own: pa.Table, known: pa.Table) -> pa.Table:
+        codes, p = known["code"].to_numpy(), known["p"].to_numpy()
+        order = np.argsort(codes)
+        codes, logs = codes[order], np.log10(p[order]).astype(np.float32)
+        found = [logs[np.searchsorted(codes, _flat(own["codes"].slice(k, 1)))] for k in range(own.num_rows)]
+        return pa.table({"block": own["block"], "grp": own["grp"], "logs": pa.array(found, pa.list_(pa.float32()))})
+
+    answers = asked.select("block", "grp", "codes").groupBy("grp").cogroup(probable.groupBy("grp")).applyInArrow(answer, "block long, grp int, logs array<float>")
+    return answers, groups
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
+
+
+def _content(payload: pa.Scalar, at: pa.Scalar, held: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical bytes of a block, bounds of its rows, and which of them are learned from."""
+    data = np.frombuffer(zstandard.decompress(payload.as_py()), np.uint8)
+    learned = np.array([h is False for h in held.as_py()], bool)
+    return data, at.values.to_numpy(zero_copy_only=False), learned
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -206,19 +290,17 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 _BLOCK = (
-    "docs array<long>, known array<boolean>, held array<boolean>, score array<double>, n_words array<long>, "
+    "docs array<long>, known array<boolean>, held array<boolean>, payload binary, bounds_at array<long>, n_bytes long, n_words array<long>, "
     "words array<long>, trained array<long>, slots binary, repeats binary, bounds array<long>"
 )
 
 
-def blocks(docs: DataFrame, tree: Tree) -> DataFrame:
-    """(block, ...) of (doc_id, text, held_out): documents in blocks with their distinct words and scores."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, ...) of (doc_id, text, held_out): documents in blocks with their distinct words and bytes."""
     names = [part.split()[0] for part in _BLOCK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        ids, held, scores, hashes, sizes, size = [], [], [], [], [], 0
+        ids, held, parts, hashes, sizes, size = [], [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
             words, lengths = np.concatenate(hashes), np.concatenate(sizes)
@@ -229,10 +311,13 @@ def blocks(docs: DataFrame, tree: Tree) -> DataFrame:
             # Distinct words of each row with their number of times there.
             pairs, times = np.unique(row.astype(np.int64) * max(1, len(distinct)) + slot, return_counts=True)
             bounds = np.searchsorted(pairs, np.arange(len(lengths) + 1) * max(1, len(distinct)))
+            data = np.concatenate([part for part, _ in parts])
+            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(own) for _, own in parts]))])
             lists = pa.list_(pa.int64())
             columns = [
                 pa.array([[i if i is not None else 0 for i in ids]], lists), pa.array([[i is not None for i in ids]], pa.list_(pa.bool_())),
-                pa.array([held], pa.list_(pa.bool_())), pa.array([np.concatenate(scores)], pa.list_(pa.float64())),
+                pa.array([held], pa.list_(pa.bool_())), pa.array([zstandard.compress(data.tobytes(), 1)], pa.binary()),
+                pa.array([at], lists), pa.array([len(data)], pa.int64()),
                 pa.array([lengths], lists), pa.array([distinct.view(np.int64)], lists), pa.array([trained], lists),
                 pa.array([_packed(np.diff(pairs % max(1, len(distinct)), prepend=0))], pa.binary()),
                 pa.array([_packed(times)], pa.binary()), pa.array([bounds], lists),
@@ -243,7 +328,7 @@ def blocks(docs: DataFrame, tree: Tree) -> DataFrame:
             doc_ids, outs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b, data, rows in chunks(batch.column(1)):
                 words = split_words(data, rows)
-                scores.append(scorer.row_scores(*canonical(words)))
+                parts.append(canonical(words))
                 hashes.append(words.hashes)
                 sizes.append(np.diff(words.bounds))
                 ids += doc_ids[a:b]
@@ -251,7 +336,7 @@ def blocks(docs: DataFrame, tree: Tree) -> DataFrame:
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield close()
-                    ids, held, scores, hashes, sizes, size = [], [], [], [], [], 0
+                    ids, held, parts, hashes, sizes, size = [], [], [], [], [], 0
         if ids:
             yield close()
 
@@ -263,7 +348,7 @@ _SCORED = (
 )
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, share: float = SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs(doc_id, text)``.
 
     Learns from the rows whose crc32 of doc_id, modulo ``folds``, is not ``held``. Tokens are
@@ -274,8 +359,8 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, share: float = S
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % folds == held
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out"))
-    tree = fit_tree(texts.where(~F.col("held_out")).select("text"), share)
-    made = saved(blocks(texts, tree), "blocks")
+    made = saved(blocks(texts), "blocks")
+    scored, groups = code_scores(made)
     asked = made.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("place", "w")).select(
         "block", "place", F.col("w.words").alias("word"), F.col("w.trained").alias("n")
     )
@@ -291,8 +376,10 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, share: float = S
     names = [part.split()[0] for part in _SCORED.split(", ")]
 
     def run(own: pa.Table, answered: pa.Table) -> pa.Table:
-        counts = np.zeros(answered.num_rows, np.int64)
-        counts[answered["place"].to_numpy()] = answered["c"].to_numpy()
+        of_words = answered.filter(pc.is_valid(answered["place"]))
+        counts = np.zeros(of_words.num_rows, np.int64)
+        counts[of_words["place"].to_numpy()] = of_words["c"].to_numpy()
+        by_group = answered.filter(pc.is_valid(answered["grp"])).sort_by("grp")
         columns: list[list] = [[] for _ in names]
         for row in range(own.num_rows):
             get = lambda name: own[name][row].values.to_numpy(zero_copy_only=False)
@@ -304,15 +391,27 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, share: float = S
             known = np.concatenate([[0], np.cumsum(times * (c > 0))])
             tokens = get("n_words") + 1
             base = logs[bounds[1:]] - logs[bounds[:-1]] + np.log10(ends + 1.0) - tokens * floor
+            data, at, learned = _content(own["payload"][row], own["bounds_at"][row], own["held"][row])
+            codes, _ = block_codes(data, at, learned)
+            logs_of = np.empty(len(codes))
+            logs_of[np.argsort(_groups(codes, groups), kind="stable")] = _flat(by_group["logs"])
+            score = np.empty(len(at) - 1)
+            for a, b in _pieces(at):
+                value = logs_of[np.searchsorted(codes, _row_codes(data, at, a, b))]
+                score[a:b] = np.add.reduceat(value, at[a:b] - at[a])
             doc = pa.array(get("docs"), mask=~get("known").astype(bool))
             parts = [
                 doc, own["held"][row].values, pa.array(tokens), pa.array(known[bounds[1:]] - known[bounds[:-1]] + (ends > 0)),
-                pa.array(np.full(len(tokens), total)), pa.array(base), pa.array(get("score")),
+                pa.array(np.full(len(tokens), total)), pa.array(base), pa.array(score),
             ]
             for column, part in zip(columns, parts):
                 column.append(part)
         kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.chunked_array(c, k) for c, k in zip(columns, kinds_)], names)
 
-    needed = made.select("block", "docs", "known", "held", "score", "n_words", "slots", "repeats", "bounds")
-    return needed.groupBy("block").cogroup(answers.select("block", "place", "c").groupBy("block")).applyInArrow(run, _SCORED)
+    needed = made.select("block", "docs", "known", "held", "payload", "bounds_at", "n_words", "slots", "repeats", "bounds")
+    none = F.lit(None)
+    given = answers.select("block", "place", "c", none.cast("int").alias("grp"), none.cast("array<float>").alias("logs")).union(
+        scored.select("block", none.cast(answers.schema["place"].dataType), none.cast("long"), "grp", "logs")
+    )
+    return needed.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, _SCORED)

@@ -78,3 +78,19 @@ def test_empty_table(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only_held = spark.createDataFrame([(k, "a b") for k in range(40) if zlib.crc32(str(k).encode()) % 7 == 2], "doc_id long, text string")
     assert all((r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) for r in score_texts(only_held).collect())
+
+
+def test_states_do_not_depend_on_table_size_and_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(suffix_tree, "GROUP_BYTES", 50_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    tree = fit_tree(docs.where("crc32(cast(doc_id AS string)) % 7 <> 2").select("text"))
+    assert min(t.min() for t in tree.totals if len(t)) < 10
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in score_texts(docs).collect():
+        ((_, _, data, rows),) = chunks(pa.array([texts[r.doc_id]]), 1 << 30)
+        score = np.log10(tree.probabilities(place_codes(*canonical(split_words(data, rows))))).sum()
+        assert abs(r.score - score) < 1e-5 * max(1, -score)
+    # 15 million places: a share of 2e-7 would ask for three occurrences.
+    level = spark.createDataFrame([(int.from_bytes(b"zyxwvu" + b"a", "big"), 2), (int.from_bytes(b"abcdef" + b"b", "big"), 14_999_998)], "code long, n long")
+    assert [r.n for r in suffix_tree.tree_levels(level, 15_000_000)[1].where("state").collect()] == [2]
