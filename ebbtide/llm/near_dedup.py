@@ -8,8 +8,8 @@ candidates, and a candidate counts only if its full sets are similar enough.
 Copies with one and the same set are folded into their smallest id before banding, so a
 group of thousands of exact copies is one row. Within a band's bucket, members are compared
 with one hub; whatever the links found so far leave in different components is compared with
-a second, random hub, and what still differs then is banded once more by how it differs from
-the hub. Members of one component need no further comparison, so no group of near copies is
+a second, random hub, and what still differs then is joined exactly by what it has in common
+in its differences to the hub. Members of one component need no further comparison, so no group of near copies is
 expanded into all its pairs.
 """
 
@@ -30,9 +30,8 @@ from ebbtide.llm.words import chunks, mix, run_hash, shingle_hashes, split_words
 #: Bands and coordinates of each. A pair at similarity 0.8 misses all bands with probability 3.2e-6.
 BANDS, ROWS = 24, 4
 
-#: Bands and rows for the differences to a hub. The second takes over where two differences
-#: together are ``_TURN`` times as large as similar sets may differ, so share at least 0.46.
-_NEAR_HUB, _FAR_FROM_HUB, _TURN = (64, 2), (48, 3), 2.7
+#: Growth of the classes of difference sizes.
+_CLASS = 1.25
 
 _TILE = 512
 
@@ -175,52 +174,68 @@ def _differing_alike(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     Members of a dense bucket resemble its hub, so nearly all their pairs share shingles. What
     tells the similar pairs is how members differ from the hub. Two sets u, v with the wanted
-    similarity differ in at most x = (|u| + |v|) (1 - t) / (1 + t) shingles. So the sizes of
-    their differences to the hub, d and e, are at most x apart, and the differences overlap by
-    (d + e - x) / (d + e + x) or more, while differences made independently share next to
-    nothing. The differences are sketched and banded anew: close to the hub, where that bound
-    is low, with few rows to a band, and with more rows further away.
+    similarity differ in at most x = (|u| + |v|) (1 - t) / (1 + t) shingles, so their differences
+    to the hub, of sizes d and e at most x apart, have (d + e - x) / 2 or more in common. That is
+    positive if one of the two is not similar to the hub, and if both are, they are in the hub's
+    component. The pairs are found by a prefix filter: with the rarest shingles of a hub's
+    differences first, the first d - o + 1 and e - o + 1 share one if o are common. As o depends
+    on both sizes, a set gives one prefix for each class of sizes its partner may have.
     """
-    hubs = mixed.groupBy("key").agg(F.min("id").alias("hub"))
-    frames = mixed.join(hubs, "key").where("id <> hub").select("hub", "id", "n", "label").distinct()
+    hubs = mixed.groupBy("key").agg(F.min(F.struct("id", "label")).alias("hub"))
+    frames = mixed.join(hubs, "key").where("id <> hub.id").select(
+        F.col("hub.id").alias("hub"), "id", "n", "label", (F.col("label") == F.col("hub.label")).alias("inside")
+    ).distinct()
     mine, hub = F.col("mine"), F.col("of_hub")
-    differences = (
+    differences = saved(
         frames.join(sets.select("id", F.col("shingles").alias("mine")), "id")
         .join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
-        .select("hub", "id", "n", "label", F.concat(F.array_except(mine, hub), F.array_except(hub, mine)).alias("differs"))
+        .select("hub", "id", F.explode(F.concat(F.array_except(mine, hub), F.array_except(hub, mine))).alias("s")), "differences",
+    )
+    common = differences.groupBy("hub", "s").agg(F.count("*").alias("sets"))
+    largest = frames.groupBy("hub").agg(F.max("n").alias("most"))
+    ordered = (
+        differences.join(common, ["hub", "s"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("o"))
+        .join(frames, ["hub", "id"]).join(largest, "hub")
+        # Shingles of one set alone come first, take their places in the prefix, and join with nothing.
+        .select("hub", "id", "n", "label", "inside", "most", F.size("o").cast("long").alias("d"), F.expr("transform(filter(o, v -> v.sets > 1), v -> v.s)").alias("shared"))
     )
     least = percent / 100
     slack = (1 - least) / (1 + least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = [1]
         for batch in batches:
-            flat = batch.column(4).values.to_numpy().view(np.uint64)
-            at = batch.column(4).offsets.to_numpy()
+            shared = batch.column(7)
             hub_of = mix(batch.column(0).to_numpy().view(np.uint64))
-            size = batch.column(2).to_numpy()
             keys = []
-            for r in range(batch.num_rows):
-                d, n = at[r + 1] - at[r], size[r]
-                sig = signature(flat[at[r] : at[r + 1]], max(b * k for b, k in (_NEAR_HUB, _FAR_FROM_HUB)))
-                own = []
-                if d < (_TURN + 1) / 2 * slack * n * (1 + 1 / least):
-                    own.append(band_keys(sig[: _NEAR_HUB[0] * _NEAR_HUB[1]], *_NEAR_HUB))
-                if d >= (_TURN - 1) / 2 * slack * n * (1 + least):
-                    own.append(~band_keys(sig[: _FAR_FROM_HUB[0] * _FAR_FROM_HUB[1]], *_FAR_FROM_HUB))
-                keys.append(mix(np.concatenate(own) ^ hub_of[r]))
-            counts = pa.array(np.diff(at).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3)), counts, _list(keys)], ["id", "n", "label", "d", "keys"])
+            for r, (n, most, d) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 5, 6)))):
+                own = shared[r].values.to_numpy().view(np.uint64)
+                x = int(slack * (n + min(most, n / least)) + 1e-6)
+                while edges[-1] <= d + x:
+                    edges.append(max(edges[-1] + 1, int(edges[-1] * _CLASS)))
+                size_class = np.searchsorted(edges, d, "right")
+                made = [own[:0]]
+                for k in range(np.searchsorted(edges, max(1, d - x), "right"), np.searchsorted(edges, d + x, "right") + 1):
+                    need = max(1, -((x - d - max(edges[k - 1], d - x)) // 2))
+                    if need <= min(d, edges[k] - 1):
+                        pair = np.array([min(k, size_class) << 32 | max(k, size_class)], np.uint64)
+                        prefix = max(0, d - need + 1 - (d - len(own)))
+                        made.append(mix(own[:prefix] ^ mix(hub_of[r] + mix(pair))))
+                keys.append(np.concatenate(made))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 4, 6)), _list(keys)], ["hub", "id", "n", "label", "inside", "d", "keys"])
 
     keyed = saved(
-        differences.where(F.size("differs") > 0).mapInArrow(run, "id long, n long, label long, d long, keys array<long>")
-        .select("id", "n", "label", "d", F.explode("keys").alias("key")), "differences",
+        ordered.mapInArrow(run, "hub long, id long, n long, label long, inside boolean, d long, keys array<long>")
+        .select("id", "n", "label", "inside", "d", F.explode("keys").alias("key")), "prefixes",
+    )
+    other = keyed.where("NOT inside").select(
+        F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("d").alias("d_b")
     )
-    other = keyed.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("d").alias("d_b"))
     apart = F.abs(F.col("d") - F.col("d_b")) * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
+    once = F.col("inside") | (F.col("id") < F.col("b"))
     return (
-        keyed.join(other, "key")
-        .where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_allow("n", "n_b", percent) & apart)
-        .select(F.col("id").alias("a"), "b").distinct()
+        keyed.join(other, (F.col("key") == F.col("key_b")) & once & (F.col("label") != F.col("label_b")) & _sizes_allow("n", "n_b", percent) & apart)
+        .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     )
 
 

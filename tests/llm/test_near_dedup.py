@@ -5,7 +5,7 @@ import pytest
 
 from brute import near_duplicate_classes, shingles
 from ebbtide.llm.components import components
-from ebbtide.llm.near_dedup import near_duplicates, signature
+from ebbtide.llm.near_dedup import _differing_alike, near_duplicates, signature
 
 
 def edited(rng, text, times):
@@ -64,3 +64,31 @@ def test_components_of_a_long_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert found == {k: 0 if k < 100 else 100 for k in [*range(41), *range(100, 160)]}
+
+
+def test_pairs_with_one_set_in_reach_of_the_hub_are_all_found(spark):
+    rng = np.random.default_rng(7)
+    fresh = iter(rng.permutation(1 << 20).tolist())
+
+    def edited(base, places):
+        out = list(base)
+        for k in places:
+            out[4 * k : 4 * k + 4] = [next(fresh) for _ in range(4)]
+        return out
+
+    hub = [next(fresh) for _ in range(400)]
+    rows, labels, wanted = [(0, hub)], {0: 0}, set()
+    for k in range(1, 41):
+        places = rng.permutation(100)[:12]
+        near = edited(hub, places[:1])
+        rows += [(k, near), (100 + k, edited(near, places[1:]))]
+        labels |= {k: 0, 100 + k: 100 + k}
+    for k, one in rows:
+        for j, two in rows:
+            both = len(set(one) & set(two))
+            if 0 < k < j and labels[k] != labels[j] and 100 * both >= 80 * (800 - both):
+                wanted.add((k, j))
+    mixed = spark.createDataFrame([(1, k, 400, labels[k]) for k, _ in rows], "key long, id long, n long, label long")
+    sets = spark.createDataFrame([(k, sorted(s)) for k, s in rows], "id long, shingles array<long>")
+    found = {(r.a, r.b) for r in _differing_alike(mixed, sets, 80).collect()}
+    assert {(k, 100 + k) for k in range(1, 41)} <= wanted <= found
