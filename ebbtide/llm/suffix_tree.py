@@ -231,8 +231,8 @@ def _groups(codes: np.ndarray, groups: int) -> np.ndarray:
 
 def code_scores(made: DataFrame) -> tuple[DataFrame, int]:
     """(block, grp, logs) for the codes of each block and group, in order of code, and the number of groups."""
-    asked_for = made.agg(F.sum("n_bytes")).first()[0] or 0
-    groups = 1 << max(0, int(np.ceil(np.log2(max(1, asked_for) / GROUP_BYTES))))
+    n_bytes = made.agg(F.sum("n_bytes")).first()[0] or 0
+    groups = 1 << max(0, int(np.ceil(np.log2(max(1, n_bytes) / GROUP_BYTES))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
