@@ -255,6 +255,10 @@ def code_scores(made: DataFrame) -> tuple[DataFrame, int]:
 
     level = saved(asked.groupBy("grp").applyInArrow(tally, "code long, n long"), "places")
     levels = tree_levels(level, level.agg(F.sum("n")).first()[0] or 0)
+    # Only the last depth is read from here on: the files of the others go, and their shuffles with the collected frames.
+    for frame in (level, *levels[1:-1]):
+        forget(frame)
+    made.sparkSession._jvm.System.gc()
     probable = levels[-1].select(_group(F.col("code"), groups).alias("grp"), "code", "p")
 
     def answer(own: pa.Table, known: pa.Table) -> pa.Table:
