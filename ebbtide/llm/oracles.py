@@ -23,6 +23,28 @@ reached AS (SELECT doc_id AS v, doc_id AS r FROM worded UNION SELECT v, b FROM r
 classes AS (SELECT v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reached LEFT JOIN sizes ON v = doc_id GROUP BY v)"""
 
 
+# The expressions of the secret rules, and how long a whole match or its second group is at least.
+_NAMES = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+_LEAD = f"""{_NAMES}["'']?\\x20*[:=]\\x20*["'']?"""
+SECRET_SQL = [
+    ("assign", f"{_LEAD}[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(m, '^{_LEAD}', '')) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ("private", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+    ("forge", "gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
+    ("signed", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "length(regexp_extract(m, '[^.]*$')) >= 16"),
+]
+
+
+def _secret_spans(place: int, kind: str, pattern: str, holds: str) -> str:
+    """Spans of one rule: the texts between its matches and the matches themselves, added up."""
+    return f"""SELECT r, '{kind}' AS kind, {place} AS place, s, s + length(m) AS e FROM (
+  SELECT r, m, sum(length(gap)) OVER (PARTITION BY r ORDER BY i) + sum(length(m)) OVER (PARTITION BY r ORDER BY i) - length(m) AS s FROM (
+    SELECT r, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i, unnest(gaps[1:len(ms)]) AS gap FROM (
+      SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM numbered)))
+  WHERE {holds}"""
+
+
 _TURN_HEAD = "CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 10 + length(role) + 7 END"
 
 ORACLES: dict[str, str] = {
@@ -51,4 +73,11 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_secret_scan": f"""
+WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_secret_spans(k, *rule) for k, rule in enumerate(SECRET_SQL))})
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place), '') AS spans
+FROM numbered LEFT JOIN spans USING (r) GROUP BY r, doc_id""",
 }

@@ -13,6 +13,7 @@ from ebbtide.llm.language import identify_languages
 from ebbtide.llm.near_dedup import near_duplicates
 from ebbtide.llm.packing import pack_documents
 from ebbtide.llm.passages import repeated_passages
+from ebbtide.llm.secret_scan import find_secrets, secret_digests
 from ebbtide.llm.suffix_tree import score_texts
 from ebbtide.llm.token_trees import apply_edits, token_trees
 from ebbtide.llm.topk import integer_vectors, top_k
@@ -91,3 +92,8 @@ def op9_counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(table(spark, folder, "documents"))
+
+
+@query
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digests(find_secrets(table(spark, folder, "documents")))
