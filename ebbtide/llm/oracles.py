@@ -80,4 +80,20 @@ SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (k
   sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place), '') AS spans
 FROM numbered LEFT JOIN spans USING (r) GROUP BY r, doc_id""",
+    "op12_collocations": f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM worded GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM worded, (SELECT unnest(range(1, 6)) AS k))),
+counts AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+cuts AS (SELECT lang, k, phrase, ws, f, unnest(range(1, k)) AS cut FROM counts WHERE k > 1),
+scored AS (SELECT c.lang, c.k, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+chosen AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+covers AS (SELECT lang, array_to_string(unnest([ws[1:k - 1], ws[2:]]), ' ') AS phrase, f FROM counts WHERE k > 2),
+kept AS (SELECT * FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM covers v WHERE v.lang = c.lang AND v.phrase = c.phrase AND v.f >= c.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm.chat import chat_digests, format_chats
+from ebbtide.llm.collocations import collocations
 from ebbtide.llm.decontaminate import contaminated
 from ebbtide.llm.language import identify_languages
 from ebbtide.llm.near_dedup import near_duplicates
@@ -97,3 +98,8 @@ def op10_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digests(find_secrets(table(spark, folder, "documents")))
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
