@@ -1,7 +1,7 @@
 """Phrases of a corpus that stick together, by multikey quicksort of suffixes.
 
 A suffix is a place in a text with the words that follow it in its piece. Words, then leading
-pairs of words, are counted over the whole corpus, and a suffix ends where a rare word or pair
+pairs and triples, are counted over the whole corpus, and a suffix ends where a rare one
 begins: no phrase across it can be frequent. The suffixes are routed by their leading words to
 groups of bounded size, by two words or, where those are too common, by more. In each group a
 three-way quicksort takes word after word as its key down to the greatest length: the weight of
@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,8 +51,9 @@ _GAPS = _ENDS | _flags(" \t")
 class Known:
     """What earlier passes say of the corpus, as bit maps."""
 
-    words: np.ndarray | None = None
-    pairs: np.ndarray | None = None
+    words: np.ndarray
+    #: By length: phrases that are frequent. No suffix goes on across one that is not.
+    frequent: dict[int, np.ndarray] = field(default_factory=dict)
     #: By length: phrases whose suffixes are routed by one word more.
     common: dict[int, np.ndarray] = field(default_factory=dict)
 
@@ -100,11 +102,15 @@ def _over_chunks(docs: DataFrame, schema: str, work: Callable[[np.ndarray, np.nd
 
     def made(held) -> pa.RecordBatch:
         columns = fold([np.concatenate(c) for c in zip(*held)])
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
+        return pa.RecordBatch.from_arrays([_arrow(c) if isinstance(c, np.ndarray) else c for c in columns], names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _arrow(column: np.ndarray) -> pa.Array:
+    return pa.array(column.view(np.int64) if column.dtype == np.uint64 else column)
+
+
 def _fold_keys(columns: list[np.ndarray]) -> list[np.ndarray]:
     """Equal rows of the columns once, with their number; the first column tells most rows apart.
 
@@ -128,43 +134,55 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _over_chunks(docs, "key long, salt long, n long", work, _fold_keys).groupBy("key", "salt").agg(F.sum("n").alias("n"))
 
 
+def _leads(keys: np.ndarray, on: np.ndarray, known: Known, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the phrase of ``length`` words at each place, and whether all shorter ones within are frequent, as counted."""
+    good = passes(known.words, keys)
+    keep, prefix = on & good & _shifted(good, 1), _longer(keys, _shifted(keys, 1))
+    for k in range(2, length):
+        if k in known.frequent:
+            at = np.flatnonzero(keep)
+            keep[at] = passes(known.frequent[k], prefix[at])
+        keep &= _shifted(keep, 1)
+        prefix = _longer(prefix, _shifted(keys, k))
+    return prefix, keep
+
+
 def lead_counts(docs: DataFrame, known: Known, length: int) -> DataFrame:
-    """(h, n): occurrences of phrases of ``length`` words, all frequent, behind a common shorter phrase."""
+    """(h, n): occurrences of phrases of ``length`` words whose parts are frequent; of four words
+    or more, only of those whose suffixes have to be routed by more words."""
 
     def work(data, rows, salts):
         keys, on, _ = _places(data, rows, salts)
-        good = passes(known.words, keys)
-        keep = good & on & _shifted(good, 1)
-        prefix = _longer(keys, _shifted(keys, 1))
-        if length > 2:
-            paired = keep & passes(known.pairs, prefix)
-            keep = paired.copy()
-            for k in range(2, length):
-                keep &= _shifted(paired, k - 1) & passes(known.common[k], prefix)
-                prefix = _longer(prefix, _shifted(keys, k))
+        prefix, keep = _leads(keys, on, known, length)
+        for k in range(2, length if length > 3 else 0):
+            at = np.flatnonzero(keep)
+            keep[at] = passes(known.common[k], _leads(keys, on, known, k)[0][at])
         return [prefix[keep]]
 
     return _over_chunks(docs, "h long, n long", work, _fold_keys).groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def suffixes(docs: DataFrame, known: Known) -> DataFrame:
-    """(route, depth, w1..w5, n): distinct suffixes of two words or more, 0 behind their end.
+def suffixes(docs: DataFrame, known: Known, groups: int) -> DataFrame:
+    """(group, depth, words, n): distinct suffixes of two words or more, those of a fold and group in one row.
 
-    All suffixes that agree in their first ``depth`` words have the same route.
+    ``words`` holds five for each suffix, 0 behind its end. All suffixes that agree in their first
+    ``depth`` words are of one group. There are never more rows than suffixes, at any number of groups.
     """
 
     def work(data, rows, salts):
         keys, on, _ = _places(data, rows, salts)
-        good = passes(known.words, keys)
-        paired = on & good & _shifted(good, 1)
-        at = np.flatnonzero(paired)
-        paired[at] = passes(known.pairs, _longer(keys[at], keys[at + 1]))
-        at = np.flatnonzero(paired)
-        going, columns = np.ones(len(at), bool), [keys[at]]
+        # Places at which the next word, and the next two, belong to a frequent phrase.
+        steps = {}
+        for k, table in known.frequent.items():
+            prefix, steps[k] = _leads(keys, on, known, k)
+            at = np.flatnonzero(steps[k])
+            steps[k][at] = passes(table, prefix[at])
+        at = np.flatnonzero(steps[2])
         wide = np.concatenate([keys, np.zeros(LONGEST, np.uint64)])
-        more = np.concatenate([paired, np.zeros(LONGEST, bool)])
-        for k in range(1, LONGEST):
-            going &= more[at + k - 1]
+        more = np.concatenate([steps[max(steps)], np.zeros(LONGEST, bool)])
+        going, columns = np.ones(len(at), bool), [keys[at], wide[at + 1]]
+        for k in range(2, LONGEST):
+            going &= more[at + k - 2]
             columns.append(np.where(going, wide[at + k], np.uint64(0)))
         return [_whole(columns), *columns]
 
@@ -179,10 +197,15 @@ def suffixes(docs: DataFrame, known: Known) -> DataFrame:
             prefix = _longer(prefix, rest[k])
             depth[still] = k + 1
             route = np.where(still, prefix, route)
-        return [route, depth, *rest, n]
+        group = (route % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        at = np.flatnonzero(np.diff(group[order], prepend=-1))
+        bounds = np.append(at, len(order)).astype(np.int32)
+        words = np.column_stack(rest)[order].ravel()
+        lists = [(bounds, depth[order]), (bounds * LONGEST, words), (bounds, n[order])]
+        return [group[order][at], *[pa.ListArray.from_arrays(pa.array(b), _arrow(c)) for b, c in lists]]
 
-    words = ", ".join(f"{w} long" for w in _WORDS)
-    return _over_chunks(docs, f"route long, depth int, {words}, n long", work, fold)
+    return _over_chunks(docs, "group long, depth array<int>, words array<long>, n array<long>", work, fold)
 
 
 def _whole(columns: list[np.ndarray]) -> np.ndarray:
@@ -233,12 +256,12 @@ def _spread_counts(words: np.ndarray, weights: np.ndarray, depths: np.ndarray) -
         yield from zip(rows[at].tolist(), [length] * len(at), np.add.reduceat(weights[rows], at).tolist())
 
 
-def phrase_counts(suffix_rows: DataFrame, least: int, groups: int) -> DataFrame:
+def phrase_counts(suffix_rows: DataFrame, least: int) -> DataFrame:
     """(w1..w5, f) of all phrases of two words or more with ``least`` occurrences; 0 behind their end."""
 
     def count(table: pa.Table) -> pa.Table:
-        words = np.column_stack([table.column(w).to_numpy().view(np.uint64) for w in _WORDS])
-        weights, depths = table.column("n").to_numpy(), table.column("depth").to_numpy()
+        words, weights, depths = (pc.list_flatten(table.column(c)).to_numpy() for c in ("words", "n", "depth"))
+        words = words.view(np.uint64).reshape(-1, LONGEST)
         found = list(quicksort_counts(words, weights, depths, least))
         if depths.max() > 2:
             found += _spread_counts(words, weights, depths)
@@ -247,8 +270,7 @@ def phrase_counts(suffix_rows: DataFrame, least: int, groups: int) -> DataFrame:
         return pa.table([*[pa.array(out[:, k]) for k in range(LONGEST)], pa.array(counts)], names=[*_WORDS, "f"])
 
     schema = ", ".join(f"{w} long" for w in _WORDS) + ", f long"
-    grouped = suffix_rows.withColumn("group", F.pmod("route", F.lit(groups))).drop("route").groupBy("group")
-    return grouped.applyInArrow(count, schema).groupBy(*_WORDS).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return suffix_rows.groupBy("group").applyInArrow(count, schema).groupBy(*_WORDS).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def _count_all(docs: DataFrame, least: int, group_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -258,17 +280,17 @@ def _count_all(docs: DataFrame, least: int, group_rows: int) -> tuple[DataFrame,
     frequent = words.where(F.col("n") >= least)
     known = Known(words=bit_array(frequent.select(F.col("key").alias("h"))))
     for length in range(2, LONGEST):
+        if length > 3 and not known.common[length - 1].any():
+            break
         leads = saved(lead_counts(docs, known, length), "leads")
+        if length < 4:
+            known.frequent[length] = bit_array(leads.where(F.col("n") >= least).select("h"))
         if length == 2:
-            pairs = leads.where(F.col("n") >= least)
-            known.pairs = bit_array(pairs.select("h"))
-            occurrences = pairs.agg(F.sum("n")).first()[0] or 0
+            occurrences = leads.where(F.col("n") >= least).agg(F.sum("n")).first()[0] or 0
         known.common[length] = bit_array(leads.where(F.col("n") > group_rows).select("h"))
         forget(leads)
-        if not known.common[length].any():
-            break
     groups = occurrences // group_rows + 1
-    return frequent, totals, saved(phrase_counts(suffixes(docs, known), least, groups), "phrases")
+    return frequent, totals, saved(phrase_counts(suffixes(docs, known, groups), least), "phrases")
 
 
 def _spellings(docs: DataFrame, keys: DataFrame) -> DataFrame:
