@@ -45,6 +45,7 @@ def _secret_spans(place: int, kind: str, pattern: str, holds: str) -> str:
   WHERE {holds}"""
 
 
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _TURN_HEAD = "CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 10 + length(role) + 7 END"
 
 ORACLES: dict[str, str] = {
@@ -96,4 +97,15 @@ covers AS (SELECT lang, array_to_string(unnest([ws[1:k - 1], ws[2:]]), ' ') AS p
 kept AS (SELECT * FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM covers v WHERE v.lang = c.lang AND v.phrase = c.phrase AND v.f >= c.a)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
+    "op13_ranked_search": f"""
+WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ws FROM documents),
+full_docs AS (SELECT r, doc_id, len(ws) AS n FROM numbered WHERE len(ws) > 0),
+stats AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM full_docs),
+tfs AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM numbered) GROUP BY r, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tfs, stats GROUP BY t, docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark WHERE item_id IS NOT NULL),
+scored AS (SELECT item_id, r, d.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (t) JOIN weights USING (t) JOIN full_docs d USING (r), stats GROUP BY item_id, r, d.doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }

@@ -14,6 +14,7 @@ from ebbtide.llm.language import identify_languages
 from ebbtide.llm.near_dedup import near_duplicates
 from ebbtide.llm.packing import pack_documents
 from ebbtide.llm.passages import repeated_passages
+from ebbtide.llm.ranked_search import ranked_search
 from ebbtide.llm.secret_scan import find_secrets, secret_digests
 from ebbtide.llm.suffix_tree import score_texts
 from ebbtide.llm.token_trees import apply_edits, token_trees
@@ -103,3 +104,8 @@ def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
