@@ -27,7 +27,7 @@ from ebbtide.llm.words import NO_LETTER, chunks, split_words
 
 TOP = 50
 #: Documents, and postings, of a block: whichever is reached first ends it.
-BLOCK_DOCS, BLOCK_POSTINGS = 4096, 1 << 19
+BLOCK_DOCS, BLOCK_POSTINGS = 1024, 1 << 17
 #: (item, term) rows of the queries that one pass answers; more queries take more passes.
 QUERY_TERMS = 1 << 18
 

@@ -77,7 +77,7 @@ def test_pair_bounds_hold_and_tighten(gains):
 
 
 def test_blocks_and_documents_are_skipped(spark):
-    rows = [(k, "common " * 3 + f"x{k} " * 5) for k in range(1000)] + [(k, "common rare odd") for k in range(1000, 1060)]
+    rows = [(k, ("common " if k < 500 else "other ") * 3 + f"x{k} " * 5) for k in range(1000)] + [(k, "common rare odd") for k in range(1000, 1060)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     asked = search.item_terms(spark.createDataFrame([(1, "common rare odd")], "item_id long, text string"))
     blocks = search.posting_blocks(docs, asked.select("term"), 50)
