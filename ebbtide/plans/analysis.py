@@ -24,7 +24,7 @@ from ebbtide.operators.series import daily_series, series_features
 from ebbtide.operators.split import split_series, stratified_split
 from ebbtide.session import durable
 from ebbtide.settings import Settings
-from ebbtide.sources.sinks import State
+from ebbtide.sources.model_store import State
 from ebbtide.sources.star import Star
 
 
@@ -112,14 +112,16 @@ def run(
     fanout: str = "compat",
     mode: str = "per_target",
     cross_validate: bool = True,
+    ledger: str | None = None,
 ) -> Results:
-    """The whole analysis. ``daily`` holds one row per user and day with the daily metrics."""
+    """The whole analysis. ``daily`` holds one row per user and day with the daily metrics;
+    finished forests are looked up and kept under ``ledger``."""
     prepared = prepare(star, settings, fanout)
     classified = classify(prepared, settings, cross_validate)
 
     series = durable(daily_series(daily, prepared.users, settings.as_of, settings.history_days))
     train, held_out = split_series(series, prepared.users.select("user_key"))
-    forecaster = fit_forecaster(train, settings, mode)
+    forecaster = fit_forecaster(train, settings, mode, ledger=ledger)
     forecast = durable(forecast_users(forecaster, series, prepared.users, settings))
     unseen = forecaster.predict(series_features(held_out, settings))
     error = regression_error(forecast_cells(unseen, held_out, settings))
@@ -131,10 +133,29 @@ def run(
         prepared, classified, diagnose(classified.scores), forecaster, split_sizes(train, held_out), error, forecast, risk,
         recommended, top_recommendations(recommended), risk_summary(risk), charts,
         final_summary(risk, forecast, classified.scores, error),
-        State(prepared.users, series, forecaster, classified.model, classified.scaler, prepared.selected, prepared.approach, settings.as_of),
+        State(prepared.users, series, prepared.correlated, classified.importance, classified.scores, forecaster, classified.model,
+              classified.scaler, prepared.selected, prepared.approach, settings.as_of),
     )
 
 
+@dataclass(frozen=True)
+class Scored:
+    """What a stored state gives without a fit. The forecast and the risk table are written out."""
+
+    forecast: DataFrame
+    risk: DataFrame
+    recommended: DataFrame
+    charts: dict[str, DataFrame]
+
+
+def score_state(state: State, settings: Settings) -> Scored:
+    """Forecast, risk, actions and chart data of the users in ``state``, by its models."""
+    forecast = durable(forecast_users(state.forecaster, state.series, state.users, settings))
+    risk = durable(user_risk(forecast))
+    charts = chart_sets(forecast, risk, state.users, state.correlated, state.importance, state.scores)
+    return Scored(forecast, risk, actions(risk), charts)
+
+
 def forecast_users(forecaster: Forecaster, series: DataFrame, users: DataFrame, settings: Settings) -> DataFrame:
     """The forecast table of a fitted or loaded model."""
     return forecast_table(forecaster.predict(series_features(series, settings)), users, settings.as_of)

@@ -560,6 +560,19 @@ ORACLES = {
     "forest_forecast": FOREST_ROWS,
     "forest_forecast_per_metric": FOREST_ROWS,
     "loaded_model_forecast": FOREST_ROWS,
+    "stored_model_risk": sql(
+        "SELECT user_key, user_id, true AS mean_agrees, true AS max_agrees, true AS listed_if_high, true AS has_actions FROM rollup", "rollup"),
+    "stored_model_report": sql(
+        "SELECT 5::BIGINT AS users_in_report, count(*) AS total_users, 15 * count(*) AS total_predictions, true AS bands_fit FROM rollup", "rollup"),
+    "stored_model_charts": sql(
+        f"""SELECT 'future_predictions' AS chart, 15 * least(5, count(*)) AS points FROM rollup
+        UNION ALL SELECT 'churn_distribution', count(DISTINCT churned_realistic) FROM realistic
+        UNION ALL SELECT 'correlations', least(15, count(*)) FROM ({correlation(SAFE_FEATURES, 'safe')})
+        UNION ALL SELECT 'feature_importance', least(10, count(*)) FROM ({correlation(SAFE_FEATURES, 'safe')}) WHERE NOT coalesce(abs(correlation) > 0.7, false)
+        UNION ALL SELECT 'risk_distribution', 3 UNION ALL SELECT 'curve_areas', 1""", "rollup", "realistic", "safe"),
+    "stored_model_importances": sql(
+        f"""SELECT least(10, count(*)) AS shown, true AS falling, true AS in_range, true AS known
+        FROM ({correlation(SAFE_FEATURES, 'safe')}) WHERE NOT coalesce(abs(correlation) > 0.7, false)""", "safe"),
     "full_analysis_summary": sql(
         """SELECT count(*) AS total_users_analyzed, count(*) AS users_by_status, true AS bands_fit, 15 AS prediction_days,
         15 * count(*) AS total_predictions, true AS auc_in_range, true AS error_not_negative,

@@ -6,13 +6,14 @@ are rounded to eight decimals, because the order of a distributed sum is not fix
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +29,12 @@ from ebbtide.session import durable, shared_folder
 from ebbtide.settings import ForestSize, Settings
 from ebbtide.sources import driver_tables as tables
 from ebbtide.sources import sinks
+from ebbtide.sources.model_store import ModelStore
 from ebbtide.sources.star import Star, run_sql
 
 SETTINGS = Settings(as_of=tables.AS_OF)
-# Small forests: 135 of the default size take minutes even on a thousand users.
-QUICK = replace(SETTINGS, classifier=ForestSize(20, 4, 10, "0.5"), forecaster=ForestSize(4, 3, 2, "all"), folds=3)
+# Small forests for the forecaster alone: 135 of the default size take 225 s on a thousand users.
+QUICK = replace(SETTINGS, forecaster=ForestSize(4, 3, 2, "all"))
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -164,6 +166,16 @@ class Inputs:
         first, last = SETTINGS.as_of - timedelta(days=SETTINGS.history_days), SETTINGS.as_of - timedelta(days=1)
         return tables.daily_metrics(tables.daily_activity(self.spark, self.folder, first, last))
 
+    @cached_property
+    def scored(self) -> analysis.Scored:
+        """By the newest model of these tables and settings; the first query that asks fits and publishes one."""
+        mark = hashlib.sha256(repr(QUICK).encode()).hexdigest()[:16]
+        store = ModelStore(self.spark, f"{shared_folder(self.spark)}/models-{tables.tables_mark(self.spark, self.folder)}-{mark}")
+        if not store.versions():
+            ready = self.kept
+            store.save(analysis.run(ready.star, QUICK, ready.daily, cross_validate=False).state)
+        return analysis.score_state(store.load(), QUICK)
+
     @cached_property
     def prepared(self) -> analysis.Prepared:
         return analysis.prepare(self.star, SETTINGS)
@@ -578,7 +590,7 @@ def label_count_map(given):
 
 @query
 def classifier_scores(given):
-    scores = analysis.classify(given.prepared, QUICK, cross_validate=False).scores
+    scores = analysis.classify(given.prepared, SETTINGS, cross_validate=False).scores
     return scores.select(
         "user_key", "churned", F.col("score").between(0, 1).alias("in_range"),
         (F.col("predicted") == (F.col("score") >= 0.5).cast("int")).alias("consistent"),
@@ -587,7 +599,7 @@ def classifier_scores(given):
 
 @query
 def classifier_importances(given):
-    found = analysis.classify(given.prepared, QUICK, cross_validate=False).importance
+    found = analysis.classify(given.prepared, SETTINGS, cross_validate=False).importance
     return found.agg(
         F.count("*").alias("features"), F.countDistinct("feature").alias("names"),
         F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("none_negative"),
@@ -597,7 +609,7 @@ def classifier_importances(given):
 @query
 def classifier_cross_validation(given):
     ready = given.prepared
-    mean, std = classifier.cv_auc(ready.users, ready.selected, QUICK)
+    mean, std = classifier.cv_auc(ready.users, ready.selected, SETTINGS)
     return ready.users.agg(
         F.count("*").alias("users"), F.lit(0.0 <= mean <= 1.0).alias("mean_in_range"), F.lit(std >= 0.0).alias("spread_not_negative")
     )
@@ -636,13 +648,63 @@ def forest_forecast_per_metric(given):
 
 @query
 def loaded_model_forecast(given):
-    """A forecast by a model that was saved and loaded, without a fit."""
-    ready = given.kept
-    done = analysis.run(ready.star, QUICK, ready.daily, mode="per_metric", cross_validate=False)
-    path = f"{shared_folder(given.spark)}/state-{uuid.uuid4().hex}"
-    sinks.save_state(done.state, path)
-    state = sinks.load_state(given.spark, path)
-    return _forest_rows(analysis.forecast_users(state.forecaster, state.series, state.users, QUICK))
+    """A forecast by the stored model of these tables."""
+    return _forest_rows(given.scored.forecast)
+
+
+@query
+def stored_model_risk(given):
+    """The risk table, the list of high-risk users and the actions that follow from the stored model,
+    each recomputed from the forecast it published."""
+    done = given.scored
+    again = done.forecast.groupBy("user_key").agg(
+        F.round(F.avg("predicted_churn_risk"), 6).alias("mean"), F.round(F.max("predicted_churn_risk"), 6).alias("most"),
+    )
+    high = risk.high_risk(done.risk).select("user_key", F.lit(True).alias("listed"))
+    both = done.recommended.join(again, "user_key", "left").join(high, "user_key", "left")
+    return both.select(
+        "user_key", "user_id", (F.abs(F.col("avg_churn_risk") - F.col("mean")) < 1e-5).alias("mean_agrees"),
+        (F.abs(F.col("max_churn_risk") - F.col("most")) < 1e-5).alias("max_agrees"),
+        (F.coalesce("listed", F.lit(False)) == (F.col("avg_churn_risk") > 0.6)).alias("listed_if_high"),
+        (F.size("recommendations") > 0).alias("has_actions"),
+    )
+
+
+@query
+def stored_model_report(given):
+    """The detailed report of the stored model, read back from its JSON document."""
+    done = given.scored
+    report = reports.detailed_report(done.forecast, done.recommended, SETTINGS.as_of)
+    paths = {
+        "users_in_report": "$.metadata.total_users_in_report", "total_users": "$.risk_summary.total_users",
+        "low": "$.risk_summary.risk_distribution[0].users", "medium": "$.risk_summary.risk_distribution[1].users",
+        "high": "$.risk_summary.risk_distribution[2].users", "total_predictions": "$.model_statistics.total_predictions",
+    }
+    read = sinks.json_rows(report).select(*[F.get_json_object("json", path).cast("bigint").alias(name) for name, path in paths.items()])
+    return read.select("users_in_report", "total_users", "total_predictions", (F.col("low") + F.col("medium") + F.col("high") <= F.col("total_users")).alias("bands_fit"))
+
+
+@query
+def stored_model_charts(given):
+    """Rows of every chart set of the stored model."""
+    sizes = [frame.agg(F.lit(name).alias("chart"), F.count("*").alias("points")) for name, frame in given.scored.charts.items()
+             if not name.endswith("_curve")]
+    sized = sizes[0]
+    for frame in sizes[1:]:
+        sized = sized.union(frame)
+    return sized
+
+
+@query
+def stored_model_importances(given):
+    """The ranked importances that the chart shows: ten at most, falling, of screened features."""
+    shown = given.scored.charts["feature_importance"]
+    falling = F.lag("importance").over(W.orderBy(F.col("importance").desc(), "feature"))
+    ranked = shown.withColumn("before", falling)  # ten rows
+    return ranked.agg(
+        F.count("*").alias("shown"), F.bool_and(F.coalesce(F.col("before") >= F.col("importance"), F.lit(True))).alias("falling"),
+        F.bool_and(F.col("importance").between(0, 1)).alias("in_range"), F.bool_and(F.col("feature").isin(feats.SAFE_FEATURES)).alias("known"),
+    )
 
 
 @query

@@ -7,6 +7,7 @@ tables' own, and what users did last comes from timestamps.
 
 from __future__ import annotations
 
+import hashlib
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,15 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
+def tables_mark(spark: SparkSession, folder: str) -> str:
+    """Changes with any file of the tables: its name, size or time."""
+    marks = []
+    for table in SCHEMAS:
+        files = read(spark, folder, table).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        marks += files.agg(F.count("*"), F.bit_xor(F.xxhash64(*files.columns))).first()
+    return hashlib.sha256(str(marks).encode()).hexdigest()[:16]
+
+
 def daily_activity(
     spark: SparkSession, folder: str, since: date | None = None, until: date | None = None
 ) -> DataFrame:

@@ -1,19 +1,11 @@
-"""Outputs: CSV, JSON rows and saved state."""
+"""Outputs: CSV and JSON rows."""
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
-from datetime import date
-
-from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.operators.forecaster import Forecaster
-from ebbtide.operators.scaling import Scaler
-
 # Columns of the recommendation export, in order.
 EXPORT_COLUMNS = [
     "user_id", "current_churned_status", "avg_churn_risk", "max_churn_risk",
@@ -70,41 +62,3 @@ def stats_map(counts: DataFrame, key: str, value: str) -> DataFrame:
     """Fold a small count table (a row per class or column) into one string-to-int map."""
     pair = F.struct(F.col(key).cast("string"), F.col(value).cast("int"))
     return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("stats"))
-
-
-@dataclass(frozen=True)
-class State:
-    """What later calls reuse instead of fitting again."""
-
-    users: DataFrame
-    series: DataFrame
-    forecaster: Forecaster
-    classifier: PipelineModel
-    scaler: Scaler
-    selected: list[str]
-    approach: str
-    as_of: date
-
-
-def save_state(state: State, path: str) -> None:
-    """Tables, models, and one JSON row with everything else a reader needs."""
-    spark = state.users.sparkSession
-    state.users.write.mode("overwrite").parquet(f"{path}/users")
-    state.series.write.mode("overwrite").parquet(f"{path}/series")
-    state.forecaster.model.write().overwrite().save(f"{path}/forecaster")
-    state.classifier.write().overwrite().save(f"{path}/classifier")
-    about = {
-        "mode": state.forecaster.mode, "horizon_days": state.forecaster.horizon_days, "selected": state.selected,
-        "approach": state.approach, "as_of": state.as_of.isoformat(), "offset": state.scaler.offset, "width": state.scaler.width,
-    }
-    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
-
-
-def load_state(spark: SparkSession, path: str) -> State:
-    about = json.loads(spark.read.text(f"{path}/about").first().value)
-    forecaster = Forecaster(about["mode"], PipelineModel.load(f"{path}/forecaster"), about["horizon_days"])
-    return State(
-        spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/series"), forecaster,
-        PipelineModel.load(f"{path}/classifier"), Scaler(about["offset"], about["width"]), about["selected"],
-        about["approach"], date.fromisoformat(about["as_of"]),
-    )

@@ -14,7 +14,7 @@ from ebbtide.operators.series import METRICS, daily_series, series_features
 from ebbtide.plans.analysis import run
 from ebbtide.plans.queries import SETTINGS, Inputs
 from ebbtide.settings import ForestSize, Settings
-from ebbtide.sources.sinks import csv_frame, json_rows, load_state, save_state, write_csv, write_json
+from ebbtide.sources.sinks import csv_frame, json_rows, write_csv, write_json
 from ebbtide.sources.star import TABLES, load_star, make_star, run_sql
 
 FOLDER = "/root/testdata/sf0.001"
@@ -89,19 +89,6 @@ def test_per_target_mode(given):
     assert out.count() == 2 * users.count() and out.columns == ["user_key", "horizon_day", *METRICS]
 
 
-def test_saved_state(spark, results, tmp_path):
-    save_state(results.state, str(tmp_path))
-    loaded = load_state(spark, str(tmp_path))
-    features = series_features(loaded.series, SMALL).cache()
-    before, after = results.forecaster.predict(features), loaded.forecaster.predict(features)
-    assert before.exceptAll(after).count() == 0 and after.count() > 0
-    assert loaded.forecaster.horizon_days == 15 and loaded.forecaster.mode == "per_metric"
-    assert (loaded.selected, loaded.approach, loaded.as_of) == (results.prepared.selected, "realistic", SETTINGS.as_of)
-    again = score(loaded.classifier, loaded.scaler.transform(loaded.users), ["user_key"])
-    first = score(results.classified.model, results.classified.scaler.transform(results.prepared.users), ["user_key"])
-    assert first.exceptAll(again).count() == 0
-
-
 def test_sinks(spark, given, tmp_path):
     write_csv(given.recommended, str(tmp_path / "csv"))
     read = spark.read.csv(str(tmp_path / "csv"), header=True)
