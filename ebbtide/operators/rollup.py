@@ -69,12 +69,17 @@ def user_rollup(star: Star, fanout: str = "compat") -> DataFrame:
     ``fanout="corrected"`` leaves the multiplication out. Averages and maxima are the
     same either way.
     """
+    return finish_rollup(star.users, activity_per_user(star.activity), engagement_per_user(star.engagement), fanout)
+
+
+def finish_rollup(users: DataFrame, activity: DataFrame, engagement: DataFrame, fanout: str) -> DataFrame:
+    """The roll-up from the dimension and one row per user of each fact."""
     if fanout not in ("compat", "corrected"):
         raise ValueError("fanout must be 'compat' or 'corrected'")
     joined = (
-        star.users.where(F.col("account_status").isin(KEPT_STATUS))
-        .join(activity_per_user(star.activity), "user_key", "left")
-        .join(engagement_per_user(star.engagement), "user_key", "left")
+        users.where(F.col("account_status").isin(KEPT_STATUS))
+        .join(activity, "user_key", "left")
+        .join(engagement, "user_key", "left")
     )
     copies = "greatest(coalesce(engagement_rows, 0), 1)" if fanout == "compat" else "1"
     values = {name: f"{name} * {copies}" if name in TOTALS else name for name in DEFAULTS}

@@ -597,3 +597,5 @@ ORACLES["user_rollup_corrected"] = sql(
         avg(challenge_completion_rate) AS challenge_completion_rate, max(stagnation_days) AS stagnation_days
         FROM fact_engagement GROUP BY user_key)''')})""",
     "dim_users", "fact_activity", "fact_engagement")
+ORACLES["user_rollup_incremental"] = ORACLES["user_rollup_bucketed"] = ORACLES["user_rollup_corrected"]
+ORACLES["daily_series_bucketed"] = ORACLES["daily_series"]

@@ -7,6 +7,7 @@ are rounded to eight decimals, because the order of a distributed sum is not fix
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
@@ -29,12 +30,16 @@ from ebbtide.session import durable, shared_folder
 from ebbtide.settings import ForestSize, Settings
 from ebbtide.sources import driver_tables as tables
 from ebbtide.sources import sinks
+from ebbtide.sources.bucketed import bucketed_star, store_star, write_bucketed
+from ebbtide.sources.increments import RollupStore
 from ebbtide.sources.model_store import ModelStore
 from ebbtide.sources.star import Star, run_sql
 
 SETTINGS = Settings(as_of=tables.AS_OF)
 # Small forests for the forecaster alone: 135 of the default size take 225 s on a thousand users.
 QUICK = replace(SETTINGS, forecaster=ForestSize(4, 3, 2, "all"))
+#: Buckets of the queries that store tables by user.
+BUCKETS = 16
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -213,6 +218,39 @@ def user_rollup_corrected(given):
     return publish(user_rollup(given.star, "corrected").drop("email"))
 
 
+@query
+def user_rollup_incremental(given):
+    """The roll-up from partial states of four loads, the older ones merged."""
+    store = RollupStore(given.spark, f"{shared_folder(given.spark)}/states-{uuid.uuid4().hex}")
+    days = [SETTINGS.as_of - timedelta(days=d) for d in (60, 30, 1)]
+    seen, star = F.col("last_activity_date"), given.star
+    for since, until in zip([None, *days], [*days, None]):
+        load = star.activity if since is None else star.activity.where(seen > F.lit(since))
+        store.append(until or SETTINGS.as_of, activity=load if until is None else load.where(seen <= F.lit(until)))
+    store.append(days[0], engagement=star.engagement.where(F.pmod("user_key", F.lit(2)) == 0))
+    store.append(SETTINGS.as_of, engagement=star.engagement.where(F.pmod("user_key", F.lit(2)) == 1))
+    store.merge(days[1])
+    return publish(store.rollup(star.users, "corrected").drop("email"))
+
+
+@query
+def user_rollup_bucketed(given):
+    """The roll-up over tables in buckets of the user key: no shuffle under its joins."""
+    names = store_star(given.star, f"{shared_folder(given.spark)}/buckets-{uuid.uuid4().hex}", BUCKETS)
+    return publish(user_rollup(bucketed_star(given.spark, names), "corrected").drop("email"))
+
+
+@query
+def daily_series_bucketed(given):
+    """The series over daily metrics and users in buckets of the user key."""
+    path = f"{shared_folder(given.spark)}/buckets-{uuid.uuid4().hex}"
+    stored = [
+        write_bucketed(df, f"{name}_{uuid.uuid4().hex[:12]}", f"{path}/{name}", BUCKETS)
+        for name, df in [("daily", given.window), ("users", given.star.users.where(F.col("account_status").isin(KEPT_STATUS)))]
+    ]
+    return publish(ser.daily_series(*stored, SETTINGS.as_of, SETTINGS.history_days))
+
+
 @query
 def user_features_base(given):
     return publish(given.base.drop("email").orderBy("user_key"))
