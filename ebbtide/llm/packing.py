@@ -2,9 +2,10 @@
 
 Tokenised pieces are dealt by hash into groups of bounded size, and each group is packed by
 best-fit decreasing. Dual-feasible functions turn a group's lengths into a lower bound on its
-bins: a group that meets it is finished. Groups with a gap, and all bins that are less than
-half full, give up the documents of their open bins; these are dealt anew, with other groups'
-documents, and packed again. Rounds end when the total meets the bound of all lengths or when
+bins: a group that meets it is as good as it can be alone. While the total exceeds the bound of
+all lengths, groups with a gap give up their open bins, and all groups those with the most free
+space, until it makes up twice the excess. Their documents are dealt anew, to groups twice as
+large, and packed again. Rounds end when the total meets the bound of all lengths or when
 ``patience`` deals in a row save no bin.
 """
 
@@ -23,8 +24,8 @@ from ebbtide.llm.tokens import WordTokenizer, tokenizer_path
 from ebbtide.llm.words import chunks
 
 CAPACITY = 2048
-#: Pieces that one task packs at a time, on average.
-GROUP_PIECES = 40_000
+#: Pieces that one task packs at a time, on average; at each new deal twice as many, up to GROWTH times.
+GROUP_PIECES, GROWTH = 40_000, 16
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -129,6 +130,16 @@ def _pack_groups(pieces: DataFrame, groups: int, turn: int, capacity: int) -> Da
     return pieces.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(pack, _PACKED)
 
 
+def _least_open(packed: DataFrame, excess: int, capacity: int) -> int:
+    """Bins with this free space or more hold twice ``excess`` bins of it together, or all there is."""
+    wanted = 2 * excess * capacity
+    for size, bins in sorted(packed.where("offset = 0 AND open > 0").groupBy("open").count().collect(), reverse=True):
+        wanted -= size * bins
+        if wanted <= 0:
+            return size
+    return 1
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, patience: int = 3) -> DataFrame:
     """``pieces`` (saved, with a unique ``rid``) with sequence_id, offset and bound.
 
@@ -140,12 +151,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
         counts[length] = n
     bound, rest = dual_bound(counts, capacity), pieces
     total = int(counts.sum())
-    released = f"(gap > 0 AND open > 0) OR 2 * open > {capacity}"
     done: list[DataFrame] = []
     settled, turn, failed = 0, 0, 0
     loose, loose_bins = None, None
     while True:
-        groups = max(1, -(-total // group_pieces))
+        groups = max(1, -(-total // (group_pieces * min(1 << turn, GROWTH))))
         packed = saved(_pack_groups(rest, groups, turn, capacity), "packed")
         used = packed.where("offset = 0").count()
         turn += 1
@@ -159,6 +169,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
             continue
         if loose is not None:
             forget(loose)
+        released = f"(gap > 0 AND open > 0) OR open >= {_least_open(packed, settled + used - bound, capacity)}"
         open_bins = packed.where("offset = 0").where(released).count()
         if settled + used <= bound or open_bins < 2:
             done.append(packed)

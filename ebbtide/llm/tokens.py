@@ -78,26 +78,27 @@ class WordTokenizer:
         self._used = 0
 
     def _learn(self, hashes: list[int], words: list[bytes]) -> None:
-        odd = {k for k, w in enumerate(words) if b"\x00" in w}
-        plain = [k for k in range(len(words)) if k not in odd]
-        ids = np.array(self._encode(f" {_MARK} ".join(words[k].decode("utf-8", "replace") for k in plain)), np.int32)
+        odd = [k for k, w in enumerate(words) if b"\x00" in w]
+        apart = set(odd)
+        plain = [k for k in range(len(words)) if k not in apart] if odd else range(len(words))
+        text = f" {_MARK} ".encode().join([words[k] for k in plain] if odd else words).decode("utf-8", "replace")
+        ids = np.array(self._encode(text), np.int32)
         cuts = np.flatnonzero(ids == self._mark)
-        parts = np.split(ids, cuts) if plain else []
-        of = {k: p if n == 0 else p[1:] for n, (k, p) in enumerate(zip(plain, parts))}
-        of |= {k: np.array(self._encode(words[k].decode("utf-8", "replace")), np.int32) for k in odd}
+        parts = [np.array(self._encode(words[k].decode("utf-8", "replace")), np.int32) for k in odd]
+        sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1 if len(plain) else np.zeros(0, np.int64)
+        sizes = np.concatenate([sizes, np.array([len(p) for p in parts], np.int64)])
         first = len(self._place)
-        sizes = np.array([len(of[k]) for k in range(len(words))], np.int64)
         need, rows = self._used + int(sizes.sum()), first + len(words)
         while need > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
         while rows > len(self._start):
             self._start = np.concatenate([self._start, np.zeros_like(self._start)])
             self._count = np.concatenate([self._count, np.zeros_like(self._count)])
-        self._flat[self._used : need] = np.concatenate([of[k] for k in range(len(words))])
+        self._flat[self._used : need] = np.concatenate([np.delete(ids, cuts), *parts])
         self._start[first:rows] = self._used + np.concatenate([[0], np.cumsum(sizes[:-1])])
         self._count[first:rows] = sizes
         self._used = need
-        self._place.update(zip(hashes, range(first, rows)))
+        self._place.update(zip([hashes[k] for k in [*plain, *odd]] if odd else hashes, range(first, rows)))
 
     def encode(self, data: np.ndarray, rows: np.ndarray) -> Encoded:
         """Ids of the rows of one chunk of UTF-8 bytes."""
