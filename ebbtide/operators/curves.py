@@ -107,3 +107,32 @@ def curve_areas(totals: DataFrame) -> DataFrame:
             F.sum(pos * (tp / (tp + fp) + precision_before)) / F.nullif(2 * positives, F.lit(0))
         ).alias("pr_auc"),
     )
+
+
+def score_histogram(scores: DataFrame, bins: int = 1000, label: str = "churned") -> DataFrame:
+    """(bin, positives, negatives) of scores from 0 to 1: a state of at most ``bins`` rows.
+
+    Histograms of parts of the rows add up to that of all: sum both counts by bin."""
+    place = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    positive = F.col(label) == 1
+    return scores.groupBy(place).agg(F.count_if(positive).alias("positives"), F.count_if(~positive).alias("negatives"))
+
+
+def histogram_area(histogram: DataFrame) -> DataFrame:
+    """The area under the ROC curve from a histogram, with a bound on its error.
+
+    Pairs of a positive and a negative in different bins count exactly. Those within a bin count
+    half, so the exact area lies within half their share of all pairs: ``error``. One row; null
+    if a class is empty.
+    """
+    # At most as many rows as bins, so one task is enough.
+    below = F.coalesce(F.sum("negatives").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pairs = F.col("positives") * F.col("negatives")
+    parts = histogram.withColumn("below", below).agg(
+        F.sum(F.col("positives") * F.col("below")).alias("apart"), F.sum(pairs).alias("together"),
+        (F.sum("positives") * F.sum("negatives")).alias("all"),
+    )
+    return parts.select(
+        F.try_divide(F.col("apart") + F.col("together") / 2.0, "all").alias("area"), F.try_divide(F.col("together") / 2.0, "all").alias("error")
+    )
+

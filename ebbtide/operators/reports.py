@@ -79,9 +79,12 @@ def detailed_report(forecast: DataFrame, recommended: DataFrame, as_of: date, n:
     ))
 
 
-def chart_lines(forecast: DataFrame, n: int = 5) -> DataFrame:
-    """Daily risk, engagement, sessions and quizzes of the first ``n`` users by key."""
-    chosen = forecast.select("user_key").distinct().orderBy("user_key").limit(n)
+def chart_lines(forecast: DataFrame, n: int = 5, users: DataFrame | None = None) -> DataFrame:
+    """Daily risk, engagement, sessions and quizzes of the first ``n`` users by key.
+
+    ``users``, one row for each user of the forecast, saves a second pass over a lazy forecast."""
+    keys = forecast.select("user_key").distinct() if users is None else users.select("user_key")
+    chosen = keys.orderBy("user_key").limit(n)
     return forecast.join(F.broadcast(chosen), "user_key", "left_semi").select(
         "user_key", "user_id", "prediction_day", "predicted_churn_risk",
         "predicted_engagement_score", "predicted_sessions_count", "predicted_quiz_attempts",
@@ -99,7 +102,7 @@ def chart_sets(
     """Data of every chart whose input is given."""
     sets: dict[str, DataFrame] = {}
     if forecast is not None:
-        sets["future_predictions"] = chart_lines(forecast)
+        sets["future_predictions"] = chart_lines(forecast, users=users)
     if users is not None:
         sets["churn_distribution"] = label_stats(users)
     if correlated is not None:

@@ -599,3 +599,12 @@ ORACLES["user_rollup_corrected"] = sql(
     "dim_users", "fact_activity", "fact_engagement")
 ORACLES["user_rollup_incremental"] = ORACLES["user_rollup_bucketed"] = ORACLES["user_rollup_corrected"]
 ORACLES["daily_series_bucketed"] = ORACLES["daily_series"]
+ORACLES["curve_area_bounds"] = sql(
+    f"""SELECT {r('(apart + together / 2.0::DOUBLE) / every', 'area')}, {r('together / 2.0::DOUBLE / every', 'error')}, true AS within FROM (
+    SELECT sum(positives * below) AS apart, sum(positives * negatives) AS together, sum(positives) * sum(negatives) AS every FROM (
+        SELECT *, coalesce(sum(negatives) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+            SELECT least(floor(score * 1000), 999) AS bin, count(*) FILTER (churned = 1) AS positives, count(*) FILTER (churned <> 1) AS negatives
+            FROM scores GROUP BY 1)))""", "scores")
+ORACLES["distinct_active_users"] = sql(
+    """SELECT CAST(date_trunc('month', last_activity_date) AS DATE) AS month, count(DISTINCT user_key) AS users FROM fact_activity GROUP BY 1
+    UNION ALL SELECT NULL, count(DISTINCT user_key) FROM fact_activity""", "fact_activity")

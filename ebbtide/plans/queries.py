@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.operators import actions as act
-from ebbtide.operators import classifier, curves, diagnosis, labels, profile, reports, risk, scaling, split
+from ebbtide.operators import classifier, curves, diagnosis, distinct, labels, profile, reports, risk, scaling, split
 from ebbtide.operators import features as feats
 from ebbtide.operators import noise as noisy
 from ebbtide.operators import series as ser
@@ -550,6 +550,26 @@ def curve_areas(given):
     return publish(curves.curve_areas(given.totals))
 
 
+@query
+def curve_area_bounds(given):
+    """The area from a mergeable histogram, its error bound, and whether the exact area is within."""
+    parts = [given.scores.where(F.pmod("user_key", F.lit(3)) == k) for k in range(3)]
+    states = [curves.score_histogram(part) for part in parts]
+    merged = states[0].union(states[1]).union(states[2]).groupBy("bin").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+    exact = curves.curve_areas(given.totals).select("roc_auc").scalar()
+    found = curves.histogram_area(merged).withColumn("exact", exact)
+    return publish(found.select("area", "error", (F.abs(F.col("exact") - F.col("area")) <= F.col("error") + 1e-12).alias("within")))
+
+
+@query
+def distinct_active_users(given):
+    """Active users per month, merged from the bitmaps of days, and over all time."""
+    days = distinct.distinct_state(given.activity, [F.trunc("last_activity_date", "month").alias("month"), "last_activity_date"])
+    months = durable(distinct.merge_distinct(days, ["month"]))
+    whole = distinct.merge_distinct(months, [F.lit(None).cast("date").alias("month")])
+    return distinct.count_distinct(months, ["month"]).union(distinct.count_distinct(whole, ["month"]))
+
+
 @query
 def score_stats(given):
     return publish(diagnosis.score_stats(given.scores))
@@ -581,7 +601,7 @@ def first_forecasts(given):
 
 @query
 def chart_forecast_lines(given):
-    return publish(reports.chart_lines(given.kept.forecast))
+    return publish(reports.chart_lines(given.kept.forecast, users=given.kept.rollup))
 
 
 @query

@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,14 +56,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Everything ``durable`` writes inside goes to a folder of this run, which is deleted at the end.
+
+    Use up what the run returns before leaving: its frames read these files. Models in a store
+    and finished fits are no part of it. A run within a run has a folder of its own.
+    """
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read on from there.
 
     The files outlive the executors that wrote them, later readers take only the columns and
-    row groups they need, and forests see one fixed row order. This runs a job at once.
+    row groups they need, and forests see one fixed row order. This runs a job at once. The
+    files go with their ``run_scope``; without one the caller's folder keeps them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
+    path = f"{_run.get() or shared_folder(spark)}/durable-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
