@@ -62,15 +62,16 @@ def forecast_table(predicted: DataFrame, users: DataFrame, as_of: date, label: s
     })
 
 
-def user_risk(forecast: DataFrame) -> DataFrame:
-    """One row per user with a forecast."""
+def user_risk(forecast: DataFrame, high_day: int = 7) -> DataFrame:
+    """One row per user with a forecast. Days of more than ``high_day`` tenths count as high risk;
+    the tiers-only rules take 6."""
     score, on = "predicted_engagement_score", "prediction_day"
     per_user = forecast.groupBy("user_key", "user_id").agg(*[F.expr(e) for e in (
         f"min_by(current_churned_status, {on}) AS current_churned_status",
         "count(*) AS days",
         "sum(risk_tenths) AS risk_sum",
         "max(risk_tenths) AS risk_max",
-        "count_if(risk_tenths > 7) AS days_high_risk",
+        f"count_if(risk_tenths > {high_day}) AS days_high_risk",
         f"avg({score}) AS avg_engagement",
         f"max_by({score}, {on}) - min_by({score}, {on}) AS engagement_trend",
         "count_if(predicted_sessions_count = 0) AS low_activity_days",

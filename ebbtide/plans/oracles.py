@@ -608,3 +608,6 @@ ORACLES["curve_area_bounds"] = sql(
 ORACLES["distinct_active_users"] = sql(
     """SELECT CAST(date_trunc('month', last_activity_date) AS DATE) AS month, count(DISTINCT user_key) AS users FROM fact_activity GROUP BY 1
     UNION ALL SELECT NULL, count(DISTINCT user_key) FROM fact_activity""", "fact_activity")
+ORACLES["tier_risk_days"] = sql(
+    f"""SELECT user_key, d AS days_high_risk, {r('max_churn_risk')}, array_to_string({tier(BY_TIER, 'exact_mean')}, ',') AS recommendations
+    FROM risk JOIN (SELECT user_key, count(*) FILTER (risk_tenths > 6) AS d FROM forecast GROUP BY user_key) USING (user_key)""", "risk", "forecast")

@@ -508,6 +508,13 @@ def recommendations_tiers(given):
     return codes(act.actions(given.kept.risk, "tiers").select("user_key", "recommendations"))
 
 
+@query
+def tier_risk_days(given):
+    """High-risk days as the tiers-only rules count them."""
+    tiers = act.actions(risk.user_risk(given.kept.forecast, high_day=6), "tiers")
+    return publish(codes(tiers.select("user_key", "days_high_risk", "max_churn_risk", "recommendations")))
+
+
 @query
 def heuristic_risk(given):
     return publish(risk.heuristic_risk(given.kept.rollup).select("user_key", "user_id", "risk_score"))
