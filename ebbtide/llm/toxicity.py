@@ -197,6 +197,15 @@ def predict_toxicity(texts: DataFrame, model: Model) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, score double")
 
 
+#: Hash values that a sample is drawn from: the share of any table has a limit among them that is not 0.
+_DRAWS = 1 << 60
+
+
+def _draw_limit(sample_rows: int, rows: int) -> int:
+    """Rows whose draw is below this are about ``sample_rows`` of ``rows``, or all of fewer."""
+    return min(_DRAWS, _DRAWS * sample_rows // max(1, rows))
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS, terms: Sequence[str] = IDENTITY_TERMS,
     threshold: float = THRESHOLD,
@@ -214,8 +223,7 @@ def score_toxicity(
         labels.where(in_fold & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")),
         "marks",
     )
-    share = min(1.0, sample_rows / max(1, marks.count()))
-    drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(_DRAWS)) < _draw_limit(sample_rows, marks.count()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labelled = only_members(texts, "doc_id", drawn.select("doc_id")).dropDuplicates(["doc_id"]).join(drawn, "doc_id")
     return predict_toxicity(texts, fit_toxicity(labelled.select("text", "toxic"), terms)).select(

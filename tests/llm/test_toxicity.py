@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
+from ebbtide.llm import toxicity
 from ebbtide.llm.toxicity import fit_toxicity, predict_toxicity, score_toxicity, swapped
 
 
@@ -43,3 +45,9 @@ def test_odd_tables(spark):
     found = score_toxicity(docs, labels).collect()
     assert len(found) == 4 and all(0 <= r.score <= 1 for r in found)
     assert score_toxicity(docs.where("false"), labels).count() == 0
+
+
+@pytest.mark.parametrize("rows", [0, 10, 24_000, 24_001, 10**9, 10**10, 10**12, 10**14])
+def test_the_sample_has_its_size_at_any_number_of_labels(rows):
+    assert toxicity._draw_limit(24_000, rows) / toxicity._DRAWS * rows == pytest.approx(min(rows, 24_000), rel=1e-3)
+
