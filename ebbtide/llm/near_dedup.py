@@ -9,7 +9,7 @@ Copies with one and the same set are folded into their smallest id before bandin
 group of thousands of exact copies is one row. Within a band's bucket, members are compared
 with one hub; whatever the links found so far leave in different components is compared with
 a second, random hub, and what still differs then is joined exactly by what it has in common
-in its differences to the hub. Members of one component need no further comparison, so no group of near copies is
+in its differences to a hub, screened by sketches of the sets. Members of one component need no further comparison, so no group of near copies is
 expanded into all its pairs.
 """
 
@@ -35,6 +35,9 @@ _CLASS = 1.25
 
 _TILE = 512
 
+#: Bits of the sketch that pairs are screened by before their sets are read.
+SKETCH_BITS = 256
+
 
 def _pi(x: np.ndarray) -> np.ndarray:
     """The second permutation, on 32-bit numbers, in place."""
@@ -80,6 +83,17 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield hashes[:0]
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Which of ``SKETCH_BITS`` cells an odd number of shingles falls into, as 64-bit words.
+
+    The sketch of a symmetric difference is the exclusive or of the two sketches, so sets
+    that differ in x shingles have sketches that differ in x bits or fewer.
+    """
+    cells = (mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(cells, minlength=SKETCH_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64)
+
+
 def _list(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -106,13 +120,19 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of (id, text)."""
+    """(id, shingles, odd) of (id, text); ``odd`` is the sketch of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _list(list(_sets(batch.column(1), width)))], ["id", "shingles"])
+            # One chunk of text at a time: whole sets of a batch would be many times its signatures.
+            for row, end, _, _ in chunks(batch.column(1)):
+                part = batch.slice(row, end - row)
+                sets = list(_sets(part.column(1), width))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _list(sets), _list([odd_sketch(s) for s in sets])], ["id", "shingles", "odd"]
+                )
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(run, "id long, shingles array<long>, odd array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,10 +200,15 @@ def _differing_alike(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFra
     component. The pairs are found by a prefix filter: with the rarest shingles of a hub's
     differences first, the first d - o + 1 and e - o + 1 share one if o are common. As o depends
     on both sizes, a set gives one prefix for each class of sizes its partner may have.
+
+    The hub of a bucket is the first member of its smallest component, inside the bucket or not:
+    buckets over one group of copies then share a hub, and a pair meets once for it, not once for
+    each bucket. What shares a prefix is screened by the sketches of the whole sets within the
+    join, so that only pairs whose sets can be similar leave it.
     """
-    hubs = mixed.groupBy("key").agg(F.min(F.struct("id", "label")).alias("hub"))
-    frames = mixed.join(hubs, "key").where("id <> hub.id").select(
-        F.col("hub.id").alias("hub"), "id", "n", "label", (F.col("label") == F.col("hub.label")).alias("inside")
+    hubs = mixed.groupBy("key").agg(F.min("label").alias("hub"))
+    frames = mixed.join(hubs, "key").where("id <> hub").select(
+        "hub", "id", "n", "label", (F.col("label") == F.col("hub")).alias("inside")
     ).distinct()
     mine, hub = F.col("mine"), F.col("of_hub")
     differences = saved(
@@ -224,17 +249,22 @@ def _differing_alike(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFra
                 keys.append(np.concatenate(made))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 4, 6)), _list(keys)], ["hub", "id", "n", "label", "inside", "d", "keys"])
 
+    words = [f"w{k}" for k in range(SKETCH_BITS // 64)]
     keyed = saved(
         ordered.mapInArrow(run, "hub long, id long, n long, label long, inside boolean, d long, keys array<long>")
-        .select("id", "n", "label", "inside", "d", F.explode("keys").alias("key")), "prefixes",
+        .join(sets.select("id", *(F.col("odd")[k].alias(f"w{k}") for k in range(SKETCH_BITS // 64))), "id")
+        .select("id", "n", "label", "inside", "d", *words, F.explode("keys").alias("key")), "prefixes",
     )
     other = keyed.where("NOT inside").select(
-        F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("d").alias("d_b")
+        F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("d").alias("d_b"),
+        *(F.col(w).alias(f"{w}_b") for w in words),
     )
+    bits = F.expr(" + ".join(f"bit_count({w} ^ {w}_b)" for w in words))
+    screened = bits * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
     apart = F.abs(F.col("d") - F.col("d_b")) * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
     once = F.col("inside") | (F.col("id") < F.col("b"))
     return (
-        keyed.join(other, (F.col("key") == F.col("key_b")) & once & (F.col("label") != F.col("label_b")) & _sizes_allow("n", "n_b", percent) & apart)
+        keyed.join(other, (F.col("key") == F.col("key_b")) & once & (F.col("label") != F.col("label_b")) & _sizes_allow("n", "n_b", percent) & apart & screened)
         .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     )
 

@@ -5,7 +5,7 @@ import pytest
 
 from brute import near_duplicate_classes, shingles
 from ebbtide.llm.components import components
-from ebbtide.llm.near_dedup import _differing_alike, near_duplicates, signature
+from ebbtide.llm.near_dedup import SKETCH_BITS, _differing_alike, near_duplicates, odd_sketch, signature
 
 
 def edited(rng, text, times):
@@ -89,6 +89,20 @@ def test_pairs_with_one_set_in_reach_of_the_hub_are_all_found(spark):
             if 0 < k < j and labels[k] != labels[j] and 100 * both >= 80 * (800 - both):
                 wanted.add((k, j))
     mixed = spark.createDataFrame([(1, k, 400, labels[k]) for k, _ in rows], "key long, id long, n long, label long")
-    sets = spark.createDataFrame([(k, sorted(s)) for k, s in rows], "id long, shingles array<long>")
+    sets = spark.createDataFrame(
+        [(k, sorted(s), odd_sketch(np.array(s, np.uint64)).view(np.int64).tolist()) for k, s in rows],
+        "id long, shingles array<long>, odd array<long>",
+    )
     found = {(r.a, r.b) for r in _differing_alike(mixed, sets, 80).collect()}
     assert {(k, 100 + k) for k in range(1, 41)} <= wanted <= found
+
+
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 60, 900):
+        for gone in (0, 1, 3, size // 3):
+            pool = rng.integers(0, 1 << 63, size + gone).astype(np.uint64)
+            a, b = odd_sketch(pool[:size]), odd_sketch(pool[gone:])
+            bits = sum(int(x).bit_count() for x in a ^ b)
+            assert len(a) == SKETCH_BITS // 64 and bits <= 2 * gone and (gone > 0 or bits == 0)
+    assert not odd_sketch(np.zeros(0, np.uint64)).any()
