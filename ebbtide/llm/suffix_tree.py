@@ -32,6 +32,8 @@ from ebbtide.llm.words import Words, chunks, mix, split_words
 DEPTH = 6
 #: Occurrences that make a context a state, if it also diverges.
 LEAST = 2
+#: A gain that pays for the parameters exactly is not enough, whatever the order of its sum.
+_EVEN = 1e-9
 #: Weight of the shorter state against counts.
 WEIGHT = 8.0
 #: Bytes of text in a block of documents that ask for word counts together.
@@ -139,7 +141,8 @@ class Tree(NamedTuple):
 def tree_levels(level: DataFrame, total: int, least: int = LEAST) -> list[DataFrame]:
     """(code, n, total, p, state) by depth from 0, for the codes of ``level(code, n)`` of which ``total`` were seen.
 
-    A code of n = 0 is one that only asks for its probability p. ``state`` marks codes whose
+    The tree in SQL, for tables of any size; ``code_scores`` makes the same numbers with fewer
+    shuffles. A code of n = 0 is one that only asks for its probability p. ``state`` marks codes whose
     context is retained; the distribution of any other context is that of the next shorter one.
     """
     levels = {DEPTH: level}
@@ -157,7 +160,7 @@ def tree_levels(level: DataFrame, total: int, least: int = LEAST) -> list[DataFr
             "gain", F.sum(F.expr("CASE WHEN n > 0 THEN n * ln((n / total) / (up_n / up_total)) END")).over(own)
         ).withColumn("kinds", F.count_if(n > 0).over(own))
         # Half a log of the sample for each free parameter, as in the Bayesian criterion.
-        state = F.expr(f"coalesce(total >= {least} AND gain > 0.5 * kinds * ln(total), false)")
+        state = F.expr(f"coalesce(total >= {least} AND gain > 0.5 * kinds * ln(total) + {_EVEN}, false)")
         p = F.when(F.col("state"), (n + WEIGHT * F.col("up_p")) / (F.col("total") + WEIGHT)).otherwise(F.col("up_p"))
         made.append(saved(tested.withColumn("state", state).select("code", "n", "total", p.alias("p"), "state"), "states"))
     for depth in range(1, DEPTH):
@@ -229,8 +232,56 @@ def _groups(codes: np.ndarray, groups: int) -> np.ndarray:
     return (spread & np.uint64(groups - 1)).astype(np.int64)
 
 
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs that begin at ``starts``, repeated over each run."""
+    return np.repeat(np.add.reduceat(values, starts), np.diff(np.append(starts, len(values))))
+
+
+def _lengthened(n: np.ndarray, context: np.ndarray, up: tuple[np.ndarray, ...], least: int) -> tuple[np.ndarray, ...]:
+    """(n, total, p) of the entries of one depth, given those of the next shorter contexts.
+
+    Entries of one context stand together. ``up`` holds, for each entry, the same three
+    numbers of the entry with the furthest byte of its context left out.
+    """
+    up_n, up_total, up_p = up
+    starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    total, seen = _sums(n, starts), n > 0
+    gains = np.zeros(len(n))
+    gains[seen] = n[seen] * np.log((n[seen] / total[seen]) / (up_n[seen] / up_total[seen]))
+    # Half a log of the sample for each free parameter, as in the Bayesian criterion.
+    free = 0.5 * _sums(seen.astype(np.int64), starts) * np.log(np.maximum(total, 1))
+    state = (total >= least) & (_sums(gains, starts) > free + _EVEN)
+    return n, total, np.where(state, (n + WEIGHT * up_p) / (total + WEIGHT), up_p)
+
+
+def probabilities_of(codes: np.ndarray, n: np.ndarray, first: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """The tree's probability of each code; ``codes`` are sorted and share the two bytes before the next one.
+
+    They must be all codes with these two bytes. ``first[c, b]`` counts byte b after byte c in the whole table.
+    """
+    near = int(codes[0] >> np.uint64(8 * DEPTH)) & 255
+    root = first.sum(axis=0)
+    row = np.zeros(256, np.uint64)
+    shortest = (root, np.full(256, root.sum()), (root + 1) / (root.sum() + 256.0))
+    above = _lengthened(first[near], row, shortest, least)
+    levels, links = [(codes, n)], []
+    for _ in range(DEPTH, 2, -1):
+        code, count = levels[-1]
+        shorter, link = np.unique((code >> np.uint64(16) << np.uint64(8)) | (code & np.uint64(255)), return_inverse=True)
+        levels.append((shorter, np.bincount(link, weights=count).astype(np.int64)))
+        links.append(link)
+    links.append((levels[-1][0] & np.uint64(255)).astype(np.int64))
+    for (code, count), link in zip(reversed(levels), reversed(links)):
+        above = _lengthened(count, code >> np.uint64(8), tuple(part[link] for part in above), least)
+    return above[2]
+
+
 def code_scores(made: DataFrame) -> tuple[DataFrame, int]:
-    """(block, grp, logs) for the codes of each block and group, in order of code, and the number of groups."""
+    """(block, grp, logs) for the codes of each block and group, in order of code, and the number of groups.
+
+    All contexts that end in the same two bytes are shortened and tested in one task; what
+    shorter contexts need is a table of at most 65,536 counts.
+    """
     n_bytes = made.agg(F.sum("n_bytes")).first()[0] or 0
     groups = 1 << max(0, int(np.ceil(np.log2(max(1, n_bytes) / GROUP_BYTES))))
 
@@ -241,12 +292,13 @@ def code_scores(made: DataFrame) -> tuple[DataFrame, int]:
                 codes, counts = block_codes(data, at, learned)
                 grp = _groups(codes, groups)
                 order = np.argsort(grp, kind="stable")
-                ends = np.searchsorted(grp[order], np.arange(groups + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v[order])) for v in (codes.view(np.int64), counts.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(groups, batch.column(0)[k].as_py())), pa.array(np.arange(groups, dtype=np.int32)), *lists], ["block", "grp", "codes", "counts"])
+                held, starts = np.unique(grp[order], return_index=True)
+                ends = pa.array(np.append(starts, len(codes)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (codes.view(np.int64), counts.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), batch.column(0)[k].as_py())), pa.array(held.astype(np.int32)), *lists], ["block", "grp", "codes", "counts"])
 
     asked = saved(
-        made.select("block", "payload", "bounds_at", "held").mapInArrow(ask, "block long, grp int, codes array<long>, counts array<int>").where("size(codes) > 0"), "asked"
+        made.select("block", "payload", "bounds_at", "held").mapInArrow(ask, "block long, grp int, codes array<long>, counts array<int>"), "asked"
     )
 
     def tally(own: pa.Table) -> pa.Table:
@@ -254,17 +306,23 @@ def code_scores(made: DataFrame) -> tuple[DataFrame, int]:
         return pa.table({"code": codes.view(np.int64), "n": counts})
 
     level = saved(asked.groupBy("grp").applyInArrow(tally, "code long, n long"), "places")
-    levels = tree_levels(level, level.agg(F.sum("n")).first()[0] or 0)
-    # Only the last depth is read from here on: the files of the others go, and their shuffles with the collected frames.
-    for frame in (level, *levels[1:-1]):
-        forget(frame)
-    made.sparkSession._jvm.System.gc()
-    probable = levels[-1].select(_group(F.col("code"), groups).alias("grp"), "code", "p")
+    near, byte = F.shiftright("code", 8 * DEPTH), F.col("code").bitwiseAND(F.lit(255).cast("long"))
+    pairs = level.groupBy(near.alias("near"), byte.alias("byte")).agg(F.sum("n").alias("n")).toArrow()
+    first = np.zeros((256, 256), np.int64)
+    first[pairs["near"].to_numpy(), pairs["byte"].to_numpy()] = pairs["n"].to_numpy()
+
+    def chain(own: pa.Table) -> pa.Table:
+        codes = own["code"].to_numpy().view(np.uint64)
+        order = np.argsort(codes)
+        p = probabilities_of(codes[order], own["n"].to_numpy()[order], first)
+        return pa.table({"grp": _groups(codes[order], groups).astype(np.int32), "code": codes[order].view(np.int64), "log": np.log10(p).astype(np.float32)})
+
+    probable = level.groupBy(F.shiftright("code", 8 * DEPTH - 8)).applyInArrow(chain, "grp int, code long, log float")
 
     def answer(own: pa.Table, known: pa.Table) -> pa.Table:
-        codes, p = known["code"].to_numpy(), known["p"].to_numpy()
+        codes = known["code"].to_numpy()
         order = np.argsort(codes)
-        codes, logs = codes[order], np.log10(p[order]).astype(np.float32)
+        codes, logs = codes[order], known["log"].to_numpy()[order]
         found = [logs[np.searchsorted(codes, _flat(own["codes"].slice(k, 1)))] for k in range(own.num_rows)]
         return pa.table({"block": own["block"], "grp": own["grp"], "logs": pa.array(found, pa.list_(pa.float32()))})
 

@@ -94,3 +94,40 @@ def test_states_do_not_depend_on_table_size_and_are_joined(spark, monkeypatch):
     # 15 million places: a share of 2e-7 would ask for three occurrences.
     level = spark.createDataFrame([(int.from_bytes(b"zyxwvu" + b"a", "big"), 2), (int.from_bytes(b"abcdef" + b"b", "big"), 14_999_998)], "code long, n long")
     assert [r.n for r in suffix_tree.tree_levels(level, 15_000_000)[1].where("state").collect()] == [2]
+
+
+def test_chained_probabilities_follow_the_definition():
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(["ab", "abc ", "the ", "then ", "xy"], 900))
+    data = np.frombuffer(text.encode(), np.uint8)
+    codes, n = np.unique(place_codes(data, np.array([0, len(data)])), return_counts=True)
+    n[::7] = 0
+    counts = Counter()
+    for code, times in zip(codes.tolist(), n.tolist()):
+        whole = code.to_bytes(DEPTH + 1, "big")
+        for depth in range(DEPTH + 1):
+            counts[whole[:depth], whole[DEPTH]] += times
+    after = {}
+    for (context, byte), times in counts.items():
+        after.setdefault(context, {})[byte] = times
+
+    def probability(context, byte):
+        if not context:
+            return (after[b""].get(byte, 0) + 1) / (sum(after[b""].values()) + 256)
+        shorter = probability(context[:-1], byte)
+        own, up = after[context], after[context[:-1]]
+        total, up_total = sum(own.values()), sum(up.values())
+        gain = sum(k * math.log(k / total / (up[b] / up_total)) for b, k in own.items() if k)
+        kinds = sum(k > 0 for k in own.values())
+        if total >= suffix_tree.LEAST and gain > 0.5 * kinds * math.log(total) + suffix_tree._EVEN:
+            return (own.get(byte, 0) + suffix_tree.WEIGHT * shorter) / (total + suffix_tree.WEIGHT)
+        return shorter
+
+    first = np.zeros((256, 256), np.int64)
+    np.add.at(first, ((codes >> np.uint64(8 * DEPTH)).astype(int), (codes & np.uint64(255)).astype(int)), n)
+    pair = codes >> np.uint64(8 * DEPTH - 8)
+    for own in np.unique(pair):
+        mine = pair == own
+        found = suffix_tree.probabilities_of(codes[mine], n[mine], first)
+        wanted = [probability(c.to_bytes(DEPTH + 1, "big")[:DEPTH], c & 255) for c in codes[mine].tolist()]
+        assert np.allclose(found, wanted, rtol=1e-12)
