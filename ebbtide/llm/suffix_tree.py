@@ -15,14 +15,14 @@ counts are summed and the probabilities made in Spark, and the answers go back b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -37,9 +37,9 @@ _EVEN = 1e-9
 #: Weight of the shorter state against counts.
 WEIGHT = 8.0
 #: Bytes of text in a block of documents that ask for word counts together.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text for each group of codes, of which about a tenth are distinct.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
 
 _END = 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -221,13 +221,8 @@ def block_codes(data: np.ndarray, at: np.ndarray, learned: np.ndarray) -> tuple[
     return _tally(np.concatenate(codes), np.concatenate(counts))
 
 
-def _group(code: Column, groups: int) -> Column:
-    """Group of a code; ``groups`` is a power of two. The same as ``_groups``."""
-    spread = code.bitwiseXOR(F.shiftright(code, 19)).bitwiseXOR(F.shiftright(code, 35))
-    return spread.bitwiseAND(F.lit(groups - 1).cast("long")).cast("int")
-
-
 def _groups(codes: np.ndarray, groups: int) -> np.ndarray:
+    """Group of each code; ``groups`` is a power of two."""
     spread = codes ^ (codes >> np.uint64(19)) ^ (codes >> np.uint64(35))
     return (spread & np.uint64(groups - 1)).astype(np.int64)
 
@@ -288,52 +283,70 @@ def code_scores(made: DataFrame) -> tuple[DataFrame, int]:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                data, at, learned = _content(batch.column(1)[k], batch.column(2)[k], batch.column(3)[k])
-                codes, counts = block_codes(data, at, learned)
+                codes, counts = block_codes(*_content(batch.column(1)[k], batch.column(2)[k], batch.column(3)[k]))
                 grp = _groups(codes, groups)
                 order = np.argsort(grp, kind="stable")
                 held, starts = np.unique(grp[order], return_index=True)
-                ends = pa.array(np.append(starts, len(codes)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (codes.view(np.int64), counts.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), batch.column(0)[k].as_py())), pa.array(held.astype(np.int32)), *lists], ["block", "grp", "codes", "counts"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(held), batch.column(0)[k].as_py())), pa.array(held.astype(np.int32)),
+                        pa.array([_packed_codes(own) for own in np.split(codes[order], starts[1:])], pa.binary()),
+                        pa.array([_packed(own) for own in np.split(counts[order], starts[1:])], pa.binary()),
+                    ],
+                    ["block", "grp", "codes", "counts"],
+                )
 
     asked = saved(
-        made.select("block", "payload", "bounds_at", "held").mapInArrow(ask, "block long, grp int, codes array<long>, counts array<int>"), "asked"
+        made.select("block", "payload", "bounds_at", "held").mapInArrow(ask, "block long, grp int, codes binary, counts binary"), "asked"
     )
 
     def tally(own: pa.Table) -> pa.Table:
-        codes, counts = _tally(_flat(own["codes"]).view(np.uint64), _flat(own["counts"]).astype(np.int64))
-        return pa.table({"code": codes.view(np.int64), "n": counts})
+        codes, counts = _tally(np.concatenate(_each(own["codes"], _unpacked_codes)), np.concatenate(_each(own["counts"], _unpacked)).astype(np.int64))
+        pair, starts = np.unique(codes >> np.uint64(8 * DEPTH - 8), return_index=True)
+        return pa.table({
+            "pair": pair.astype(np.int32),
+            "grp": pa.array(np.full(len(pair), own["grp"][0].as_py(), np.int32)),
+            "codes": pa.array([_packed_codes(c) for c in np.split(codes, starts[1:])], pa.binary()),
+            "counts": pa.array([_packed(c, "<i8") for c in np.split(counts, starts[1:])], pa.binary()),
+        })
+
+    level = saved(asked.groupBy("grp").applyInArrow(tally, "pair int, grp int, codes binary, counts binary"), "places")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for near, codes, counts in zip((batch.column(0).to_numpy() >> 8).tolist(), _each(batch.column(1), _unpacked_codes), _each(batch.column(2), _counts)):
+                first[near << 8 : (near + 1) << 8] += np.bincount((codes & np.uint64(255)).astype(np.int64), counts, 256).astype(np.int64)
+        at = np.flatnonzero(first)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(first[at])], ["at", "n"])
 
-    level = saved(asked.groupBy("grp").applyInArrow(tally, "code long, n long"), "places")
-    near, byte = F.shiftright("code", 8 * DEPTH), F.col("code").bitwiseAND(F.lit(255).cast("long"))
-    pairs = level.groupBy(near.alias("near"), byte.alias("byte")).agg(F.sum("n").alias("n")).toArrow()
-    first = np.zeros((256, 256), np.int64)
-    first[pairs["near"].to_numpy(), pairs["byte"].to_numpy()] = pairs["n"].to_numpy()
+    summed = level.select("pair", "codes", "counts").mapInArrow(pairs, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    first = np.zeros(1 << 16, np.int64)
+    first[summed["at"].to_numpy()] = summed["n"].to_numpy()
+    first = first.reshape(256, 256)
 
     def chain(own: pa.Table) -> pa.Table:
-        codes = own["code"].to_numpy().view(np.uint64)
-        order = np.argsort(codes)
-        p = probabilities_of(codes[order], own["n"].to_numpy()[order], first)
-        return pa.table({"grp": _groups(codes[order], groups).astype(np.int32), "code": codes[order].view(np.int64), "log": np.log10(p).astype(np.float32)})
+        parts = _each(own["codes"], _unpacked_codes)
+        codes = np.concatenate(parts)
+        order = np.argsort(codes, kind="stable")
+        logs = np.empty(len(codes), np.float32)
+        logs[order] = np.log10(probabilities_of(codes[order], np.concatenate(_each(own["counts"], _counts))[order], first))
+        cuts = np.cumsum([len(part) for part in parts])[:-1]
+        return pa.table({"grp": own["grp"], "codes": own["codes"], "logs": pa.array([_packed(part, "<f4") for part in np.split(logs, cuts)], pa.binary())})
 
-    probable = level.groupBy(F.shiftright("code", 8 * DEPTH - 8)).applyInArrow(chain, "grp int, code long, log float")
+    probable = level.groupBy("pair").applyInArrow(chain, "grp int, codes binary, logs binary")
 
     def answer(own: pa.Table, known: pa.Table) -> pa.Table:
-        codes = known["code"].to_numpy()
-        order = np.argsort(codes)
-        codes, logs = codes[order], known["log"].to_numpy()[order]
-        found = [logs[np.searchsorted(codes, _flat(own["codes"].slice(k, 1)))] for k in range(own.num_rows)]
-        return pa.table({"block": own["block"], "grp": own["grp"], "logs": pa.array(found, pa.list_(pa.float32()))})
+        codes, logs = np.concatenate(_each(known["codes"], _unpacked_codes)), np.concatenate(_each(known["logs"], _logs))
+        order = np.argsort(codes, kind="stable")
+        codes, logs = codes[order], logs[order]
+        found = [_packed(logs[np.searchsorted(codes, mine)], "<f4") for mine in _each(own["codes"], _unpacked_codes)]
+        return pa.table({"block": own["block"], "grp": own["grp"], "logs": pa.array(found, pa.binary())})
 
-    answers = asked.select("block", "grp", "codes").groupBy("grp").cogroup(probable.groupBy("grp")).applyInArrow(answer, "block long, grp int, logs array<float>")
+    answers = asked.select("block", "grp", "codes").groupBy("grp").cogroup(probable.groupBy("grp")).applyInArrow(answer, "block long, grp int, logs binary")
     return answers, groups
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
-
-
 def _content(payload: pa.Scalar, at: pa.Scalar, held: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical bytes of a block, bounds of its rows, and which of them are learned from."""
     data = np.frombuffer(zstandard.decompress(payload.as_py()), np.uint8)
@@ -341,14 +354,36 @@ def _content(payload: pa.Scalar, at: pa.Scalar, held: pa.Scalar) -> tuple[np.nda
     return data, at.values.to_numpy(zero_copy_only=False), learned
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """32-bit integers, compressed plane by plane: high bytes of small numbers are all alike."""
-    return zstandard.compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers, compressed plane by plane: high bytes of small numbers are all alike."""
+    own = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
+    return zstandard.compress(np.ascontiguousarray(own.T).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """Sorted codes by their distances."""
+    return _packed(np.diff(codes, prepend=np.uint64(0)), "<u8")
+
+
+def _unpacked_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return _unpacked(data, "<i8")
+
+
+def _logs(data: bytes) -> np.ndarray:
+    return _unpacked(data, "<f4")
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+def _each(column: pa.ChunkedArray | pa.Array, unpack: Callable[[bytes], np.ndarray]) -> list[np.ndarray]:
+    return [unpack(value.as_py()) for value in column]
 
 
 _BLOCK = (
@@ -456,10 +491,14 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             data, at, learned = _content(own["payload"][row], own["bounds_at"][row], own["held"][row])
             codes, _ = block_codes(data, at, learned)
             logs_of = np.empty(len(codes))
-            logs_of[np.argsort(_groups(codes, groups), kind="stable")] = _flat(by_group["logs"])
+            logs_of[np.argsort(_groups(codes, groups), kind="stable")] = np.concatenate(_each(by_group["logs"], _logs))
             score = np.empty(len(at) - 1)
             for a, b in _pieces(at):
-                value = logs_of[np.searchsorted(codes, _row_codes(data, at, a, b))]
+                places = _row_codes(data, at, a, b)
+                order = np.argsort(places)
+                value = np.empty(len(places))
+                # Looked up in order, as neighbours lie close together.
+                value[order] = logs_of[np.searchsorted(codes, places[order])]
                 score[a:b] = np.add.reduceat(value, at[a:b] - at[a])
             doc = pa.array(get("docs"), mask=~get("known").astype(bool))
             parts = [
@@ -473,7 +512,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     needed = made.select("block", "docs", "known", "held", "payload", "bounds_at", "n_words", "slots", "repeats", "bounds")
     none = F.lit(None)
-    given = answers.select("block", "place", "c", none.cast("int").alias("grp"), none.cast("array<float>").alias("logs")).union(
+    given = answers.select("block", "place", "c", none.cast("int").alias("grp"), none.cast("binary").alias("logs")).union(
         scored.select("block", none.cast(answers.schema["place"].dataType), none.cast("long"), "grp", "logs")
     )
     return needed.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, _SCORED)
