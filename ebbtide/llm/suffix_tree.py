@@ -347,6 +347,43 @@ def code_scores(made: DataFrame) -> tuple[DataFrame, int]:
     return answers, groups
 
 
+def word_counts(made: DataFrame, groups: int) -> DataFrame:
+    """(block, grp, c, n, kinds): counts of the block's distinct words in the rows learned from, in order of word.
+
+    ``n`` and ``kinds`` are occurrences and distinct words of the group, on one of its rows. A
+    group is a range of hashes, so that the groups of a block in order hold its words in order.
+    """
+    bits = groups.bit_length() - 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, trained = _unpacked_codes(batch.column(1)[k].as_py()), _unpacked(batch.column(2)[k].as_py())
+                held, starts = np.unique(words >> np.uint64(1) >> np.uint64(63 - bits), return_index=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(held), batch.column(0)[k].as_py())), pa.array(held.astype(np.int32)),
+                        pa.array([_packed_codes(own) for own in np.split(words, starts[1:])[: len(held)]], pa.binary()),
+                        pa.array([_packed(own) for own in np.split(trained, starts[1:])[: len(held)]], pa.binary()),
+                    ],
+                    ["block", "grp", "words", "trained"],
+                )
+
+    def tally(own: pa.Table) -> pa.Table:
+        parts = _each(own["words"], _unpacked_codes)
+        distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
+        c = np.bincount(at, np.concatenate(_each(own["trained"], _unpacked)), len(distinct)).astype(np.int64)
+        first = np.arange(own.num_rows) == 0
+        cuts = np.cumsum([len(part) for part in parts])[:-1]
+        return pa.table({
+            "block": own["block"], "grp": own["grp"], "c": pa.array([_packed(part, "<i8") for part in np.split(c[at], cuts)], pa.binary()),
+            "n": first * c.sum(), "kinds": first * (c > 0).sum(),
+        })
+
+    asked = made.select("block", "words", "trained").mapInArrow(ask, "block long, grp int, words binary, trained binary")
+    return asked.groupBy("grp").applyInArrow(tally, "block long, grp int, c binary, n long, kinds long")
+
+
 def _content(payload: pa.Scalar, at: pa.Scalar, held: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical bytes of a block, bounds of its rows, and which of them are learned from."""
     data = np.frombuffer(zstandard.decompress(payload.as_py()), np.uint8)
@@ -388,7 +425,7 @@ def _each(column: pa.ChunkedArray | pa.Array, unpack: Callable[[bytes], np.ndarr
 
 _BLOCK = (
     "docs array<long>, known array<boolean>, held array<boolean>, payload binary, bounds_at array<long>, n_bytes long, n_words array<long>, "
-    "words array<long>, trained array<long>, slots binary, repeats binary, bounds array<long>"
+    "words binary, trained binary, slots binary, repeats binary, bounds array<long>"
 )
 
 
@@ -400,7 +437,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         ids, held, parts, hashes, sizes, size = [], [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            words, lengths = np.concatenate(hashes), np.concatenate(sizes)
+            words, lengths = mix(np.concatenate(hashes)), np.concatenate(sizes)
             distinct, slot = np.unique(words, return_inverse=True)
             held_out = np.array([h is not False for h in held])
             row = np.repeat(np.arange(len(lengths)), lengths)
@@ -415,7 +452,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 pa.array([[i if i is not None else 0 for i in ids]], lists), pa.array([[i is not None for i in ids]], pa.list_(pa.bool_())),
                 pa.array([held], pa.list_(pa.bool_())), pa.array([zstandard.compress(data.tobytes(), 1)], pa.binary()),
                 pa.array([at], lists), pa.array([len(data)], pa.int64()),
-                pa.array([lengths], lists), pa.array([distinct.view(np.int64)], lists), pa.array([trained], lists),
+                pa.array([lengths], lists), pa.array([_packed_codes(distinct)], pa.binary()), pa.array([_packed(trained)], pa.binary()),
                 pa.array([_packed(np.diff(pairs % max(1, len(distinct)), prepend=0))], pa.binary()),
                 pa.array([_packed(times)], pa.binary()), pa.array([bounds], lists),
             ]
@@ -458,25 +495,17 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out"))
     made = saved(blocks(texts), "blocks")
     scored, groups = code_scores(made)
-    asked = made.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("place", "w")).select(
-        "block", "place", F.col("w.words").alias("word"), F.col("w.trained").alias("n")
-    )
-    of_word = Window.partitionBy("word")
-    answers = saved(
-        asked.select("block", "place", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("first")),
-        "answers",
-    )
-    words, kinds = answers.where("first").agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    answers = saved(word_counts(made, groups), "answers")
+    words, kinds = answers.agg(F.sum("n"), F.sum("kinds")).first()
     ends = made.select(F.explode("held").alias("h")).where("NOT h").count()
     total, distinct = (words or 0) + ends, (kinds or 0) + (ends > 0)
     floor = float(np.log10(total + distinct + 1))
     names = [part.split()[0] for part in _SCORED.split(", ")]
 
     def run(own: pa.Table, answered: pa.Table) -> pa.Table:
-        of_words = answered.filter(pc.is_valid(answered["place"]))
-        counts = np.zeros(of_words.num_rows, np.int64)
-        counts[of_words["place"].to_numpy()] = of_words["c"].to_numpy()
-        by_group = answered.filter(pc.is_valid(answered["grp"])).sort_by("grp")
+        answered = answered.sort_by("grp")
+        by_word, by_code = (answered.filter(pc.is_valid(answered[name])) for name in ("c", "logs"))
+        counts = np.concatenate([np.zeros(0, np.int64), *_each(by_word["c"], _counts)])
         columns: list[list] = [[] for _ in names]
         for row in range(own.num_rows):
             get = lambda name: own[name][row].values.to_numpy(zero_copy_only=False)
@@ -491,7 +520,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             data, at, learned = _content(own["payload"][row], own["bounds_at"][row], own["held"][row])
             codes, _ = block_codes(data, at, learned)
             logs_of = np.empty(len(codes))
-            logs_of[np.argsort(_groups(codes, groups), kind="stable")] = np.concatenate(_each(by_group["logs"], _logs))
+            logs_of[np.argsort(_groups(codes, groups), kind="stable")] = np.concatenate(_each(by_code["logs"], _logs))
             score = np.empty(len(at) - 1)
             for a, b in _pieces(at):
                 places = _row_codes(data, at, a, b)
@@ -511,8 +540,6 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         return pa.table([pa.chunked_array(c, k) for c, k in zip(columns, kinds_)], names)
 
     needed = made.select("block", "docs", "known", "held", "payload", "bounds_at", "n_words", "slots", "repeats", "bounds")
-    none = F.lit(None)
-    given = answers.select("block", "place", "c", none.cast("int").alias("grp"), none.cast("binary").alias("logs")).union(
-        scored.select("block", none.cast(answers.schema["place"].dataType), none.cast("long"), "grp", "logs")
-    )
+    none = F.lit(None).cast("binary")
+    given = answers.select("block", "grp", "c", none.alias("logs")).union(scored.select("block", "grp", none, "logs"))
     return needed.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, _SCORED)
