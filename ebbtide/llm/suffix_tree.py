@@ -222,9 +222,11 @@ def block_codes(data: np.ndarray, at: np.ndarray, learned: np.ndarray) -> tuple[
 
 
 def _groups(codes: np.ndarray, groups: int) -> np.ndarray:
-    """Group of each code; ``groups`` is a power of two."""
-    spread = codes ^ (codes >> np.uint64(19)) ^ (codes >> np.uint64(35))
-    return (spread & np.uint64(groups - 1)).astype(np.int64)
+    """Group of each code by the four bytes before the next one; ``groups`` is a power of two.
+
+    Codes that share these bytes stay together, so their distances are small.
+    """
+    return (mix(codes >> np.uint64(24)) & np.uint64(groups - 1)).astype(np.int64)
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -358,7 +360,11 @@ def word_counts(made: DataFrame, groups: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words, trained = _unpacked_codes(batch.column(1)[k].as_py()), _unpacked(batch.column(2)[k].as_py())
+                data, at, learned = _content(batch.column(1)[k], batch.column(2)[k], batch.column(3)[k])
+                own = [split_words(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in _pieces(at)]
+                words, slot = np.unique(mix(np.concatenate([part.hashes for part in own])), return_inverse=True)
+                lengths = np.concatenate([np.diff(part.bounds) for part in own])
+                trained = np.bincount(slot[np.repeat(learned, lengths)], minlength=len(words))
                 held, starts = np.unique(words >> np.uint64(1) >> np.uint64(63 - bits), return_index=True)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -380,7 +386,7 @@ def word_counts(made: DataFrame, groups: int) -> DataFrame:
             "n": first * c.sum(), "kinds": first * (c > 0).sum(),
         })
 
-    asked = made.select("block", "words", "trained").mapInArrow(ask, "block long, grp int, words binary, trained binary")
+    asked = made.select("block", "payload", "bounds_at", "held").mapInArrow(ask, "block long, grp int, words binary, trained binary")
     return asked.groupBy("grp").applyInArrow(tally, "block long, grp int, c binary, n long, kinds long")
 
 
@@ -392,12 +398,16 @@ def _content(payload: pa.Scalar, at: pa.Scalar, held: pa.Scalar) -> tuple[np.nda
 
 
 def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
-    """Numbers, compressed plane by plane: high bytes of small numbers are all alike."""
+    """Numbers, compressed; integers plane by plane, as high bytes of small numbers are all alike."""
+    if kind == "<f4":
+        return zstandard.compress(values.astype(kind).tobytes(), 1)
     own = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
     return zstandard.compress(np.ascontiguousarray(own.T).tobytes(), 1)
 
 
 def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
+    if kind == "<f4":
+        return np.frombuffer(zstandard.decompress(data), kind)
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
@@ -425,7 +435,7 @@ def _each(column: pa.ChunkedArray | pa.Array, unpack: Callable[[bytes], np.ndarr
 
 _BLOCK = (
     "docs array<long>, known array<boolean>, held array<boolean>, payload binary, bounds_at array<long>, n_bytes long, n_words array<long>, "
-    "words binary, trained binary, slots binary, repeats binary, bounds array<long>"
+    "slots binary, repeats binary, bounds array<long>"
 )
 
 
@@ -439,9 +449,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         def close() -> pa.RecordBatch:
             words, lengths = mix(np.concatenate(hashes)), np.concatenate(sizes)
             distinct, slot = np.unique(words, return_inverse=True)
-            held_out = np.array([h is not False for h in held])
             row = np.repeat(np.arange(len(lengths)), lengths)
-            trained = np.bincount(slot[~held_out[row]], minlength=len(distinct))
             # Distinct words of each row with their number of times there.
             pairs, times = np.unique(row.astype(np.int64) * max(1, len(distinct)) + slot, return_counts=True)
             bounds = np.searchsorted(pairs, np.arange(len(lengths) + 1) * max(1, len(distinct)))
@@ -450,9 +458,9 @@ def blocks(docs: DataFrame) -> DataFrame:
             lists = pa.list_(pa.int64())
             columns = [
                 pa.array([[i if i is not None else 0 for i in ids]], lists), pa.array([[i is not None for i in ids]], pa.list_(pa.bool_())),
-                pa.array([held], pa.list_(pa.bool_())), pa.array([zstandard.compress(data.tobytes(), 1)], pa.binary()),
+                pa.array([held], pa.list_(pa.bool_())), pa.array([zstandard.compress(data.tobytes(), 6)], pa.binary()),
                 pa.array([at], lists), pa.array([len(data)], pa.int64()),
-                pa.array([lengths], lists), pa.array([_packed_codes(distinct)], pa.binary()), pa.array([_packed(trained)], pa.binary()),
+                pa.array([lengths], lists),
                 pa.array([_packed(np.diff(pairs % max(1, len(distinct)), prepend=0))], pa.binary()),
                 pa.array([_packed(times)], pa.binary()), pa.array([bounds], lists),
             ]
