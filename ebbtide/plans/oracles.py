@@ -428,6 +428,7 @@ ORACLES = {
         """SELECT user_key, CASE WHEN row_number() OVER (ORDER BY user_key)
             <= greatest(1, floor(0.8::DOUBLE * count(*) OVER ())) THEN 'train' ELSE 'validation' END AS part
         FROM rollup""", "rollup"),
+    "ordered_split_from_states": sql("SELECT count(*) AS n_rows, true AS within_bound FROM rollup", "rollup"),
     "stratified_folds": sql(
         f"""SELECT user_key, churned_realistic AS churned, (ntile(5) OVER (PARTITION BY churned_realistic
             ORDER BY {u('user_key', f'fold:{SEED}')}, user_key) - 1)::INT AS fold FROM realistic""", "realistic"),

@@ -374,6 +374,13 @@ def ordered_split(given):
     return first.withColumn("part", F.lit("train")).unionByName(rest.withColumn("part", F.lit("validation")))
 
 
+@query
+def ordered_split_from_states(given):
+    users = given.kept.rollup.select("user_key", "account_status")
+    cut = split.state_cut(split.key_states(users, "account_status"))
+    return split.cut_error(users, cut).select("n_rows", (F.col("rank_error") <= split.rank_bound()).alias("within_bound"))
+
+
 @query
 def forecaster_split(given):
     users = given.kept

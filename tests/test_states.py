@@ -3,9 +3,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ebbtide.operators import split
 from ebbtide.operators.curves import curve_areas, histogram_area, score_histogram, threshold_totals
 from ebbtide.operators.distinct import count_distinct, distinct_state, merge_distinct
 from ebbtide.session import durable, run_scope, shared_folder
@@ -47,3 +49,29 @@ def test_a_run_leaves_no_file(spark):
             durable(spark.range(3))
             raise RuntimeError
     assert sorted(os.listdir(root)) == before
+
+
+def test_cuts_from_merged_states_stay_within_their_bound(spark):
+    rng = np.random.default_rng(4)
+    keys = np.where(rng.random(60_000) < 1 / 3, 700_000, rng.integers(0, 1_000_000, 60_000))
+    rows = spark.createDataFrame([(int(k), i % 7) for i, k in enumerate(keys)] + [(None, 3)], "user_key bigint, load int")
+    states = split.key_states(rows, "load")
+    for share in (0.1, 0.5, 0.6, 0.8, 0.95):
+        cut = split.state_cut(states, share)
+        row = split.cut_error(rows, cut, share).first()
+        below, upto = (keys < cut).mean(), (keys <= cut).mean()
+        assert row.n_rows == 60_000
+        assert abs(row.rank_error - max(0, below - share, share - upto)) < 1e-12
+        # Single sketches exceed the bound once in a hundred times; twice the bound practically never.
+        assert row.rank_error <= 2 * split.rank_bound()
+    assert split.state_cut(states, 0.6) == 700_000
+    first, rest = split.state_split(rows, states.where("load < 7"))
+    assert first.count() + rest.count() == 60_000
+
+
+def test_states_of_no_rows_cut_nothing(spark):
+    none = spark.createDataFrame([], "user_key bigint, load int")
+    states = split.key_states(none, "load")
+    assert split.state_cut(states) is None
+    assert [part.count() for part in split.state_split(none, states)] == [0, 0]
+    assert tuple(split.cut_error(none, None).first()) == (0, 0.0)
