@@ -1,6 +1,7 @@
 """Daily series, features and the straight-line forecast."""
 
 from datetime import date, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators.risk import widen_forecast
 from ebbtide.operators.series import (
-    FEATURES, METRICS, daily_series, series_features, series_targets, trend_forecast,
+    COUNTED, FEATURES, METRICS, daily_series, series_features, series_targets, trend_forecast,
 )
+from ebbtide.plans.queries import Inputs
 from ebbtide.settings import Settings
 
 AS_OF = date(2024, 1, 31)
@@ -73,3 +75,27 @@ def test_days_of_every_pattern_match_a_plain_loop(spark):
         for d in range(30, -r.day_offset - 1, -1):
             streak, since = (streak + 1, 0) if d in days else (0, since + 1 if since < 30 else 30)
         assert (r.login_streak, r.days_since_login) == (streak, since)
+
+
+def test_widened_in_one_aggregation(spark):
+    cells = spark.createDataFrame(
+        [(1, 1, "quiz_attempts", 2.0), (1, 1, "login_streak", None), (1, 2, "unknown", 3.0), (None, 1, "quiz_attempts", 0.0)],
+        "user_key long, horizon_day int, metric string, y double",
+    )
+    wide = widen_forecast(cells)
+    assert wide.columns == ["user_key", "horizon_day", *METRICS]
+    assert {(r.user_key, r.horizon_day): (r.quiz_attempts, r.login_streak) for r in wide.collect()} == {
+        (1, 1): (2.0, None), (1, 2): (None, None), (None, 1): (0.0, None),
+    }
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+
+
+def test_days_are_spread_before_they_multiply(spark):
+    given = Inputs(spark, "")
+    users = spark.range(400).selectExpr("id AS user_key", "'active' AS account_status")
+    metrics = [F.lit(1.0).alias(m) for m in COUNTED]
+    given.__dict__["star"] = SimpleNamespace(users=users)
+    given.__dict__["window"] = users.select("user_key", F.date_sub(F.lit(SETTINGS.as_of), 3).alias("metric_date"), *metrics)
+    parts = given.series.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in parts) < 400 * 30 / 2
