@@ -2,15 +2,18 @@
 
 import os
 import random
+from datetime import date
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators import split
+from ebbtide.operators import forecaster, split
 from ebbtide.operators.curves import curve_areas, histogram_area, score_histogram, threshold_totals
 from ebbtide.operators.distinct import count_distinct, distinct_state, merge_distinct
+from ebbtide.operators.series import METRICS
 from ebbtide.session import durable, run_scope, shared_folder
+from ebbtide.settings import Settings
 
 
 def test_bitmaps_count_distinct_ids(spark):
@@ -75,3 +78,29 @@ def test_states_of_no_rows_cut_nothing(spark):
     assert split.state_cut(states) is None
     assert [part.count() for part in split.state_split(none, states)] == [0, 0]
     assert tuple(split.cut_error(none, None).first()) == (0, 0.0)
+
+
+def test_training_rows_in_few_partitions_under_one_mark(spark, monkeypatch):
+    seen = {}
+
+    def fit(self, names, make, parallelism):
+        seen["folder"] = self.folder.path
+        make(names[0])
+        raise StopIteration
+
+    class Probe:
+        def fit(self, data):
+            seen["partitions"] = len(data.groupBy(F.spark_partition_id()).count().collect())
+
+    monkeypatch.setattr(forecaster.FitLedger, "fit", fit)
+    monkeypatch.setattr(forecaster, "_regressor", lambda *_: Probe())
+    settings = Settings(as_of=date(2024, 1, 31))
+    marks = []
+    for nudge in (0.0, -1e-13, 1e-6):
+        values = [(F.lit(nudge) + F.pmod("user_key", F.lit(k + 2))).alias(m) for k, m in enumerate(METRICS)]
+        series = spark.range(12_000).selectExpr("id AS user_key", "explode(sequence(-30, -1)) AS day_offset").select("user_key", "day_offset", *values)
+        with pytest.raises(StopIteration):
+            forecaster.fit_forecaster(series, settings)
+        marks.append(seen["folder"])
+    assert seen["partitions"] == 1
+    assert marks[0] == marks[1] != marks[2]
