@@ -152,9 +152,23 @@ def _sizes_allow(left: str, right: str, percent: int) -> Column:
     return (100 * F.least(left, right) >= percent * F.greatest(left, right))
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(v, label) of the vertices of ``labels`` and ``links(a, b)``, once ``links`` have joined the components.
+
+    Only one vertex for each component takes part, so many links between two components count once.
+    """
+    if labels is None:
+        return components(saved(links, "links"))
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.toDF(end, f"label_{end}"), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    merged = components(saved(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links"))
+    known = labels.select("v").union(merged.select("v")).distinct().join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("old"))
+    return saved(known.join(merged.toDF("old", "new"), "old", "left").select("v", F.coalesce("new", "old").alias("label")), "joined")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of those buckets that still hold more than one component."""
-    labels = components(links)
     known = members.join(labels.withColumnRenamed("v", "id"), "id", "left").select(
         "key", "id", "n", F.coalesce("label", "id").alias("label")
     )
@@ -162,8 +176,8 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return saved(known.join(mixed.select("key"), "key", "left_semi"), "mixed")
 
 
-def near_duplicate_links(sketch: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between folded sets that connect every component.
+def near_duplicate_labels(sketch: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(v, label): the folded sets with a confirmed link, and the smallest id of their component.
 
     ``sketch``: (id, n, keys), one row per distinct set; ``docs``: (id, text).
     """
@@ -180,13 +194,14 @@ def near_duplicate_links(sketch: DataFrame, docs: DataFrame, width: int, percent
             .select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
         )
 
-    first = saved(_confirmed(stars(members), sets, percent), "links")
-    mixed = _labelled(members.select("key", "id", "n"), first)
-    draw = F.struct(F.xxhash64("id", "key").alias("draw"), "id", "n")
+    labels = _joined(None, _confirmed(stars(members), sets, percent))
+    mixed = _mixed(members.select("key", "id", "n"), labels)
+    draw = F.struct(F.xxhash64("id", "key").alias("draw"), "id", "n", "label")
     hubs = mixed.groupBy("key").agg(F.min(draw).alias("hub"))
-    second = saved(_confirmed(stars(mixed.join(hubs, "key")), sets, percent), "links").union(first)
-    mixed = _labelled(mixed.select("key", "id", "n"), second)
-    return _confirmed(_differing_alike(mixed, sets, percent), sets, percent).union(second)
+    apart = mixed.join(hubs, "key").where(F.col("hub.label") != F.col("label"))
+    labels = _joined(labels, _confirmed(stars(apart), sets, percent))
+    mixed = _mixed(mixed.select("key", "id", "n"), labels)
+    return _joined(labels, _confirmed(_differing_alike(mixed, sets, percent), sets, percent))
 
 
 def _differing_alike(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -290,8 +305,7 @@ def near_duplicates(
         sketch.where("n > 0 and id is not null").groupBy("one", "two", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys")),
         "folded",
     )
-    links = near_duplicate_links(folded, texts.where("id is not null"), width, percent)
-    labels = components(links).withColumnRenamed("v", "rep")
+    labels = near_duplicate_labels(folded, texts.where("id is not null"), width, percent).withColumnRenamed("v", "rep")
     classes = folded.select("one", "two", "n", F.col("id").alias("rep")).join(labels, "rep", "left").select(
         "one", "two", "n", F.coalesce("label", "rep").alias("label")
     )

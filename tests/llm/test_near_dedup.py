@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from brute import near_duplicate_classes, shingles
+from ebbtide.llm import near_dedup
 from ebbtide.llm.components import components
 from ebbtide.llm.near_dedup import SKETCH_BITS, _differing_alike, near_duplicates, odd_sketch, signature
 
@@ -106,3 +107,24 @@ def test_sketches_never_differ_more_than_their_sets():
             bits = sum(int(x).bit_count() for x in a ^ b)
             assert len(a) == SKETCH_BITS // 64 and bits <= 2 * gone and (gone > 0 or bits == 0)
     assert not odd_sketch(np.zeros(0, np.uint64)).any()
+
+
+def test_only_members_of_different_components_are_compared_again(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(400)]
+    # Near copies, each with one changed word: most buckets have a smallest id of their own.
+    rows = {k: " ".join(edited(rng, base, 1)) for k in range(80)}
+    asked = []
+    confirm = near_dedup._confirmed
+
+    def counted(pairs, sets, percent):
+        asked.append(pairs.select("a", "b").collect())
+        return confirm(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counted)
+    # Others share buckets with them and are not similar enough.
+    every = rows | {200 + k: " ".join(base[8 * k : 8 * k + 300] + [f"o{k}-{j}" for j in range(100)]) for k in range(12)}
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([*every.items()], "doc_id long, text string")).collect()}
+    assert found == near_duplicate_classes(every)
+    again = [r for more in asked[1:] for r in more]
+    assert again and not [r for r in again if r.a in rows and r.b in rows]
