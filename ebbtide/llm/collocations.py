@@ -30,8 +30,8 @@ from ebbtide.llm.words import chunks, mix, split_words
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: A leading phrase with more occurrences is routed by one word more; also about the rows of a group.
 GROUP_ROWS = 1 << 18
-#: Occurrences that a task folds before it hands them on.
-FOLD = 1 << 20
+#: Occurrences that a task folds before it hands them on, which bounds a worker's memory.
+FOLD = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -282,7 +282,8 @@ def _count_all(docs: DataFrame, least: int, group_rows: int) -> tuple[DataFrame,
     for length in range(2, LONGEST):
         if length > 3 and not known.common[length - 1].any():
             break
-        leads = saved(lead_counts(docs, known, length), "leads")
+        # Most phrases are rare, and nothing below asks for those.
+        leads = saved(lead_counts(docs, known, length).where((F.col("n") >= least) | (F.col("n") > group_rows)), "leads")
         if length < 4:
             known.frequent[length] = bit_array(leads.where(F.col("n") >= least).select("h"))
         if length == 2:

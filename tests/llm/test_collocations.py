@@ -1,14 +1,17 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brute import LOWER
-from ebbtide.llm.collocations import _spread_counts, collocations, quicksort_counts
+from ebbtide.llm.collocations import _spread_counts, collocations, quicksort_counts, word_counts
+from ebbtide.llm.scratch import saved
 
 
 def brute(rows, least, top):
@@ -78,3 +81,43 @@ def test_equal_parts_of_the_quicksort_are_counts(rows, least):
     depths = np.where(words[:, 0] == 1, 3, 2)
     parts = list(quicksort_counts(words, weights, depths, 1)) + list(_spread_counts(words, weights, depths))
     assert len(parts) == len(want) and {tuple(words[r, :k].tolist()): n for r, k, n in parts} == dict(want)
+
+
+class _Pass:
+    """Takes the place of a table: keeps the function that Spark would run on it."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def groupBy(self, *_):
+        return self
+
+    agg = groupBy
+
+
+def test_a_pass_folds_few_occurrences_at_once(spark):
+    words = np.random.default_rng(6).integers(0, 40_000, 600_000).tolist()
+    texts = [" ".join(f"w{k}" for k in words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    batch = pa.record_batch([pa.array([5] * len(texts), pa.int64()), pa.array(texts)], ["salt", "text"])
+    counts = _Pass()
+    word_counts(counts)
+    tracemalloc.start()
+    total = sum(sum(made.column(2).to_pylist()) for made in counts.run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == len(words) and peak < 25e6
+
+
+def test_only_phrases_that_are_asked_for_are_written(spark, monkeypatch):
+    written = {}
+
+    def recorded(df, name):
+        kept = saved(df, name)
+        written.setdefault(name, []).extend(tuple(r) for r in kept.collect())
+        return kept
+
+    monkeypatch.setattr("ebbtide.llm.collocations.saved", recorded)
+    docs = spark.createDataFrame([("a b c. a b d. a b c e f",), ("f a. e a. d a. c b a b c",)], "text string").selectExpr("text", "'en' lang")
+    assert collocations(docs, least=2).count()
+    assert written["leads"] and min(n for _, n in written["leads"]) >= 2
