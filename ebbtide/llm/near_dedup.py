@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.components import components
 from ebbtide.llm.membership import only_members
-from ebbtide.llm.scratch import saved
+from ebbtide.llm.scratch import saved, saved_in_batches
 from ebbtide.llm.words import chunks, mix, run_hash, shingle_hashes, split_words
 
 #: Bands and coordinates of each. A pair at similarity 0.8 misses all bands with probability 3.2e-6.
@@ -184,7 +184,7 @@ def near_duplicate_labels(sketch: DataFrame, docs: DataFrame, width: int, percen
     keyed = sketch.select("id", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("hub")).where("members > 1")
     members = saved(keyed.join(shared.select("key", "hub"), "key"), "buckets")
-    sets = saved(
+    sets = saved_in_batches(
         shingle_sets(only_members(docs, "id", members.select("id")).dropDuplicates(["id"]), width), "sets"
     )
 
@@ -265,7 +265,7 @@ def _differing_alike(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 4, 6)), _list(keys)], ["hub", "id", "n", "label", "inside", "d", "keys"])
 
     words = [f"w{k}" for k in range(SKETCH_BITS // 64)]
-    keyed = saved(
+    keyed = saved_in_batches(
         ordered.mapInArrow(run, "hub long, id long, n long, label long, inside boolean, d long, keys array<long>")
         .join(sets.select("id", *(F.col("odd")[k].alias(f"w{k}") for k in range(SKETCH_BITS // 64))), "id")
         .select("id", "n", "label", "inside", "d", *words, F.explode("keys").alias("key")), "prefixes",
@@ -300,7 +300,7 @@ def near_duplicates(
     An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = saved(sketched(texts, width, bands, rows), "sketch")
+    sketch = saved_in_batches(sketched(texts, width, bands, rows), "sketch")
     folded = saved(
         sketch.where("n > 0 and id is not null").groupBy("one", "two", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys")),
         "folded",
