@@ -2,13 +2,15 @@
 
 The tokenizer drops white space and never lets a token cross it, so ids of a text are the ids
 of its words one after the other. Letters and the punctuation after them are separate
-pre-tokens too, and are split here so that more words repeat. Words are found as 64-bit hashes
+pre-tokens too, and are split here so that more words repeat; not before an apostrophe, which
+contractions begin with, and not inside special tokens. Words are found as 64-bit hashes
 (`words.py`); only those that a worker process has not met yet are encoded, all of a chunk in one call.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +30,7 @@ def _flags(chars: str) -> np.ndarray:
     return table
 
 
-_BREAKS = (_flags("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), _flags(".,;:!?"))
+_BREAKS = (_flags("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), _flags('.,;:!?"#$%&()*+-/=@[]^_`{}~\\'))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,7 +70,8 @@ class WordTokenizer:
         return cls._kept[path]
 
     def _encode(self, text: str) -> list[int]:
-        return self._encoder.encode(text, add_special_tokens=False).ids
+        # The fast form gives the same ids and keeps no offsets.
+        return self._encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _clear(self) -> None:
         self._place: dict[int, int] = {}
@@ -77,7 +80,8 @@ class WordTokenizer:
         self._count = np.zeros(1 << 14, np.int64)
         self._used = 0
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, hashes: list[int], words: list[bytes]) -> np.ndarray:
+        """The new places of ``words``."""
         odd = [k for k, w in enumerate(words) if b"\x00" in w]
         apart = set(odd)
         plain = [k for k in range(len(words)) if k not in apart] if odd else range(len(words))
@@ -98,7 +102,11 @@ class WordTokenizer:
         self._start[first:rows] = self._used + np.concatenate([[0], np.cumsum(sizes[:-1])])
         self._count[first:rows] = sizes
         self._used = need
-        self._place.update(zip([hashes[k] for k in [*plain, *odd]] if odd else hashes, range(first, rows)))
+        places = np.arange(first, rows)
+        if odd:
+            places[[*plain, *odd]] = np.arange(first, rows)
+        self._place.update(zip(hashes, places.tolist()))
+        return places
 
     def encode(self, data: np.ndarray, rows: np.ndarray) -> Encoded:
         """Ids of the rows of one chunk of UTF-8 bytes."""
@@ -108,16 +116,14 @@ class WordTokenizer:
         if len(distinct):
             if len(self._place) + len(distinct) > CACHE_WORDS:
                 self._clear()
-            known = list(map(self._place.get, keys := distinct.tolist()))
-            new = [k for k, p in enumerate(known) if p is None]
+            at = np.fromiter(map(self._place.get, keys := distinct.tolist(), repeat(-1)), np.int64, len(keys))
+            new = np.flatnonzero(at < 0).tolist()
             if new:
                 first = np.empty(len(distinct), np.int64)
                 first[codes[::-1]] = np.arange(len(codes))[::-1]
                 raw = data.tobytes()
                 spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
-                self._learn([keys[k] for k in new], [raw[a:b] for a, b in spans])
-                known = list(map(self._place.get, keys))
-            at = np.array(known, np.int64)
+                at[new] = self._learn([keys[k] for k in new], [raw[a:b] for a, b in spans])
         place = at[codes]
         counts = self._count[place]
         ends = np.cumsum(counts)

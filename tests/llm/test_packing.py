@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -90,3 +91,20 @@ def test_words_are_learned_once_per_process():
     made = encoder.encode(data, rows)
     assert len(encoder._place) == 3
     assert made.ids[made.bounds[1] :].tolist() == brute("ebb TIDE")[:-1]
+
+
+def test_letters_are_learned_apart_from_any_punctuation():
+    encoder = WordTokenizer(tokenizer_path())
+    ((_, _, data, rows),) = chunks(pa.array(["tide$ ebb$ tide# ebb# tide ebb"]))
+    assert encoder.encode(data, rows).ids.tolist() == brute("tide$ ebb$ tide# ebb# tide ebb")[:-1]
+    assert len(encoder._place) == 4
+
+
+def test_ids_of_random_punctuation_letters_and_marks():
+    rng = np.random.default_rng(8)
+    signs = [chr(c) for c in range(33, 127)] + list("aeStTé̸́̈ßΣ…—²٣日") + ["'s", "'Re", "'ll", " ", "\x00", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs, 60)) for _ in range(300)]
+    encoder = WordTokenizer(tokenizer_path())
+    for _, _, data, rows in chunks(pa.array(texts)):
+        made = encoder.encode(data, rows)
+        assert [made.ids[a:b].tolist() for a, b in zip(made.bounds, made.bounds[1:])] == [brute(t)[:-1] for t in texts]
