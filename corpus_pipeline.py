@@ -16,12 +16,13 @@ from ebbtide.llm.membership import only_members, without_members
 from ebbtide.llm.near_dedup import near_duplicates
 from ebbtide.llm.packing import pack_documents
 from ebbtide.llm.passages import repeated_passages, without_passages
-from ebbtide.llm.scratch import saved
+from ebbtide.llm.scratch import saved, text_batches
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognisable language: null texts and texts without a letter go."""
-    rejected = saved(identify_languages(docs).where(F.col("lang_pred") == UNKNOWN).select("doc_id"), "rejected")
+    with text_batches(spark):
+        rejected = saved(identify_languages(docs).where(F.col("lang_pred") == UNKNOWN).select("doc_id"), "rejected")
     # Rows without an id cannot be named in a list; the same rule, stated on the text.
     return without_members(docs, "doc_id", rejected).where("doc_id IS NOT NULL OR text RLIKE '\\\\p{L}'")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.membership import bit_array, passes
-from ebbtide.llm.scratch import saved
+from ebbtide.llm.scratch import saved, saved_in_batches
 from ebbtide.llm.words import NO_LETTER, chunks, shingle_hashes, split_words
 
 SEED, COVERAGE = 5, 0.5
@@ -135,7 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     seeds = items.select("item_id", F.posexplode("seeds").alias("place", "seed"))
     table = bit_array(seeds.select(F.col("seed").alias("h")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = saved(_documents_with_seeds(texts, table, seed).withColumn("row", F.monotonically_increasing_id()), "found")
+    found = saved_in_batches(_documents_with_seeds(texts, table, seed).withColumn("row", F.monotonically_increasing_id()), "found")
     # A tile of n words holds n - seed + 1 seeds, so least seeds per covered word is one in ``seed``.
     need = F.ceil(F.lit(coverage) * F.col("item_words") / seed)
     sizes = items.select("item_id", F.size("words").alias("item_words"))

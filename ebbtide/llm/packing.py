@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.scratch import forget, saved
+from ebbtide.llm.scratch import forget, saved, saved_in_batches
 from ebbtide.llm.tokens import WordTokenizer, tokenizer_path
 from ebbtide.llm.words import chunks
 
@@ -194,7 +194,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     ignored. An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = saved(token_pieces(texts, capacity, path).withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    pieces = saved_in_batches(token_pieces(texts, capacity, path).withColumn("rid", F.monotonically_increasing_id()), "pieces")
     packed = pack_pieces(pieces, capacity, group_pieces)
     # Round, group and bin in one number: 10, 27 and 26 bits.
     number = F.shiftleft(F.col("round").cast("long"), 53) + F.shiftleft("dealt", 26) + F.col("bin")

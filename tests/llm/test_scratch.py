@@ -1,5 +1,9 @@
 import pyarrow as pa
 
+import corpus_pipeline
+from ebbtide.llm import scratch
+from ebbtide.llm.decontaminate import contaminated
+from ebbtide.llm.packing import pack_documents
 from ebbtide.llm.scratch import BATCH_BYTES, saved_in_batches
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -15,3 +19,21 @@ def test_batches_of_long_rows_are_small_and_the_limit_is_put_back(spark):
     found = saved_in_batches(rows.mapInArrow(sizes, "bytes long, n long"), "sizes").collect()
     assert sum(r.n for r in found) == 6000 and max(r.bytes for r in found) < 2 * BATCH_BYTES
     assert spark.conf.get(LIMIT) == before
+
+
+def test_steps_that_read_whole_texts_ask_for_small_batches(spark, monkeypatch):
+    limits = {}
+
+    def recorded(df, name, write=scratch.saved):
+        limits[name] = int(df.sparkSession.conf.get(LIMIT).rstrip("b"))
+        return write(df, name)
+
+    monkeypatch.setattr(scratch, "saved", recorded)
+    monkeypatch.setattr(corpus_pipeline, "saved", recorded)
+    before = spark.conf.get(LIMIT)
+    docs = spark.createDataFrame([(1, "one two three four five six", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()] == [1]
+    assert pack_documents(docs).count() == 2
+    assert [r.doc_id for r in contaminated(docs, docs.selectExpr("doc_id as item_id", "text")).collect()] == [1]
+    assert {name: limits.get(name) for name in ("rejected", "pieces", "found")} == dict.fromkeys(("rejected", "pieces", "found"), BATCH_BYTES)
+    assert spark.conf.get(LIMIT) == before
